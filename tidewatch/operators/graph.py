@@ -1,0 +1,314 @@
+"""User similarity graph: users are linked by the distinct features they share."""
+
+from __future__ import annotations
+
+from itertools import permutations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import edge_width, entropy_bits, node_size, normalised_entropy, tokens
+from ..schemas import require_columns
+from .blocks import block_pairs, block_triples, with_blocks
+
+BLOCK_SIZE = 512
+FEATURE_CHUNK = 4096
+MISSING_TEXT = "nan"
+UNKNOWN_TYPE = "unknown"
+# Feature prefixes per source column.
+PREFIXES = {
+    "user_type": "user_type:",
+    "remote_network": "remote_network:",
+    "device_ip_address": "device_ip:",
+}
+COMMAND_PREFIX = "cmd:"
+
+
+def user_features(df: DataFrame, keys: list[str] | None = None, keep_nulls: bool = False) -> DataFrame:
+    """Distinct (keys, user, feature) rows, read in one pass over the log.
+
+    With ``keep_nulls`` a missing value is itself a shared feature.
+    """
+    require_columns(df, ["user", "user_type"], "similarity input")
+    keys = keys or []
+    single = []
+    for c, prefix in PREFIXES.items():
+        if c in df.columns:
+            value = F.col(c).cast("string")
+            value = F.coalesce(value, F.lit(MISSING_TEXT)) if keep_nulls else value
+            single.append(F.concat(F.lit(prefix), value))
+    features = F.array_compact(F.array(*single))
+    if "cmd_keywords" in df.columns:
+        words = F.transform(tokens("cmd_keywords"), lambda t: F.concat(F.lit(COMMAND_PREFIX), t))
+        features = F.concat(features, words)
+    return df.select(*keys, F.col("user").cast("string").alias("user"), F.explode(features).alias("feature")).distinct()
+
+
+def last_type(df: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """One type per user: that of the last row in ``order``, ``unknown`` if missing."""
+    keys = keys or []
+    return df.groupBy(*keys, F.col("user").cast("string").alias("user")).agg(
+        F.coalesce(F.max_by("user_type", F.struct(*order)), F.lit(UNKNOWN_TYPE)).alias("user_type")
+    )
+
+
+def feature_sets(uf: DataFrame, keys: list[str]) -> DataFrame:
+    """Each user's features as one sorted array."""
+    return uf.groupBy(*keys, "user").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+
+
+def _shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common features of each pair of rows, from integer feature lists."""
+    width = max(
+        (int(f.max()) + 1 for f in (*left, *right) if len(f)), default=0
+    )
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for start in range(0, width, FEATURE_CHUNK):
+        sides = []
+        for rows in (left, right):
+            x = np.zeros((len(rows), min(FEATURE_CHUNK, width - start)), dtype=np.float32)
+            for r, f in enumerate(rows):
+                inside = f[(f >= start) & (f < start + FEATURE_CHUNK)]
+                x[r, inside - start] = 1.0
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _number_features(features: pd.Series) -> np.ndarray:
+    """Feature lists as integer lists, numbered within the group."""
+    lengths = features.map(len).to_numpy()
+    codes, _ = pd.factorize(np.concatenate(features.to_numpy()))
+    out = np.empty(len(features), dtype=object)
+    for r, part in enumerate(np.split(codes, np.cumsum(lengths)[:-1])):
+        out[r] = part
+    return out
+
+
+def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
+    return [df.schema[k] for k in keys]
+
+
+def projected_edges(uf: DataFrame, keys: list[str] | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Edges (src < dst) weighted by the number of shared features.
+
+    Two blocks of users meet in one task, which counts shared features as a
+    matrix product and returns only linked pairs; each pair arises once, not
+    once per shared feature.
+    """
+    keys = keys or []
+    users = feature_sets(uf, keys)
+    grouped = block_pairs(with_blocks(users, keys, ["user"], block_size)).groupBy(*keys, "i", "j")
+
+    def edges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[-2:]
+        blocks = pdf["block"].to_numpy()
+        names = pdf["user"].to_numpy()
+        features = _number_features(pdf["features"])
+        left, right = blocks == i, blocks == j
+        weights = _shared(features[left], features[right])
+        if i == j:
+            weights = np.triu(weights, 1)
+        a, b = np.nonzero(weights)
+        u, v = names[left][a], names[right][b]
+        swap = u > v
+        out = {k: key[n] for n, k in enumerate(keys)}
+        out |= {"src": np.where(swap, v, u), "dst": np.where(swap, u, v), "weight": weights[a, b].astype("int64")}
+        return pd.DataFrame(out)
+
+    schema = T.StructType([
+        *_key_fields(users, keys), T.StructField("src", T.StringType()),
+        T.StructField("dst", T.StringType()), T.StructField("weight", T.LongType()),
+    ])
+    return grouped.applyInPandas(edges, schema)
+
+
+def neighbor_types(uf: DataFrame, types: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Edge weight of each user towards each neighbour type, without any pairs.
+
+    The weight is, summed over the user's features, the number of other users
+    of that type holding the feature.
+    """
+    keys = keys or []
+    typed = uf.join(types, [*keys, "user"])
+    holders = typed.groupBy(*keys, "feature", F.col("user_type").alias("neighbor_type")).agg(
+        F.count("*").alias("holders")
+    )
+    others = F.col("holders") - (F.col("user_type") == F.col("neighbor_type")).cast("long")
+    return (
+        typed.join(holders, [*keys, "feature"])
+        .groupBy(*keys, "user", "neighbor_type").agg(F.sum(others).alias("weight"))
+        .where(F.col("weight") > 0)
+    )
+
+
+def weighted_degree(uf: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sum of a user's edge weights: other holders of each of its features."""
+    keys = keys or []
+    holders = uf.groupBy(*keys, "feature").agg(F.count("*").alias("holders"))
+    return uf.join(holders, [*keys, "feature"]).groupBy(*keys, "user").agg(
+        F.sum(F.col("holders") - 1).alias("degree")
+    )
+
+
+def neighbor_type_entropy(uf: DataFrame, types: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Degree and entropy of neighbour types per user that has neighbours."""
+    keys = keys or []
+    return neighbor_types(uf, types, keys).groupBy(*keys, "user").agg(
+        F.sum("weight").alias("degree"),
+        entropy_bits("weight").alias("neighbor_type_entropy"),
+        normalised_entropy("weight").alias("neighbor_type_entropy_norm"),
+    )
+
+
+def weighted_clustering(uf: DataFrame, keys: list[str] | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Weighted clustering coefficient per user.
+
+    Mean over neighbour pairs of the cube root of the three edge weights, each
+    divided by the largest weight in the graph.
+
+    Users with equal features are interchangeable, so the sums run over
+    distinct feature sets with their number of members. Blocks of sets meet
+    three at a time; triangles are summed by matrix products, never listed.
+    """
+    keys = keys or []
+    users = feature_sets(uf, keys)
+    classes = users.groupBy(*keys, "features").agg(F.count("*").cast("double").alias("members"))
+    triples = block_triples(with_blocks(classes, keys, ["features"], block_size))
+
+    def triangles(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = pdf["block"].to_numpy()
+        members = pdf["members"].to_numpy()
+        features = _number_features(pdf["features"])
+        at = {b: np.flatnonzero(blocks == b) for b in set(key[-3:])}
+        own = np.cbrt(pdf["features"].map(len).to_numpy(dtype=np.float64))
+        total, degree, heaviest = (np.zeros(len(pdf)) for _ in range(3))
+
+        shared: dict[tuple[int, int], np.ndarray] = {}
+        for p in at:
+            for q in at:
+                if (q, p) in shared:
+                    shared[p, q] = shared[q, p].T
+                else:
+                    shared[p, q] = _shared(features[at[p]], features[at[q]])
+                    if p == q:
+                        np.fill_diagonal(shared[p, q], 0.0)
+        root = {pq: np.cbrt(s) for pq, s in shared.items()}
+
+        for p, q, r in set(permutations(key[-3:])):
+            a, b, c = at[p], at[q], at[r]
+            walks = (root[p, q] * members[b]) @ root[q, r]
+            total[a] += (walks * root[p, r] * members[c]).sum(axis=1)
+            if q != r:
+                continue
+            # Pairs within one feature set, counted once per ordered block pair.
+            g2, m = root[p, q] ** 2, members[b]
+            total[a] += 2 * (members[a] - 1) * own[a] * (g2 @ m) + g2 @ (m * (m - 1) * own[b])
+            degree[a] += (shared[p, q] > 0) @ m
+            if len(b):
+                heaviest[a] = np.maximum(heaviest[a], shared[p, q].max(axis=1, initial=0.0))
+            if p == q:
+                total[a] += (members[a] - 1) * (members[a] - 2) * own[a] ** 3
+                degree[a] += members[a] - 1
+                heaviest[a] = np.maximum(heaviest[a], np.where(members[a] > 1, own[a] ** 3, 0.0))
+        out = {k: key[n] for n, k in enumerate(keys)}
+        out |= {"features": pdf["features"], "total": total, "neighbors": degree, "heaviest": heaviest}
+        return pd.DataFrame(out)
+
+    schema = T.StructType([
+        *_key_fields(users, keys), T.StructField("features", T.ArrayType(T.StringType())),
+        T.StructField("total", T.DoubleType()), T.StructField("neighbors", T.DoubleType()),
+        T.StructField("heaviest", T.DoubleType()),
+    ])
+    per_class = (
+        triples.groupBy(*keys, "i", "j", "k").applyInPandas(triangles, schema)
+        .groupBy(*keys, "features").agg(
+            F.sum("total").alias("total"), F.sum("neighbors").alias("neighbors"),
+            F.max("heaviest").alias("heaviest"),
+        )
+    )
+    measured = users.join(per_class, [*keys, "features"])
+    if keys:
+        top = per_class.groupBy(*keys).agg(F.round(F.max("heaviest")).alias("top"))
+        measured = measured.join(top, keys)
+    else:
+        measured = measured.withColumn("top", per_class.agg(F.round(F.max("heaviest")).alias("top")).scalar())
+    pairs = F.col("neighbors") * (F.col("neighbors") - 1)
+    value = F.when(pairs > 0, F.col("total") / F.col("top") / pairs).otherwise(F.lit(0.0))
+    return measured.select(*keys, "user", value.alias("clustering"))
+
+
+def graph_features(
+    df: DataFrame, order: list[str], keys: list[str] | None = None, block_size: int = BLOCK_SIZE
+) -> DataFrame:
+    """Degree, clustering, neighbour-type entropies and type per user (and key)."""
+    keys = keys or []
+    uf = user_features(df, keys)
+    types = last_type(df, order, keys)
+    on = [*keys, "user"]
+    zero = F.lit(0.0)
+    return (
+        types.join(neighbor_type_entropy(uf, types, keys), on, "left")
+        .join(weighted_clustering(uf, keys, block_size), on, "left")
+        .select(
+            *on, F.coalesce(F.col("degree").cast("double"), zero).alias("degree"),
+            F.coalesce("clustering", zero).alias("clustering"),
+            F.coalesce("neighbor_type_entropy", zero).alias("neighbor_type_entropy"),
+            F.coalesce("neighbor_type_entropy_norm", zero).alias("neighbor_type_entropy_norm"),
+            "user_type",
+        )
+    )
+
+
+def daily_graph_features(df: DataFrame, order: list[str], block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Graph measures per user and ``event_date``, named as the access pipelines take them."""
+    features = graph_features(df, order, ["event_date"], block_size)
+    return features.select(
+        "user", "event_date", F.col("neighbor_type_entropy_norm").alias("entropy"), "degree",
+        F.col("clustering").alias("clustering_coefficient"),
+    )
+
+
+def threshold_edges(edges: DataFrame, min_weight: int = 1) -> DataFrame:
+    """Drop edges below ``min_weight``; 1 keeps all."""
+    return edges.where(F.col("weight") >= min_weight) if min_weight > 1 else edges
+
+
+def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes`` (column user)."""
+    ids = nodes.select("user")
+    for end in ("src", "dst"):
+        edges = edges.join(ids.withColumnRenamed("user", end), end, "left_semi")
+    return edges
+
+
+def top_nodes(degrees: DataFrame, n: int = 150) -> DataFrame:
+    return degrees.orderBy(F.desc("degree"), "user").limit(n)
+
+
+def graph_sample(
+    df: DataFrame, order: list[str], n: int = 150, min_weight: int = 1, n_labels: int = 20
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the densest ``n`` users, with drawing sizes.
+
+    Users are chosen by degree, which needs no edges; only the chosen users'
+    features are then paired.
+    """
+    uf = user_features(df, keep_nulls=True)
+    chosen = top_nodes(weighted_degree(uf), n)
+    labelled = top_nodes(chosen, n_labels).select("user", F.lit(True).alias("labelled"))
+    types = last_type(df, order)
+    nodes = (
+        chosen.join(labelled, "user", "left").join(types, "user", "left")
+        .select(
+            "user", "degree", "user_type", node_size("degree").alias("size"),
+            F.coalesce("labelled", F.lit(False)).alias("labelled"),
+        )
+    )
+    # At most ``n`` names, so the chosen users are sent to every reader.
+    kept = uf.join(F.broadcast(chosen.select("user")), "user", "left_semi")
+    edges = threshold_edges(projected_edges(kept), min_weight)
+    return nodes, edges.withColumn("width", edge_width("weight"))
