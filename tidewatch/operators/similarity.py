@@ -12,6 +12,9 @@ Z_THRESHOLD = -2.0
 BLOCK_SIZE = 256
 # Spread below this share of the mean is rounding noise, not variation.
 SPREAD_TOLERANCE = 1e-12
+# Scores are compared with the threshold at this many digits: a user with one odd
+# command among five scores exactly -2, which noise must not push below -2.
+Z_DIGITS = 9
 
 
 def history_counts(log: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def similarity_anomalies(
         )
     )
     z = zscore_by(scored, "user", "weighted_avg_similarity", "rows")
-    flagged = z.withColumn("anomaly", F.coalesce(F.col("z_score") < z_threshold, F.lit(False)))
+    flagged = z.withColumn("anomaly", F.coalesce(F.round("z_score", Z_DIGITS) < z_threshold, F.lit(False)))
     return commands.join(
         flagged.drop("rows").withColumnRenamed("command", "cleaned_command"), ["user", "cleaned_command"]
     )

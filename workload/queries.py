@@ -350,7 +350,8 @@ def similarity(spark, d):
     past = F.col("o_orderdate") < F.lit(HISTORY_END).cast("timestamp_ntz")
     history = si.history_counts(parts.where(past))
     wanted = parts.where(~past).select("user", F.col("command").alias("cleaned_command"))
-    return rounded(si.similarity_anomalies(wanted, history))
+    # Ratios of small whole numbers often end at the seventh digit, hence nine.
+    return rounded(si.similarity_anomalies(wanted, history), 9)
 
 
 def curate(spark, d):
