@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from .quantile import exact_quantile
 
 MAX_SAMPLES = 256
@@ -139,9 +139,8 @@ class IsolationForest:
         if n == 0:
             raise ValueError("training set is empty")
         sample = min(MAX_SAMPLES, n)
-        nodes = self._sampled(df, features, row_key, n, sample).groupBy("tree").applyInPandas(
-            self._grower(), NODE_SCHEMA
-        )
+        rows = spread(self._sampled(df, features, row_key, n, sample), "tree")
+        nodes = rows.groupBy("tree").applyInPandas(self._grower(), NODE_SCHEMA)
         # At most n_trees * (2 * MAX_SAMPLES - 1) rows.
         table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
         unplaced = IsolationForestModel(table, tuple(features), sample, 0.0)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.blocks import block_pairs, with_blocks
+from ..session import spread
 
 BLOCK_SIZE = 512
 
@@ -33,7 +34,6 @@ def silhouette(points: DataFrame, key: str, block_size: int = BLOCK_SIZE) -> Dat
             left, right = np.flatnonzero(blocks == a), np.flatnonzero(blocks == b)
             if not len(left) or not len(right):
                 continue
-            sums = np.zeros((len(left), 0))
             labels = np.unique(cluster[right])
             squares = (x[left] ** 2).sum(1)[:, None] + (x[right] ** 2).sum(1) - 2 * x[left] @ x[right].T
             d = np.sqrt(np.maximum(squares, 0.0))
@@ -48,7 +48,7 @@ def silhouette(points: DataFrame, key: str, block_size: int = BLOCK_SIZE) -> Dat
         return pd.concat(out) if out else pd.DataFrame(columns=["point", "cluster", "other", "distance"])
 
     summed = (
-        pairs.groupBy("i", "j")
+        spread(pairs, "i", "j").groupBy("i", "j")
         .applyInPandas(distances, "point array<double>, cluster int, other int, distance double")
         .groupBy("point", "cluster", "other").agg(F.sum("distance").alias("distance"))
     )

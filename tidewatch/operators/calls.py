@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hour_of_week, is_manual, week_start
+from ..functions import is_manual, week_start
 from ..functions.text import MANUAL_PATTERN
-from ..schemas import UNIFIED_COLUMNS, require_columns
+from ..schemas import require_columns
+from ..session import spread
 
 # Metric names, (daily, average, deviation) per measure.
 METRICS = {
@@ -58,6 +59,10 @@ def daily_rows(
     gets all 24 hours, also when their calls fall on other days. The grid comes
     from 24 counters per user and file, so one aggregation (combined before the
     shuffle) gives it, with no grid join.
+
+    The counters are spread by user before they grow to 72 rows each. A user has
+    one row per day here, so no task is overfull, and later steps by user need
+    no shuffle of the grown rows.
     """
     require_columns(calls, ["user", "dttm", "id_chat", "source_file"], "calls")
     days = file_days(calls) if days is None else days
@@ -69,30 +74,23 @@ def daily_rows(
     )
     counters = [F.count_if(F.col("h") == i).alias(f"t{i}") for i in range(24)]
     counters += [F.count_if((F.col("h") == i) & F.col("manual")).alias(f"m{i}") for i in range(24)]
-    wide = flagged.groupBy("date", "user").agg(*counters)
-
-    def measure(key: str, i: int) -> Column:
-        total = F.col(f"t{i}")
-        return {
-            "total_calls": total,
-            "manual_calls": F.col(f"m{i}"),
-            "active_status": (total > 0).cast("long"),
-        }[key].cast("double")
-
-    cells = F.array(*[
-        F.struct(F.lit(names[0]).alias("metric_name"), measure(key, i).alias("metric_value"),
-                 F.lit(i).alias("h"))
-        for key, names in METRICS.items() for i in range(24)
+    wide = spread(flagged.groupBy("date", "user").agg(*counters), "user")
+    by_user = wide.select(
+        "user", "date", week_start("date", week_anchor).alias("week_start_date"),
+        (F.weekday("date") * 24 + 1).alias("first_index"),
+        F.array(*[f"t{i}" for i in range(24)]).alias("totals"),
+        F.array(*[f"m{i}" for i in range(24)]).alias("manuals"),
+        F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"),
+    )
+    total, manual = F.col("totals")[F.col("h")], F.col("manuals")[F.col("h")]
+    values = {"total_calls": total, "manual_calls": manual, "active_status": (total > 0).cast("int")}
+    measures = F.array(*[
+        F.struct(F.lit(METRICS[key][0]).alias("metric_name"), value.cast("double").alias("metric_value"))
+        for key, value in values.items()
     ])
-    return (
-        wide.select("date", "user", F.explode(cells).alias("cell"))
-        .select(
-            "user", "cell.metric_name", "cell.metric_value",
-            (F.weekday("date") * 24 + F.col("cell.h") + 1).cast("int").alias("index_value"),
-            week_start("date", week_anchor).alias("week_start_date"),
-            "date",
-            F.lit(None).cast("int").alias("n_weeks"),
-        )
+    return by_user.select(
+        "user", F.inline(measures), (F.col("first_index") + F.col("h")).alias("index_value"),
+        "week_start_date", "date", F.lit(None).cast("int").alias("n_weeks"),
     )
 
 
@@ -106,15 +104,12 @@ def _prior_weeks(unified: DataFrame, as_of_week) -> DataFrame:
 def baseline(unified: DataFrame, as_of_week) -> DataFrame:
     """Average per user, hour of week and metric over weeks before ``as_of_week``.
 
-    The mean of weekly sums equals the whole sum over the number of weeks.
-    Rows are spread by user and hour first, so both grouping steps share one
-    shuffle and a busy user is split over its 168 hours.
+    Both grouping steps run without a shuffle when rows come partitioned by
+    user, as ``daily_rows`` leaves them.
     """
     keys = ["user", "index_value", "metric_name"]
     weekly = (
         _prior_weeks(unified, as_of_week)
-        .select(*keys, "week_start_date", "metric_value")
-        .repartition("user", "index_value")
         .groupBy(*keys, "week_start_date").agg(F.sum("metric_value").alias("metric_value"))
     )
     averaged = weekly.groupBy(*keys).agg(
@@ -183,8 +178,7 @@ def historic_deviations(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     keys = ["user", "index_value", "metric_name"]
-    spread = daily.select(*UNIFIED_COLUMNS).repartition("user", "index_value")
-    with_average = spread.withColumn("average", F.avg("metric_value").over(before))
+    with_average = daily.withColumn("average", F.avg("metric_value").over(before))
     first_week = daily.agg(F.min("week_start_date").alias("w")).scalar()
     return _apply_cold_start(
         with_average.select(*keys, "metric_value", "week_start_date", "date", "average"),

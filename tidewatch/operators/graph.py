@@ -5,17 +5,19 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import edge_width, entropy_bits, node_size, normalised_entropy, tokens
 from ..schemas import require_columns
+from ..session import materialise, spread
 from .blocks import block_pairs, block_triples, with_blocks
 
-BLOCK_SIZE = 512
-FEATURE_CHUNK = 4096
+BLOCK_SIZE = 1024
+FEATURE_STRIP = 4096
 MISSING_TEXT = "nan"
 UNKNOWN_TYPE = "unknown"
 # Feature prefixes per source column.
@@ -60,32 +62,28 @@ def feature_sets(uf: DataFrame, keys: list[str]) -> DataFrame:
     return uf.groupBy(*keys, "user").agg(F.array_sort(F.collect_set("feature")).alias("features"))
 
 
-def _shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Number of common features of each pair of rows, from integer feature lists."""
-    width = max(
-        (int(f.max()) + 1 for f in (*left, *right) if len(f)), default=0
-    )
-    out = np.zeros((len(left), len(right)), dtype=np.float64)
-    for start in range(0, width, FEATURE_CHUNK):
-        sides = []
-        for rows in (left, right):
-            x = np.zeros((len(rows), min(FEATURE_CHUNK, width - start)), dtype=np.float32)
-            for r, f in enumerate(rows):
-                inside = f[(f >= start) & (f < start + FEATURE_CHUNK)]
-                x[r, inside - start] = 1.0
-            sides.append(x)
-        out += sides[0] @ sides[1].T
-    return out
-
-
-def _number_features(features: pd.Series) -> np.ndarray:
-    """Feature lists as integer lists, numbered within the group."""
-    lengths = features.map(len).to_numpy()
-    codes, _ = pd.factorize(np.concatenate(features.to_numpy()))
-    out = np.empty(len(features), dtype=object)
-    for r, part in enumerate(np.split(codes, np.cumsum(lengths)[:-1])):
-        out[r] = part
-    return out
+Blocks = dict[int, np.ndarray]
+
+
+def _shared(features: pa.ChunkedArray, rows_of: Blocks) -> dict[tuple[int, int], np.ndarray]:
+    """Common features of the rows of each ordered pair of blocks.
+
+    Features are numbered within the task and taken in strips of columns, so
+    memory depends on the block size and not on how many features there are.
+    """
+    lists = features.combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    pairs = [(p, q) for p in rows_of for q in rows_of if p <= q]
+    out = {(p, q): np.zeros((len(rows_of[p]), len(rows_of[q])), dtype=np.float32) for p, q in pairs}
+    for start in range(0, int(codes.max(initial=-1)) + 1, FEATURE_STRIP):
+        inside = (codes >= start) & (codes < start + FEATURE_STRIP)
+        width = int(codes[inside].max(initial=start)) - start + 1
+        held = np.zeros((len(lists), width), dtype=np.float32)
+        held[owner[inside], codes[inside] - start] = 1.0
+        for p, q in pairs:
+            out[p, q] += held[rows_of[p]] @ held[rows_of[q]].T
+    return out | {(q, p): m.T for (p, q), m in out.items() if p != q}
 
 
 def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
@@ -101,29 +99,28 @@ def projected_edges(uf: DataFrame, keys: list[str] | None = None, block_size: in
     """
     keys = keys or []
     users = feature_sets(uf, keys)
-    grouped = block_pairs(with_blocks(users, keys, ["user"], block_size)).groupBy(*keys, "i", "j")
-
-    def edges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[-2:]
-        blocks = pdf["block"].to_numpy()
-        names = pdf["user"].to_numpy()
-        features = _number_features(pdf["features"])
-        left, right = blocks == i, blocks == j
-        weights = _shared(features[left], features[right])
+    pairs = block_pairs(with_blocks(users, keys, ["user"], block_size))
+
+    def edges(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[-2:])
+        blocks = table["block"].to_numpy()
+        rows_of = {b: np.flatnonzero(blocks == b) for b in {i, j}}
+        weights = _shared(table["features"], rows_of)[i, j]
         if i == j:
             weights = np.triu(weights, 1)
         a, b = np.nonzero(weights)
-        u, v = names[left][a], names[right][b]
-        swap = u > v
-        out = {k: key[n] for n, k in enumerate(keys)}
-        out |= {"src": np.where(swap, v, u), "dst": np.where(swap, u, v), "weight": weights[a, b].astype("int64")}
-        return pd.DataFrame(out)
+        u = table["user"].take(pa.array(rows_of[i][a]))
+        v = table["user"].take(pa.array(rows_of[j][b]))
+        ordered = pc.less(u, v)
+        columns = [pa.repeat(k, len(a)) for k in key[:-2]]
+        columns += [pc.if_else(ordered, u, v), pc.if_else(ordered, v, u), pa.array(weights[a, b].astype(np.int64))]
+        return pa.table(columns, names=[*keys, "src", "dst", "weight"])
 
     schema = T.StructType([
         *_key_fields(users, keys), T.StructField("src", T.StringType()),
         T.StructField("dst", T.StringType()), T.StructField("weight", T.LongType()),
     ])
-    return grouped.applyInPandas(edges, schema)
+    return spread(pairs, *keys, "i", "j").groupBy(*keys, "i", "j").applyInArrow(edges, schema)
 
 
 def neighbor_types(uf: DataFrame, types: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -175,67 +172,67 @@ def weighted_clustering(uf: DataFrame, keys: list[str] | None = None, block_size
     three at a time; triangles are summed by matrix products, never listed.
     """
     keys = keys or []
-    users = feature_sets(uf, keys)
+    return _clustering(materialise(feature_sets(uf, keys), "feature-sets"), keys, block_size)
+
+
+def _clustering(users: DataFrame, keys: list[str], block_size: int) -> DataFrame:
     classes = users.groupBy(*keys, "features").agg(F.count("*").cast("double").alias("members"))
     triples = block_triples(with_blocks(classes, keys, ["features"], block_size))
 
-    def triangles(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = pdf["block"].to_numpy()
-        members = pdf["members"].to_numpy()
-        features = _number_features(pdf["features"])
-        at = {b: np.flatnonzero(blocks == b) for b in set(key[-3:])}
-        own = np.cbrt(pdf["features"].map(len).to_numpy(dtype=np.float64))
-        total, degree, heaviest = (np.zeros(len(pdf)) for _ in range(3))
-
-        shared: dict[tuple[int, int], np.ndarray] = {}
-        for p in at:
-            for q in at:
-                if (q, p) in shared:
-                    shared[p, q] = shared[q, p].T
-                else:
-                    shared[p, q] = _shared(features[at[p]], features[at[q]])
-                    if p == q:
-                        np.fill_diagonal(shared[p, q], 0.0)
-        root = {pq: np.cbrt(s) for pq, s in shared.items()}
-
-        for p, q, r in set(permutations(key[-3:])):
-            a, b, c = at[p], at[q], at[r]
+    def triangles(key: tuple, table: pa.Table) -> pa.Table:
+        triple = tuple(k.as_py() for k in key[-3:])
+        blocks = table["block"].to_numpy()
+        members = table["members"].to_numpy()
+        rows_of = {b: np.flatnonzero(blocks == b) for b in set(triple)}
+        shared = _shared(table["features"], rows_of)
+        own = np.zeros(len(blocks))
+        for p, rows in rows_of.items():
+            own[rows] = shared[p, p].diagonal()
+            np.fill_diagonal(shared[p, p], 0.0)
+        root_own = np.cbrt(own)
+        root = {(p, q): np.cbrt(m, dtype=np.float64) for (p, q), m in shared.items() if p <= q}
+        root |= {(q, p): m.T for (p, q), m in root.items()}
+        total, neighbors, heaviest = (np.zeros(len(blocks)) for _ in range(3))
+
+        for p, q, r in set(permutations(triple)):
+            a, b, c = rows_of[p], rows_of[q], rows_of[r]
             walks = (root[p, q] * members[b]) @ root[q, r]
-            total[a] += (walks * root[p, r] * members[c]).sum(axis=1)
+            total[a] += np.einsum("ij,ij,j->i", walks, root[p, r], members[c])
             if q != r:
                 continue
-            # Pairs within one feature set, counted once per ordered block pair.
-            g2, m = root[p, q] ** 2, members[b]
-            total[a] += 2 * (members[a] - 1) * own[a] * (g2 @ m) + g2 @ (m * (m - 1) * own[b])
-            degree[a] += (shared[p, q] > 0) @ m
-            if len(b):
-                heaviest[a] = np.maximum(heaviest[a], shared[p, q].max(axis=1, initial=0.0))
+            # Triangles with two corners in one feature set; each ordered pair of
+            # blocks passes here once.
+            squared = root[p, q] ** 2
+            total[a] += 2 * (members[a] - 1) * root_own[a] * (squared @ members[b])
+            total[a] += squared @ (members[b] * (members[b] - 1) * root_own[b])
+            neighbors[a] += (shared[p, q] > 0) @ members[b]
+            heaviest[a] = np.maximum(heaviest[a], shared[p, q].max(axis=1, initial=0.0))
             if p == q:
-                total[a] += (members[a] - 1) * (members[a] - 2) * own[a] ** 3
-                degree[a] += members[a] - 1
-                heaviest[a] = np.maximum(heaviest[a], np.where(members[a] > 1, own[a] ** 3, 0.0))
-        out = {k: key[n] for n, k in enumerate(keys)}
-        out |= {"features": pdf["features"], "total": total, "neighbors": degree, "heaviest": heaviest}
-        return pd.DataFrame(out)
+                total[a] += (members[a] - 1) * (members[a] - 2) * own[a]
+                neighbors[a] += members[a] - 1
+                heaviest[a] = np.maximum(heaviest[a], np.where(members[a] > 1, own[a], 0.0))
+        kept = table.select([*keys, "features"])
+        for name, values in (("total", total), ("neighbors", neighbors), ("heaviest", heaviest)):
+            kept = kept.append_column(name, pa.array(values))
+        return kept
 
     schema = T.StructType([
-        *_key_fields(users, keys), T.StructField("features", T.ArrayType(T.StringType())),
+        *_key_fields(users, [*keys, "features"]),
         T.StructField("total", T.DoubleType()), T.StructField("neighbors", T.DoubleType()),
         T.StructField("heaviest", T.DoubleType()),
     ])
-    per_class = (
-        triples.groupBy(*keys, "i", "j", "k").applyInPandas(triangles, schema)
-        .groupBy(*keys, "features").agg(
-            F.sum("total").alias("total"), F.sum("neighbors").alias("neighbors"),
-            F.max("heaviest").alias("heaviest"),
-        )
-    )
+    partial = spread(triples, *keys, "i", "j", "k").groupBy(*keys, "i", "j", "k").applyInArrow(triangles, schema)
+    # Used twice below and costly, so it is written once.
+    per_class = materialise(partial.groupBy(*keys, "features").agg(
+        F.sum("total").alias("total"), F.sum("neighbors").alias("neighbors"),
+        F.max("heaviest").alias("heaviest"),
+    ), "triangles")
     measured = users.join(per_class, [*keys, "features"])
     if keys:
-        top = per_class.groupBy(*keys).agg(F.round(F.max("heaviest")).alias("top"))
+        top = per_class.groupBy(*keys).agg(F.max("heaviest").alias("top"))
         measured = measured.join(top, keys)
     else:
-        measured = measured.withColumn("top", per_class.agg(F.round(F.max("heaviest")).alias("top")).scalar())
+        measured = measured.withColumn("top", per_class.agg(F.max("heaviest").alias("top")).scalar())
     pairs = F.col("neighbors") * (F.col("neighbors") - 1)
     value = F.when(pairs > 0, F.col("total") / F.col("top") / pairs).otherwise(F.lit(0.0))
     return measured.select(*keys, "user", value.alias("clustering"))
@@ -246,13 +243,14 @@ def graph_features(
 ) -> DataFrame:
     """Degree, clustering, neighbour-type entropies and type per user (and key)."""
     keys = keys or []
-    uf = user_features(df, keys)
+    users = materialise(feature_sets(user_features(df, keys), keys), "feature-sets")
+    uf = users.select(*keys, "user", F.explode("features").alias("feature"))
     types = last_type(df, order, keys)
     on = [*keys, "user"]
     zero = F.lit(0.0)
     return (
         types.join(neighbor_type_entropy(uf, types, keys), on, "left")
-        .join(weighted_clustering(uf, keys, block_size), on, "left")
+        .join(_clustering(users, keys, block_size), on, "left")
         .select(
             *on, F.coalesce(F.col("degree").cast("double"), zero).alias("degree"),
             F.coalesce("clustering", zero).alias("clustering"),

@@ -45,7 +45,8 @@ def run_daily(
         daily_rows(read_calls_csv(spark, csv_path), pattern, week_anchor), "daily-rows"
     )
     as_of_week = daily.agg(F.max("week_start_date")).first()[0]
-    base = materialise(baseline(load_unified(spark, out, "daily"), as_of_week), "baseline")
+    stored = load_unified(spark, out, "daily").repartition("user")
+    base = materialise(baseline(stored, as_of_week), "baseline")
     found = deviations(daily, base, cold_start, include_active)
     save_unified(daily.unionByName(found), out)
     save_baseline_snapshot(base, out)
@@ -63,7 +64,7 @@ def backfill(
     fresh = materialise(daily_rows(calls, pattern, week_anchor, days), "daily-rows")
     new_dates = fresh.select("date").distinct()
     stored = load_unified(spark, out, "daily").join(new_dates, "date", "left_anti")
-    daily = stored.unionByName(fresh)
+    daily = stored.unionByName(fresh).repartition("user")
     found = historic_deviations(daily, cold_start, include_active).join(new_dates, "date", "left_semi")
     last_week = fresh.agg(F.max("week_start_date")).first()[0]
     base = materialise(baseline(daily, last_week), "baseline")

@@ -38,3 +38,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Partition ``df`` by ``columns`` into ``spark.sql.shuffle.partitions`` tasks.
+
+    Adaptive execution merges partitions of few bytes. Where a task's work is
+    far larger than its input, that would leave it all to one task; a stated
+    number of partitions is not merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
