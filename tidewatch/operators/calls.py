@@ -49,37 +49,37 @@ def latest_file_per_day(days: DataFrame) -> DataFrame:
     return days.groupBy("date").agg(F.max("source_file").alias("source_file"))
 
 
-def daily_rows(
-    calls: DataFrame, pattern: str = MANUAL_PATTERN, week_anchor: str = "monday",
-    days: DataFrame | None = None,
+def hour_counters(
+    calls: DataFrame, pattern: str = MANUAL_PATTERN, days: DataFrame | None = None
 ) -> DataFrame:
-    """Metric rows for each user of each source file and each hour of its day.
+    """Per file day and user: calls and manual calls of its 24 hours, as two arrays.
 
     ``calls`` needs user, dttm, id_chat and source_file. Every user in a file
-    gets all 24 hours, also when their calls fall on other days. The grid comes
-    from 24 counters per user and file, so one aggregation (combined before the
-    shuffle) gives it, with no grid join.
-
-    The counters are spread by user before they grow to 72 rows each. A user has
-    one row per day here, so no task is overfull, and later steps by user need
-    no shuffle of the grown rows.
+    has a row, also when their calls fall on other days. Calls are counted
+    before anything is shuffled or joined, so only rows per file, user and date
+    move, and a very large file is no burden to one task.
     """
     require_columns(calls, ["user", "dttm", "id_chat", "source_file"], "calls")
     days = file_days(calls) if days is None else days
-    hour = F.when(F.to_date("dttm") == F.col("date"), F.hour("dttm"))
-    flagged = (
-        calls.select("source_file", "user", "dttm", is_manual("id_chat", pattern).alias("manual"))
-        .join(days, "source_file")
-        .select("date", "user", hour.alias("h"), "manual")
+    names = [f"{kind}{h}" for kind in "tm" for h in range(24)]
+    hour, manual = F.hour("dttm"), is_manual("id_chat", pattern)
+    counts = [F.count_if(hour == h).alias(f"t{h}") for h in range(24)]
+    counts += [F.count_if((hour == h) & manual).alias(f"m{h}") for h in range(24)]
+    counted = calls.groupBy("source_file", "user", F.to_date("dttm").alias("call_date")).agg(*counts)
+    of_day = F.col("call_date") == F.col("date")
+    summed = spread(counted.join(days, "source_file"), "user").groupBy("date", "user").agg(*[
+        F.sum(F.when(of_day, F.col(n)).otherwise(0)).alias(n) for n in names
+    ])
+    return summed.select(
+        "date", "user", F.array(*names[:24]).alias("totals"), F.array(*names[24:]).alias("manuals")
     )
-    counters = [F.count_if(F.col("h") == i).alias(f"t{i}") for i in range(24)]
-    counters += [F.count_if((F.col("h") == i) & F.col("manual")).alias(f"m{i}") for i in range(24)]
-    wide = spread(flagged.groupBy("date", "user").agg(*counters), "user")
-    by_user = wide.select(
+
+
+def rows_of_counters(counters: DataFrame, week_anchor: str = "monday") -> DataFrame:
+    """The 72 metric rows (24 hours, three metrics) of each day and user."""
+    by_hour = counters.select(
         "user", "date", week_start("date", week_anchor).alias("week_start_date"),
-        (F.weekday("date") * 24 + 1).alias("first_index"),
-        F.array(*[f"t{i}" for i in range(24)]).alias("totals"),
-        F.array(*[f"m{i}" for i in range(24)]).alias("manuals"),
+        (F.weekday("date") * 24 + 1).alias("first_index"), "totals", "manuals",
         F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"),
     )
     total, manual = F.col("totals")[F.col("h")], F.col("manuals")[F.col("h")]
@@ -88,12 +88,25 @@ def daily_rows(
         F.struct(F.lit(METRICS[key][0]).alias("metric_name"), value.cast("double").alias("metric_value"))
         for key, value in values.items()
     ])
-    return by_user.select(
+    return by_hour.select(
         "user", F.inline(measures), (F.col("first_index") + F.col("h")).alias("index_value"),
         "week_start_date", "date", F.lit(None).cast("int").alias("n_weeks"),
     )
 
 
+def daily_rows(
+    calls: DataFrame, pattern: str = MANUAL_PATTERN, week_anchor: str = "monday",
+    days: DataFrame | None = None,
+) -> DataFrame:
+    """Metric rows for each user of each source file and each hour of its day.
+
+    The grid comes from 24 counters per user and file, with no grid join. Rows
+    are partitioned by user (a user has one row per day before they grow), so
+    later steps by user need no shuffle of the grown rows.
+    """
+    return rows_of_counters(hour_counters(calls, pattern, days), week_anchor)
+
+
 def _prior_weeks(unified: DataFrame, as_of_week) -> DataFrame:
     week = F.col("week_start_date")
     return unified.where(
@@ -165,12 +178,13 @@ def deviations(
 
 
 def historic_deviations(
-    daily: DataFrame, cold_start: str = "suppress", include_active: bool = True
+    daily: DataFrame, cold_start: str = "suppress", include_active: bool = True, first_week=None
 ) -> DataFrame:
     """Deviations of every day at once, each against the weeks before its own.
 
     A window over one user, hour and metric holds one row per week, so no
-    window grows beyond the number of weeks stored.
+    window grows beyond the number of weeks stored. ``first_week`` saves looking
+    for the earliest week in ``daily``.
     """
     _check_policy(cold_start)
     before = (
@@ -179,10 +193,11 @@ def historic_deviations(
     )
     keys = ["user", "index_value", "metric_name"]
     with_average = daily.withColumn("average", F.avg("metric_value").over(before))
-    first_week = daily.agg(F.min("week_start_date").alias("w")).scalar()
+    if first_week is None:
+        first_week = daily.agg(F.min("week_start_date").alias("w")).scalar()
     return _apply_cold_start(
         with_average.select(*keys, "metric_value", "week_start_date", "date", "average"),
-        F.col("week_start_date") > first_week, F.col("average"), cold_start, include_active,
+        F.col("week_start_date") > F.lit(first_week), F.col("average"), cold_start, include_active,
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edit_similarity
 from ..functions.scores import ratio_or_zero
+from ..session import materialise, spread
 
 Z_THRESHOLD = -2.0
 BLOCK_SIZE = 256
@@ -46,7 +47,9 @@ def similarity_pairs(commands: DataFrame, history: DataFrame, block_size: int =
 
     left = dealt(commands, "lb", "rb", "n_left", "n_right")
     right = dealt(history, "rb", "lb", "n_right", "n_left").withColumnRenamed("command", "past")
-    return left.join(right, ["user", "lb", "rb"]).select(
+    # Work grows with the product of the two sides, not with their bytes.
+    keys = ["user", "lb", "rb"]
+    return spread(left, *keys).join(spread(right, *keys), keys).select(
         "user", "command", "freq", edit_similarity("command", "past").alias("similarity")
     )
 
@@ -62,22 +65,23 @@ def weighted_similarity(pairs: DataFrame) -> DataFrame:
 def zscore_by(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     """Population z-score of ``value`` within ``key`` where a row stands for ``weight`` rows.
 
-    A key of one row scores 0; a key without variation scores null.
+    A key of one row scores 0; a key without variation scores null. Means and
+    spreads are combined per key, so no key is gathered in one task.
     """
     v, w = F.col(value), F.col(weight)
     means = df.groupBy(key).agg(
         F.sum(w).alias("z_n"), (F.sum(v * w) / F.sum(w)).alias("z_mean"), F.count("*").alias("z_values")
     )
-    centred = df.join(means, key)
-    spreads = centred.groupBy(key).agg(
-        F.sqrt(F.sum(w * F.pow(v - F.col("z_mean"), F.lit(2.0))) / F.sum(w)).alias("z_spread")
+    spreads = df.join(means, key).groupBy(key).agg(
+        F.first("z_n").alias("z_n"), F.first("z_mean").alias("z_mean"), F.first("z_values").alias("z_values"),
+        F.sqrt(F.sum(w * F.pow(v - F.col("z_mean"), F.lit(2.0))) / F.sum(w)).alias("z_spread"),
     )
     noise = F.lit(SPREAD_TOLERANCE) * F.greatest(F.abs("z_mean"), F.lit(1.0))
     score = (
         F.when(F.col("z_n") == 1, F.lit(0.0))
         .when((F.col("z_values") > 1) & (F.col("z_spread") > noise), (v - F.col("z_mean")) / F.col("z_spread"))
     )
-    return centred.join(spreads, key).withColumn("z_score", score).drop("z_n", "z_mean", "z_values", "z_spread")
+    return df.join(spreads, key).withColumn("z_score", score).drop("z_n", "z_mean", "z_values", "z_spread")
 
 
 def similarity_anomalies(
@@ -89,18 +93,17 @@ def similarity_anomalies(
     A command already in the history is 1.0 and needs no comparison. Each
     distinct command is scored once, then attached to its rows.
     """
+    history = history.groupBy("user", "command").agg(F.sum("freq").alias("freq"))
     wanted = commands.groupBy("user", F.col("cleaned_command").alias("command")).agg(F.count("*").alias("rows"))
-    known = history.select("user", "command").distinct()
-    unseen = wanted.join(known, ["user", "command"], "left_anti").select("user", "command")
+    known = history.select("user", "command", F.lit(1.0).alias("known"))
+    marked = wanted.join(known, ["user", "command"], "left")
+    unseen = marked.where(F.col("known").isNull()).select("user", "command")
     compared = weighted_similarity(similarity_pairs(unseen, history, block_size))
-    scored = (
-        wanted.join(known.withColumn("known", F.lit(1.0)), ["user", "command"], "left")
-        .join(compared, ["user", "command"], "left")
-        .select(
-            "user", "command", "rows",
-            F.coalesce("known", "weighted_avg_similarity", F.lit(0.0)).alias("weighted_avg_similarity"),
-        )
-    )
+    # The comparisons are the costly part and are read three times below.
+    scored = materialise(marked.join(compared, ["user", "command"], "left").select(
+        "user", "command", "rows",
+        F.coalesce("known", "weighted_avg_similarity", F.lit(0.0)).alias("weighted_avg_similarity"),
+    ), "command-scores")
     z = zscore_by(scored, "user", "weighted_avg_similarity", "rows")
     flagged = z.withColumn("anomaly", F.coalesce(F.round("z_score", Z_DIGITS) < z_threshold, F.lit(False)))
     return commands.join(

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import week_start
 from ..functions.text import MANUAL_PATTERN
 from ..operators.calls import (
-    baseline, daily_rows, deviations, file_days, historic_deviations, latest_file_per_day,
+    baseline, daily_rows, deviations, file_days, historic_deviations, hour_counters,
+    latest_file_per_day, rows_of_counters,
 )
-from ..session import materialise
+from ..session import materialise, spread
 from ..sources.files import (
     load_unified, read_calls_csv, read_calls_folder, save_baseline_snapshot, save_unified,
 )
@@ -23,12 +25,15 @@ def metrics_of_days(
 
     The same rows as running the days one after another, in one pass.
     """
-    files = file_days(calls)
-    days = files.join(latest_file_per_day(files), ["date", "source_file"])
-    daily = daily_rows(calls, pattern, week_anchor, days)
-    last_week = daily.agg(F.max("week_start_date").alias("w")).scalar()
+    days = latest_file_per_day(file_days(calls))
+    # The counters are the smallest form of the days; all parts grow from them.
+    counters = spread(materialise(hour_counters(calls, pattern, days), "hour-counters"), "user")
+    daily = rows_of_counters(counters, week_anchor)
+    first_week, last_week = counters.agg(
+        F.min(week_start("date", week_anchor)), F.max(week_start("date", week_anchor))
+    ).first()
     return (
-        daily.unionByName(historic_deviations(daily, cold_start, include_active))
+        daily.unionByName(historic_deviations(daily, cold_start, include_active, first_week))
         .unionByName(baseline(daily, last_week))
     )
 
@@ -59,8 +64,7 @@ def backfill(
 ) -> DataFrame:
     """Build the unified table from a folder of daily files, together with days stored before."""
     calls = read_calls_folder(spark, folder, glob)
-    files = file_days(calls)
-    days = files.join(latest_file_per_day(files), ["date", "source_file"])
+    days = latest_file_per_day(file_days(calls))
     fresh = materialise(daily_rows(calls, pattern, week_anchor, days), "daily-rows")
     new_dates = fresh.select("date").distinct()
     stored = load_unified(spark, out, "daily").join(new_dates, "date", "left_anti")
