@@ -277,10 +277,10 @@ def threshold_edges(edges: DataFrame, min_weight: int = 1) -> DataFrame:
 
 def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (column user)."""
-    ids = nodes.select("user")
+    ids, kept = nodes.select("user"), edges
     for end in ("src", "dst"):
-        edges = edges.join(ids.withColumnRenamed("user", end), end, "left_semi")
-    return edges
+        kept = kept.join(ids.withColumnRenamed("user", end), end, "left_semi")
+    return kept.select(*edges.columns)
 
 
 def top_nodes(degrees: DataFrame, n: int = 150) -> DataFrame:
