@@ -29,6 +29,7 @@ KEY_KINDS = {
     "device_cmd": ("device_ip_address", "cmd_group", "new_device_cmd_pair"),
 }
 FLAGS = [flag for _, _, flag in KEY_KINDS.values()]
+RULE_SALTS = 16
 POLICY_FIELDS = {"remote": "remote_address", "device": "device_ip_address", "command": "cmd_group"}
 
 
@@ -248,11 +249,13 @@ def evaluate_rules(rules: Column) -> Column:
     return F.transform(rules, outcome)
 
 
-def policy_features(events: DataFrame, rules: DataFrame | None) -> DataFrame:
+def policy_features(events: DataFrame, rules: DataFrame | None, salts: int = RULE_SALTS) -> DataFrame:
     """Policy status, risks, field flags and rule ids of functional users' rows.
 
     Other users get status NA and zeros. Users without rules are UNKNOWN. A row
-    is settled locally once its user's rules are attached.
+    is settled locally once its user's rules are attached. Rules are few, so
+    each user's are repeated ``salts`` times and a busy user's rows meet them in
+    as many tasks.
     """
     functional = F.col("user_type") == "functional"
     if rules is None:
@@ -260,12 +263,16 @@ def policy_features(events: DataFrame, rules: DataFrame | None) -> DataFrame:
             "array<struct<met:int,rank:int,rule_id:string,broken:boolean,remote:string,device:string,command:string>>"
         ))
     else:
+        table = rule_table(rules).select(
+            F.col("user").alias("rule_user"), "rules",
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("rule_salt"),
+        )
+        salt = F.pmod(F.xxhash64("remote_address", "device_ip_address", "cmd_group"), F.lit(salts)).cast("int")
         # The condition on the type belongs to the join, so other users' rows
         # do not look for rules.
-        table = rule_table(rules).withColumnRenamed("user", "rule_user")
-        attached = events.join(
-            table, functional & (events["user"] == F.col("rule_user")), "left"
-        ).withColumn("outcomes", evaluate_rules(F.col("rules"))).drop("rules", "rule_user")
+        attached = events.withColumn("salt", salt).join(
+            table, functional & (F.col("user") == F.col("rule_user")) & (F.col("salt") == F.col("rule_salt")), "left"
+        ).withColumn("outcomes", evaluate_rules(F.col("rules"))).drop("rules", "rule_user", "rule_salt", "salt")
     best = F.array_max("outcomes")
     allowed = F.col("best.met") == 3
     open_rule = F.exists("outcomes", lambda o: ~o["broken"])

@@ -62,26 +62,21 @@ def weighted_similarity(pairs: DataFrame) -> DataFrame:
     )
 
 
-def zscore_by(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """Population z-score of ``value`` within ``key`` where a row stands for ``weight`` rows.
+def zscore_by(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Population z-score of ``value`` within ``key``: 0 for a single row, null without variation.
 
-    A key of one row scores 0; a key without variation scores null. Means and
-    spreads are combined per key, so no key is gathered in one task.
+    Counts, means and spreads are combined before they are shuffled, so the rows
+    of a key are never gathered.
     """
-    v, w = F.col(value), F.col(weight)
-    means = df.groupBy(key).agg(
-        F.sum(w).alias("z_n"), (F.sum(v * w) / F.sum(w)).alias("z_mean"), F.count("*").alias("z_values")
-    )
-    spreads = df.join(means, key).groupBy(key).agg(
-        F.first("z_n").alias("z_n"), F.first("z_mean").alias("z_mean"), F.first("z_values").alias("z_values"),
-        F.sqrt(F.sum(w * F.pow(v - F.col("z_mean"), F.lit(2.0))) / F.sum(w)).alias("z_spread"),
+    v = F.col(value)
+    stats = df.groupBy(key).agg(
+        F.count("*").alias("z_n"), F.avg(v).alias("z_mean"), F.stddev_pop(v).alias("z_spread")
     )
     noise = F.lit(SPREAD_TOLERANCE) * F.greatest(F.abs("z_mean"), F.lit(1.0))
-    score = (
-        F.when(F.col("z_n") == 1, F.lit(0.0))
-        .when((F.col("z_values") > 1) & (F.col("z_spread") > noise), (v - F.col("z_mean")) / F.col("z_spread"))
+    score = F.when(F.col("z_n") == 1, F.lit(0.0)).when(
+        F.col("z_spread") > noise, (v - F.col("z_mean")) / F.col("z_spread")
     )
-    return df.join(spreads, key).withColumn("z_score", score).drop("z_n", "z_mean", "z_values", "z_spread")
+    return df.join(stats, key).withColumn("z_score", score).drop("z_n", "z_mean", "z_spread")
 
 
 def similarity_anomalies(
@@ -94,18 +89,15 @@ def similarity_anomalies(
     distinct command is scored once, then attached to its rows.
     """
     history = history.groupBy("user", "command").agg(F.sum("freq").alias("freq"))
-    wanted = commands.groupBy("user", F.col("cleaned_command").alias("command")).agg(F.count("*").alias("rows"))
+    wanted = commands.select("user", F.col("cleaned_command").alias("command")).distinct()
     known = history.select("user", "command", F.lit(1.0).alias("known"))
     marked = wanted.join(known, ["user", "command"], "left")
     unseen = marked.where(F.col("known").isNull()).select("user", "command")
     compared = weighted_similarity(similarity_pairs(unseen, history, block_size))
-    # The comparisons are the costly part and are read three times below.
+    # The comparisons are the costly part and are read twice below.
     scored = materialise(marked.join(compared, ["user", "command"], "left").select(
-        "user", "command", "rows",
+        "user", F.col("command").alias("cleaned_command"),
         F.coalesce("known", "weighted_avg_similarity", F.lit(0.0)).alias("weighted_avg_similarity"),
     ), "command-scores")
-    z = zscore_by(scored, "user", "weighted_avg_similarity", "rows")
-    flagged = z.withColumn("anomaly", F.coalesce(F.round("z_score", Z_DIGITS) < z_threshold, F.lit(False)))
-    return commands.join(
-        flagged.drop("rows").withColumnRenamed("command", "cleaned_command"), ["user", "cleaned_command"]
-    )
+    z = zscore_by(commands.join(scored, ["user", "cleaned_command"]), "user", "weighted_avg_similarity")
+    return z.withColumn("anomaly", F.coalesce(F.round("z_score", Z_DIGITS) < z_threshold, F.lit(False)))

@@ -109,6 +109,15 @@ def deviation_matrix(spark, d):
     return hm.deviation_matrix(deviations("suppress")(spark, d), LAST_DAY, "total calls deviation")
 
 
+def daily_tuesday(spark, d):
+    """Weeks that begin on Tuesday."""
+    return ca.daily_rows(views.calls(spark, d), week_anchor="tuesday")
+
+
+def no_status_deviations(spark, d):
+    return ca.historic_deviations(daily(spark, d), "suppress", include_active=False)
+
+
 # ---------------------------------------------------------------- heatmaps and profiles
 
 def role_heatmap(mode: str) -> Query:
@@ -198,6 +207,10 @@ def novelty_infer(spark, d):
     return ac.novelty_baseline(split_history(spark, d)[1], seeded_baseline(spark, d)).select(*FLAG_COLUMNS)
 
 
+def known_keys(spark, d):
+    return ac.known_keys(clean(spark, d))
+
+
 def baseline_update(spark, d):
     return ac.update_baseline(seeded_baseline(spark, d), split_history(spark, d)[1], "2024-01-30")
 
@@ -311,6 +324,18 @@ def features(spark, d):
     return gr.user_features(views.similarity_log(spark, d))
 
 
+def similarity_log_with_gaps(spark, d):
+    """Purchases come without a network and keywords."""
+    gap = F.col("cmd_keywords").startswith("purchase")
+    return views.similarity_log(spark, d).withColumns({
+        c: F.when(~gap, F.col(c)) for c in ("remote_network", "cmd_keywords")
+    })
+
+
+def user_features(keep_nulls: bool) -> Query:
+    return lambda spark, d: gr.user_features(similarity_log_with_gaps(spark, d), keep_nulls=keep_nulls)
+
+
 def types(spark, d):
     return gr.last_type(views.similarity_log(spark, d), ["_time"])
 
@@ -354,6 +379,10 @@ def similarity(spark, d):
     return rounded(si.similarity_anomalies(wanted, history), 9)
 
 
+def directory_match(spark, d):
+    return acc.in_directory(views.accounts(spark, d), views.directory(spark, d)).select("c_custkey", "user", "in_directory")
+
+
 def curate(spark, d):
     curated = acc.curate_accounts(views.accounts(spark, d), views.directory(spark, d))
     return curated.select(
@@ -384,6 +413,8 @@ QUERIES: dict[str, Query] = {
     "q_history_zero": first_day_deviations("zero"),
     "q_history_nan": first_day_deviations("nan"),
     "q_backfill": backfill,
+    "q_daily_rows_tuesday": daily_tuesday,
+    "q_history_no_status": no_status_deviations,
     "q_avg_matrix": average_matrix,
     "q_dev_matrix": deviation_matrix,
     "q_role_heatmap_none": role_heatmap("none"),
@@ -404,6 +435,7 @@ QUERIES: dict[str, Query] = {
     "q_cmd_group": cmd_group,
     "q_novelty_train": novelty_train,
     "q_novelty_infer": novelty_infer,
+    "q_known_keys": known_keys,
     "q_baseline_update": baseline_update,
     "q_policy": policy,
     "q_event_risk": event_risk,
@@ -420,6 +452,9 @@ QUERIES: dict[str, Query] = {
     "q_reasons_basic": reasons_basic,
     "q_scored_days": scored_days,
     "q_one_shot": one_shot,
+    "q_user_features": user_features(False),
+    "q_user_features_nulls": user_features(True),
+    "q_user_types": types,
     "q_graph_edges": graph_edges,
     "q_graph_degree": graph_degree,
     "q_graph_entropy": graph_entropy,
@@ -428,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "q_graph_sample_nodes": graph_sample_nodes,
     "q_graph_sample_edges": graph_sample_edges,
     "q_similarity": similarity,
+    "q_directory_match": directory_match,
     "q_curate": curate,
     "q_regression": regression,
 }
