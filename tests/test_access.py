@@ -71,6 +71,13 @@ def test_novelty_history_equals_sequential(spark, seed):
     assert rows(got, "user", "_time", "uid", "remote_address", "device_ip_address", "cmd", *ac.FLAGS) == sequential_novelty(data)
 
 
+def test_very_many_copies(spark, monkeypatch):
+    one = ac.novelty_history(events(spark, [("a", "2026-03-01 10:00:00", "1", "r", "d", "x", "human")] * 25))
+    assert rows(one, "weight", "new_remote") == [(1, 1), (24, 0)]
+    monkeypatch.setattr(ac, "COPY_CHUNK", 10)
+    assert rows(ac.expand_copies(one).groupBy("new_remote").count()) == [(0, 24), (1, 1)]
+
+
 def test_uid_orders_as_text(spark):
     got = ac.novelty_history(events(spark, [
         ("a", "2026-03-01 10:00:00", "9", "r1", "d", "x", "human"), ("a", "2026-03-01 10:00:00", "10", "r1", "d", "x", "human")]))

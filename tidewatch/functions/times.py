@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DISPLAY_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Fixed value: times are shown as yyyy-MM-dd HH:mm:ss, the first 19 characters of their text.
+DISPLAY_WIDTH = 19
 
 
 def _col(c: Column | str) -> Column:
@@ -39,7 +40,7 @@ def week_start(c: Column | str, anchor: str = "monday") -> Column:
     """First day of the week holding ``c``; weeks begin on ``anchor``."""
     d = F.to_date(_col(c))
     if anchor == "monday":
-        return F.to_date(F.date_trunc("week", d))
+        return F.trunc(d, "week")
     if anchor == "tuesday":
         return F.next_day(F.date_sub(d, 7), "TU")
     raise ValueError("anchor must be 'monday' or 'tuesday'")
@@ -56,5 +57,5 @@ def grid_hour(hour0: Column | str) -> Column:
 
 def stringify_ts(df: DataFrame, columns: tuple[str, ...] = ("dttm", "first_seen", "last_seen")) -> DataFrame:
     """Show the named time columns, where present, as text cut to the second."""
-    shown = {c: F.date_format(parse_ts(c), DISPLAY_FORMAT) for c in columns if c in df.columns}
+    shown = {c: F.substring(parse_ts(c).cast("string"), 1, DISPLAY_WIDTH) for c in columns if c in df.columns}
     return df.withColumns(shown) if shown else df

@@ -19,6 +19,7 @@ EVENT_COLUMNS = [
 IDENTITY = ["user", "_time", "uid", "device_ip_address", "remote_address", "cmd", "user_type"]
 COMBINATION = ["user", "remote_address", "device_ip_address", "cmd_group"]
 MISSING_TEXT = "nan"
+COPY_CHUNK = 65_536
 
 # Which columns make up each kind of known key, and the flag for a new one.
 KEY_KINDS = {
@@ -79,8 +80,17 @@ def identical_events(events: DataFrame) -> DataFrame:
 
 
 def expand_copies(rows: DataFrame) -> DataFrame:
-    """One row per event again, from rows counted in ``weight``."""
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "weight"))).drop("copy", "weight")
+    """One row per event again, from rows counted in ``weight``.
+
+    Copies are numbered in chunks, so no long array arises for a row with very many.
+    """
+    chunk, size = F.col("chunk"), F.lit(COPY_CHUNK).cast("long")
+    last = F.least(size, F.col("weight") - chunk * size)
+    return (
+        rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("weight") - 1) / size))))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+        .drop("chunk", "copy", "weight")
+    )
 
 
 # ---------------------------------------------------------------- novelty
