@@ -45,6 +45,19 @@ def test_read_csv_takes_columns_by_name(spark, tmp_path):
     assert rows(read_calls_csv(spark, path), "user", "account") == [("alice", "A")]
 
 
+def test_read_csv_quotes_and_missing_marks(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", [
+        'alice,NA,"said ""manual"", then left",2024-01-01 09:10:00', "null,A,x,2024-01-01 09:10:00"])
+    assert rows(read_calls_csv(spark, path), "user", "account", "id_chat") == [("alice", None, 'said "manual", then left')]
+
+
+def test_headers_must_agree(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", ["alice,A,x,2024-01-01 09:10:00"])
+    write_csv(tmp_path / "b.csv", ["A,alice,x,2024-01-01 09:10:00"], "account,user,id_chat,dttm")
+    with pytest.raises(Exception, match="header"):
+        read_calls_folder(spark, str(tmp_path)).collect()
+
+
 def test_empty_file_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="no rows"):
         read_calls_csv(spark, write_csv(tmp_path / "a.csv", []))

@@ -110,6 +110,12 @@ def test_nulls_and_last_type(spark):
         gr.user_features(df.drop("user_type"))
 
 
+def test_users_without_features_are_no_nodes(spark):
+    df = frame(spark, [("a", None, None, None, None), ("b", "human", None, None, None), (None, "human", None, None, " ")])
+    got = gr.graph_features(df, ["t"])
+    assert rows(got, "user", "degree", "user_type") == [("b", 1.0, "human"), ("nan", 1.0, "human")]
+
+
 def test_subgraph_threshold_and_sample(spark):
     df = frame(spark, EXAMPLE)
     edges = gr.projected_edges(gr.user_features(df))

@@ -48,6 +48,12 @@ def test_empty_range_keeps_columns(calls):
     assert got.columns == ["date", "user", "suspicious_accounts_for_day", "active_days", "first_seen", "last_seen"]
 
 
+def test_rows_without_user_or_time_are_not_users(spark, calls):
+    extra = spark.createDataFrame([(None, "A", "x", T(2024, 1, 1)), ("zed", "A", "x", None)], calls.schema)
+    got = rp.users_by_day(rp.filter_range(calls.union(extra), "2024-01-01", "2024-01-03"))
+    assert rows(got) == rows(rp.users_by_day(calls))
+
+
 def test_drills_and_bounds(calls):
     r = rp.attach_unique_accounts(calls)
     assert [x.dttm for x in rp.user_drill(r, "alice").collect()] == ["2024-01-01 08:00:00", "2024-01-01 09:00:00", "2024-01-02 23:59:59"]

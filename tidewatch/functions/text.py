@@ -33,7 +33,7 @@ def strip(c: Column | str) -> Column:
 
 def is_manual(c: Column | str, pattern: str = MANUAL_PATTERN) -> Column:
     """Case-insensitive search for ``pattern``; null is no match."""
-    return F.coalesce(_col(c).rlike("(?i)" + pattern), F.lit(False))
+    return F.coalesce(_col(c).rlike("(?iU)" + pattern), F.lit(False))
 
 
 def normalize_command(c: Column | str) -> Column:

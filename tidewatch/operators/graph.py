@@ -7,7 +7,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,10 @@ PREFIXES = {
 COMMAND_PREFIX = "cmd:"
 
 
+def _user_name() -> Column:
+    return F.coalesce(F.col("user").cast("string"), F.lit(MISSING_TEXT))
+
+
 def user_features(df: DataFrame, keys: list[str] | None = None, keep_nulls: bool = False) -> DataFrame:
     """Distinct (keys, user, feature) rows, read in one pass over the log.
 
@@ -46,13 +50,13 @@ def user_features(df: DataFrame, keys: list[str] | None = None, keep_nulls: bool
     if "cmd_keywords" in df.columns:
         words = F.transform(tokens("cmd_keywords"), lambda t: F.concat(F.lit(COMMAND_PREFIX), t))
         features = F.concat(features, words)
-    return df.select(*keys, F.col("user").cast("string").alias("user"), F.explode(features).alias("feature")).distinct()
+    return df.select(*keys, _user_name().alias("user"), F.explode(features).alias("feature")).distinct()
 
 
 def last_type(df: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
     """One type per user: that of the last row in ``order``, ``unknown`` if missing."""
     keys = keys or []
-    return df.groupBy(*keys, F.col("user").cast("string").alias("user")).agg(
+    return df.groupBy(*keys, _user_name().alias("user")).agg(
         F.coalesce(F.max_by("user_type", F.struct(*order)), F.lit(UNKNOWN_TYPE)).alias("user_type")
     )
 
@@ -241,7 +245,10 @@ def _clustering(users: DataFrame, keys: list[str], block_size: int) -> DataFrame
 def graph_features(
     df: DataFrame, order: list[str], keys: list[str] | None = None, block_size: int = BLOCK_SIZE
 ) -> DataFrame:
-    """Degree, clustering, neighbour-type entropies and type per user (and key)."""
+    """Degree, clustering, neighbour-type entropies and type per user (and key).
+
+    Users are those with at least one feature.
+    """
     keys = keys or []
     users = materialise(feature_sets(user_features(df, keys), keys), "feature-sets")
     uf = users.select(*keys, "user", F.explode("features").alias("feature"))
@@ -249,7 +256,7 @@ def graph_features(
     on = [*keys, "user"]
     zero = F.lit(0.0)
     return (
-        types.join(neighbor_type_entropy(uf, types, keys), on, "left")
+        users.select(*on).join(types, on).join(neighbor_type_entropy(uf, types, keys), on, "left")
         .join(_clustering(users, keys, block_size), on, "left")
         .select(
             *on, F.coalesce(F.col("degree").cast("double"), zero).alias("degree"),

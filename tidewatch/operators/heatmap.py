@@ -15,7 +15,7 @@ HOURS = 168
 def user_hour_matrix(rows: DataFrame) -> DataFrame:
     """Users by hours 1..168, first non-null value per cell, 0 where there is none."""
     hours = list(range(1, HOURS + 1))
-    wide = rows.groupBy("user").pivot("index_value", hours).agg(F.first("metric_value", ignorenulls=True))
+    wide = rows.where(F.col("user").isNotNull()).groupBy("user").pivot("index_value", hours).agg(F.first("metric_value", ignorenulls=True))
     return wide.fillna(0.0).orderBy("user")
 
 
@@ -94,13 +94,14 @@ def compare_roles(log: DataFrame, normalize: str = "global", roles: tuple[str, .
 
 def top_users(log: DataFrame, role: str = "human", n: int = 6) -> DataFrame:
     """The ``n`` users of a role with most events; ties go to the lower name."""
-    counts = role_events(log, role).groupBy("user").agg(F.count("*").alias("events"))
+    known = role_events(log, role).where(F.col("user").isNotNull())
+    counts = known.groupBy("user").agg(F.count("*").alias("events"))
     return counts.orderBy(F.desc("events"), "user").limit(n)
 
 
 def top_user_heatmaps(log: DataFrame, role: str = "human", n: int = 6, normalize: str = "global") -> DataFrame:
     """Heatmaps of the role's busiest users, each user scaled alone."""
-    events = role_events(log, role)
+    events = role_events(log, role).where(F.col("user").isNotNull())
     by_hour = events.groupBy("user", "hour_of_week").agg(F.count("*").alias("n"))
     chosen = by_hour.groupBy("user").agg(F.sum("n").alias("events")).orderBy(F.desc("events"), "user").limit(n)
     counts = dense_hours(by_hour.join(F.broadcast(chosen.select("user")), "user", "left_semi"), ["user"])

@@ -41,7 +41,7 @@ def users_by_day(report: DataFrame, ordered: bool = True) -> DataFrame:
     Range-wide values are windows over the (user, date) rows, at most one per
     day, not over calls.
     """
-    per_day = report.groupBy("user", F.to_date("dttm").alias("date")).agg(
+    per_day = report.where(F.col("user").isNotNull()).groupBy("user", F.to_date("dttm").alias("date")).agg(
         F.count_distinct("account").alias("suspicious_accounts_for_day"),
         F.min("dttm").alias("day_first"), F.max("dttm").alias("day_last"),
     )

@@ -31,7 +31,7 @@ class Clustering:
 
 def role_counts(log: DataFrame) -> DataFrame:
     """Events per command and role; commands of other roles keep zeros."""
-    return log.groupBy("command").agg(*[
+    return log.where(F.col("command").isNotNull() & F.col("account_type").isNotNull()).groupBy("command").agg(*[
         F.count_if(F.col("account_type") == r).alias(f"{r}_freq") for r in ROLES
     ])
 
@@ -48,7 +48,7 @@ def hour_profile(log: DataFrame, key: str = "command") -> DataFrame:
 
     Events without a readable time are not part of any hour.
     """
-    counts = hour_counts(role_events(log), [key])
+    counts = hour_counts(role_events(log).where(F.col(key).isNotNull()), [key])
     share = ratio_or_zero(F.col("n"), F.sum("n").over(Window.partitionBy(key)))
     return counts.select(key, "hour_of_week", share.alias("share"))
 

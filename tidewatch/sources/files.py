@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_ts, strip
@@ -12,6 +12,11 @@ from ..operators.calls import metric_family
 from ..schemas import ACCESS_BASELINE, REPORT_COLUMNS, UNIFIED, UNIFIED_COLUMNS, require_columns
 
 CALL_COLUMNS = ["user", "account", "id_chat", "dttm"]
+# Texts that stand for a missing value in call logs.
+MISSING_MARKS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
@@ -24,25 +29,35 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str, **options: str)
         return spark.createDataFrame([], schema)
 
 
+def _text(column: str) -> Column:
+    return F.when(~F.col(column).isin(MISSING_MARKS), F.col(column))
+
+
 def _read_calls(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    raw = spark.read.options(header=True, enforceSchema=False, **options).csv(path)
+    # Headers are checked against each other, and doubled quotes stand for one.
+    raw = spark.read.options(header=True, enforceSchema=False, escape='"', **options).csv(path)
     require_columns(raw, CALL_COLUMNS, "call log")
     if raw.isEmpty():
         raise ValueError(f"{path} has no rows")
     return raw.select(
-        strip("user").alias("user"), "account", strip("id_chat").alias("id_chat"),
+        strip(_text("user")).alias("user"), _text("account").alias("account"),
+        strip(_text("id_chat")).alias("id_chat"),
         parse_ts("dttm").alias("dttm"), F.col("_metadata.file_path").alias("source_file"),
     ).dropna(subset=["dttm", "user"])
 
 
-def read_calls_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One day's call log; rows without a readable time or a user are dropped."""
-    return _read_calls(spark, path)
+def read_calls_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """One day's call log; rows without a readable time or a user are dropped.
+
+    ``options`` are CSV options; ``multiLine`` is needed for notes with line
+    breaks and keeps each file in one task.
+    """
+    return _read_calls(spark, path, **options)
 
 
-def read_calls_folder(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+def read_calls_folder(spark: SparkSession, folder: str, glob: str = "*.csv", **options: str) -> DataFrame:
     """Call logs of a folder in one read; ``source_file`` tells them apart."""
-    return _read_calls(spark, folder, pathGlobFilter=glob)
+    return _read_calls(spark, folder, pathGlobFilter=glob, **options)
 
 
 def file_order(calls: DataFrame) -> DataFrame:
