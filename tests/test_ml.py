@@ -93,8 +93,8 @@ def test_silhouette(spark, block_size):
     points += [points[0]] * 6
     labels = [c for c in (0, 1, 2) for _ in range(15)] + [3] + [0] * 6
     df = spark.createDataFrame([(str(i), p, c) for i, (p, c) in enumerate(zip(points, labels))], "k string, point array<double>, cluster int")
-    assert silhouette(df, "k", block_size).first()[0] == pytest.approx(exact_silhouette(points, labels))
-    assert silhouette(df.where("cluster = 0"), "k").first()[0] is None
+    assert silhouette(df, block_size).first()[0] == pytest.approx(exact_silhouette(points, labels))
+    assert silhouette(df.where("cluster = 0")).first()[0] is None
 
 
 def test_regression(spark, tmp_path):

@@ -13,8 +13,8 @@ from ..session import spread
 BLOCK_SIZE = 512
 
 
-def silhouette(points: DataFrame, key: str, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """One row, one value: the mean silhouette of (key, point, cluster) rows.
+def silhouette(points: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """One row, one value: the mean silhouette of (point, cluster) rows.
 
     Null when there is only one cluster. Each pair of blocks gives the summed
     distance of its points to each cluster; distances themselves stay inside

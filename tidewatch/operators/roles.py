@@ -80,7 +80,7 @@ def role_clusters(log: DataFrame, seed: int = SEED) -> Clustering:
     vectors = props.withColumn("features", array_to_vector(F.array(*[f"{r}_prop" for r in ROLES])))
     rows = _cluster(vectors, 2, seed).withColumn("purity", purity("human_prop", "functional_prop"))
     centres = cluster_stats(rows)
-    stats = silhouette(rows.select("command", vector_to_array("features").alias("point"), "cluster"), "command")
+    stats = silhouette(rows.select(vector_to_array("features").alias("point"), "cluster"))
     distance = F.sqrt(sum(
         F.pow(F.col(f"{r}_0") - F.col(f"{r}_1"), F.lit(2.0)) for r in ROLES
     ))
@@ -129,7 +129,7 @@ def hour_clusters(log: DataFrame, k: int = 3, pca: bool = True, seed: int = SEED
         "features", array_to_vector(F.transform(vector_to_array("scaled"), lambda x: x * factor))
     ).drop("raw", "scaled")
     rows = materialise(_cluster(rows, k, seed), "hour-clusters")
-    stats = silhouette(rows.select("command", vector_to_array("features").alias("point"), "cluster"), "command")
+    stats = silhouette(rows.select(vector_to_array("features").alias("point"), "cluster"))
     if pca:
         rows = _two_components(rows)
     return Clustering(rows.drop("features"), stats)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import stringify_ts
+from tidewatch.functions import purity, stringify_ts
+from tidewatch.ml.quantile import exact_quantile
 from tidewatch.ml.regression import fit_regression, predict
+from tidewatch.ml.silhouette import silhouette
 from tidewatch.operators import access as ac
 from tidewatch.operators import accounts as acc
 from tidewatch.operators import calls as ca
@@ -20,6 +22,7 @@ from tidewatch.operators import similarity as si
 from tidewatch.plans import access as access_plans
 from tidewatch.plans import calls as call_plans
 from tidewatch.plans import report as report_plans
+from tidewatch.session import materialise
 
 from . import views
 
@@ -171,6 +174,43 @@ def cluster_hour_mean(spark, d):
     return hm.cluster_hour_mean(ro.hour_profile(log), ro.hour_clusters(log, pca=False).rows)
 
 
+def labelled_props(spark, d):
+    """Role proportions with the kind of event in a command as its cluster."""
+    kind = F.split("command", " ")[0]
+    label = F.lit(None).cast("int")
+    for i, name in enumerate(views.COMMANDS):
+        label = F.when(kind == name, i).otherwise(label)
+    props = ro.role_proportions(views.commands(spark, d)).withColumn("cluster", label)
+    return props.withColumn("purity", purity("human_prop", "functional_prop"))
+
+
+def labelled_usage(spark, d):
+    return hm.cluster_usage(views.commands(spark, d), labelled_props(spark, d))
+
+
+def labelled_hour_mean(spark, d):
+    return rounded(hm.cluster_hour_mean(ro.hour_profile(views.commands(spark, d)), labelled_props(spark, d)))
+
+
+def labelled_purity(spark, d):
+    return ro.purity_tables(labelled_props(spark, d), 8)
+
+
+def labelled_stats(spark, d):
+    return rounded(ro.cluster_stats(labelled_props(spark, d)))
+
+
+def labelled_silhouette(spark, d):
+    points = labelled_props(spark, d).select(F.array("human_prop", "functional_prop").alias("point"), "cluster")
+    return rounded(silhouette(points))
+
+
+def price_quantiles(spark, d):
+    prices = views.table(spark, d, "lineitem").select("l_extendedprice")
+    found = [(q, exact_quantile(prices, "l_extendedprice", q, 1000)) for q in (0.01, 0.5, 0.999)]
+    return rounded(spark.createDataFrame(found, "q double, price double"))
+
+
 def compare(spark, d):
     log = views.commands(spark, d)
     split = F.lit(COMPARE_SPLIT).cast("timestamp_ntz")
@@ -304,7 +344,8 @@ SCORED_COLUMNS = [
 
 def scored_days(spark, d):
     """Train on the whole log, then score the batch against the earlier days' baseline."""
-    raw, rules, graph = views.access(spark, d), views.rules(spark, d), daily_graph(spark, d)
+    raw, rules = views.access(spark, d), views.rules(spark, d)
+    graph = materialise(daily_graph(spark, d), "daily-graph")
     models, _ = access_plans.train(raw, graph, rules)
     batch = raw.where(F.col("_time") >= F.lit(BATCH_START).cast("timestamp_ntz"))
     tables = access_plans.infer(batch, graph, rules, models, seeded_baseline(spark, d))
@@ -431,6 +472,12 @@ QUERIES: dict[str, Query] = {
     "q_hour_clusters": hour_clusters,
     "q_cluster_heatmap": cluster_usage,
     "q_cluster_hour_mean": cluster_hour_mean,
+    "q_labelled_usage": labelled_usage,
+    "q_labelled_hour_mean": labelled_hour_mean,
+    "q_labelled_purity": labelled_purity,
+    "q_labelled_stats": labelled_stats,
+    "q_labelled_silhouette": labelled_silhouette,
+    "q_price_quantiles": price_quantiles,
     "q_compare": compare,
     "q_cmd_group": cmd_group,
     "q_novelty_train": novelty_train,
