@@ -243,20 +243,23 @@ def evaluate_rules(rules: Column) -> Column:
 
     A rule that meets all three fields is necessarily the best one.
     """
-    def outcome(rule: Column, i: Column) -> Column:
-        statuses = {
-            f: field_match(F.col(c), rule[f"any_{f}"], rule[f"allowed_{f}"])
+    def states(rule: Column) -> Column:
+        return F.struct(rule["rule_id"].alias("rule_id"), *[
+            field_match(F.col(c), rule[f"any_{f}"], rule[f"allowed_{f}"]).alias(f)
             for f, c in POLICY_FIELDS.items()
-        }
-        met = sum(s.isin("ANY", "ALLOW").cast("int") for s in statuses.values())
-        broken = F.lit(False)
-        for s in statuses.values():
-            broken = broken | (s == "VIOLATION")
+        ])
+
+    def outcome(state: Column, i: Column) -> Column:
+        met, broken = F.lit(0), F.lit(False)
+        for f in POLICY_FIELDS:
+            met = met + state[f].isin("ANY", "ALLOW").cast("int")
+            broken = broken | (state[f] == "VIOLATION")
         return F.struct(
-            met.alias("met"), (-i).alias("rank"), rule["rule_id"].alias("rule_id"),
-            broken.alias("broken"), *[s.alias(f) for f, s in statuses.items()],
+            met.alias("met"), (-i).alias("rank"), state["rule_id"].alias("rule_id"),
+            broken.alias("broken"), *[state[f].alias(f) for f in POLICY_FIELDS],
         )
-    return F.transform(rules, outcome)
+
+    return F.transform(F.transform(rules, states), outcome)
 
 
 def policy_features(events: DataFrame, rules: DataFrame | None, salts: int = RULE_SALTS) -> DataFrame:
