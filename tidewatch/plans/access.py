@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import (
-    BASIC_RISK_CEILING, FUNCTIONAL_FEATURES, FUNCTIONAL_FEATURES_BASIC, HUMAN_FEATURES,
-    POLICY_RISK_CEILING, AccessConfig,
+    BASIC_RISK_CEILING, FUNCTIONAL_FEATURES, FUNCTIONAL_FEATURES_BASIC, HUMAN_FEATURES, AccessConfig,
 )
 from ..ml.forest import IsolationForest, IsolationForestModel
 from ..operators.access import (

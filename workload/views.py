@@ -171,8 +171,3 @@ SQL = {
         WHEN 5 THEN 'ABC' || c_custkey WHEN 6 THEN ' z ' ELSE 'longname' || c_custkey || 'x' END AS "user",
         c_custkey, c_acctbal FROM customer""",
 }
-
-
-def sql(*views: str) -> str:
-    """WITH clause holding the named views."""
-    return "WITH " + ",\n".join(f"{v} AS ({SQL[v]})" for v in views)
