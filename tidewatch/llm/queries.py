@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .minhash import op2_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
 from .tokens import op1_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op5_toxicity": op5_toxicity,
     "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,
 }

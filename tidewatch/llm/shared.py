@@ -34,9 +34,9 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
     The root is the smallest node of the component. Each round every node
     takes the first label among its own and its neighbours', and the links are
-    rewritten to the labels, until none is left. Rounds order the labels by
-    value (which contracts a star at once) and by hash (which contracts a
-    chain by a constant factor) in turn. All joins are between stored tables,
+    rewritten to the labels, until none is left. Two rounds order the labels by
+    value (which contracts a star wholly), the third by hash (which contracts
+    a chain by a constant factor), and so on. All joins are between stored tables,
     so adaptive execution can split a label held by most rows. Nodes without
     links are not returned; null nodes are not allowed.
     """
@@ -45,7 +45,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
     turn = 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if turn % 2:
+        if turn % 3 == 2:
             key = F.struct(F.xxhash64("b", F.lit(turn)), "b")
             own = F.struct(F.xxhash64("a", F.lit(turn)), F.col("a").alias("b"))
         else:
