@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .embeddings import op3_near_embeddings
 from .minhash import op2_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
+from .pages import op4_main_text
 from .tokens import op1_token_counts
 from .toxicity import op5_toxicity
+from .urls import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_near_embeddings": op3_near_embeddings,
+    "op4_main_text": op4_main_text,
     "op5_toxicity": op5_toxicity,
+    "op6_url_filter": op6_url_filter,
     "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,
 }
 
-ORACLES = {"op8_mixing": OP8_SQL}
+ORACLES = {"op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL}
