@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .embeddings import op3_near_embeddings
+from .licenses import op7_license_scan
 from .minhash import op2_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
 from .pages import op4_main_text
+from .search import op9_exact_search
 from .tokens import op1_token_counts
 from .toxicity import op5_toxicity
 from .urls import OP6_SQL, op6_url_filter
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_main_text": op4_main_text,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
+    "op9_exact_search": op9_exact_search,
     "op10_packing": op10_packing,
 }
 
