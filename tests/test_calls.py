@@ -150,10 +150,23 @@ def test_day_by_day_equals_backfill_and_reruns_change_nothing(spark, folder, tmp
     assert {r.metric_name for r in load_unified(spark, one, "baseline").collect()} <= set(ca.BASELINE_METRICS)
 
 
-def test_later_file_stands_for_a_day(spark, folder, tmp_path):
-    write_csv(folder / "calls_04.csv", ["zed,Z,x,2024-01-15 02:00:00"])
-    got = backfill(spark, str(folder), str(tmp_path / "out"))
-    assert {r.user for r in got.where((F.col("date") == "2024-01-15") & (F.col("metric_name") == "total calls volume")).collect()} == {"zed"}
+def test_files_of_a_day_are_one_day(spark, folder, tmp_path):
+    """A second file adds to its day, in any order, and reading either again changes nothing."""
+    write_csv(folder / "calls_04.csv", ["zed,Z,x,2024-01-15 02:00:00", "alice,A,x,2024-01-15 09:30:00"])
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    expected = rows(backfill(spark, str(folder), whole))
+    for name in ("calls_01.csv", "calls_02.csv", "calls_04.csv", "calls_03.csv"):
+        last = run_daily(spark, str(folder / name), parts)
+    assert rows(last) == expected
+    for name in ("calls_04.csv", "calls_03.csv"):
+        assert rows(run_daily(spark, str(folder / name), parts)) == expected
+    assert rows(metrics_of_days(read_calls_folder(spark, str(folder)))) == expected
+    day = last.where((F.col("date") == "2024-01-15") & (F.col("metric_name") == "total calls volume"))
+    before = metrics_of_days(read_calls_folder(spark, str(folder)).where(~F.col("source_file").endswith("calls_04.csv"))).where(
+        (F.col("date") == "2024-01-15") & (F.col("metric_name") == "total calls volume"))
+    calls_of = lambda df: {r.user: r.n for r in df.groupBy("user").agg(F.sum("metric_value").alias("n")).collect()}
+    one, two = calls_of(before), calls_of(day)
+    assert two["zed"] == 1.0 and two["alice"] == one.get("alice", 0.0) + 1
 
 
 def test_missing_unified_table_is_empty(spark, tmp_path):

@@ -146,7 +146,7 @@ def test_five_rows_with_one_odd_are_not_flagged(spark):
 
 def test_curation(spark):
     users = spark.createDataFrame([("ABCD1",), ("svc-app",), (None,), ("jdoe",), ("  MiXed ",), ("Vjohn",)], "user string")
-    ids = spark.createDataFrame([("abcd1",), ("ABCD1",), (None,), ("SVC-APP",)], "vzid string")
+    ids = spark.createDataFrame([("abcd1",), ("ABCD1",), (None,), ("SVC-APP",)], "directory_id string")
     got = acc.curate_accounts(users, ids)
     assert rows(got, "user", "is_functional", "user_type") == sorted([
         ("ABCD1", False, "human_user"), ("svc-app", False, "human_user"), (None, False, "human_user"),

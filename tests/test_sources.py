@@ -25,7 +25,7 @@ def test_unified_dates_are_replaced_one_by_one(spark, tmp_path):
 
 
 def test_ids(spark, tmp_path):
-    spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "vzid string, x int").write.parquet(str(tmp_path / "ids"))
+    spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "directory_id string, x int").write.parquet(str(tmp_path / "ids"))
     assert rows(load_ids(spark, str(tmp_path / "ids"))) == [("a",)]
 
 

@@ -9,12 +9,12 @@ from .text import (
     reason, strip, three_digits, tokens,
 )
 from .times import (
-    day, grid_day, grid_hour, hour_of_week, parse_ts, stringify_ts, week_start,
+    day, grid_day, grid_hour, hour_of_week, parse_ts, stringify_ts, unreadable_times, week_start,
 )
 
 __all__ = [
     "cap_at_one", "day", "edge_width", "edit_similarity", "entropy_bits", "grid_day",
     "grid_hour", "hour_of_week", "is_manual", "likely_functional", "node_size",
-    "normalised_entropy", "normalize_command", "parse_allowlist", "parse_ts", "purity",
+    "normalised_entropy", "normalize_command", "parse_allowlist", "parse_ts", "purity", "unreadable_times",
     "ratio_or_zero", "reason", "stringify_ts", "strip", "three_digits", "tokens", "week_start",
 ]

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 DISPLAY_WIDTH = 19
 
 
+# Forms of time texts beside ISO that are tried in this order; the month comes before the day.
+TIME_FORMATS = (
+    "M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm[:ss] a", "M/d/yyyy", "M-d-yyyy H:mm[:ss]", "yyyy/M/d H:mm[:ss]", "yyyy/M/d",
+    "yyyyMMddHHmmss", "yyyyMMdd HHmmss", "yyyyMMdd HH:mm:ss", "yyyyMMdd", "d MMM yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]",
+    "MMM d, yyyy h:mm[:ss] a",
+)
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -16,14 +24,21 @@ def _col(c: Column | str) -> Column:
 def parse_ts(c: Column | str, *formats: str) -> Column:
     """Timestamp from text, date or timestamp; text that does not parse is null.
 
-    ISO forms are always tried; ``formats`` are further Spark patterns.
+    ISO forms are tried first, then ``formats`` (Spark patterns), or else
+    ``TIME_FORMATS``. A day before the month needs its format named.
     """
     c = _col(c)
     tries = [c.try_cast("timestamp_ntz")]
     tries += [
-        F.try_to_timestamp(c.cast("string"), F.lit(f)).cast("timestamp_ntz") for f in formats
+        F.try_to_timestamp(F.trim(c.cast("string")), F.lit(f)).cast("timestamp_ntz") for f in formats or TIME_FORMATS
     ]
-    return F.coalesce(*tries) if formats else tries[0]
+    return F.coalesce(*tries)
+
+
+def unreadable_times(df: DataFrame, column: str, *formats: str) -> DataFrame:
+    """Time texts of ``column`` that do not parse, with the number of their rows (``n``)."""
+    bad = df.where(F.col(column).isNotNull() & parse_ts(column, *formats).isNull())
+    return bad.groupBy(column).agg(F.count("*").alias("n"))
 
 
 def day(c: Column | str) -> Column:

@@ -21,7 +21,7 @@ COMBINATION = ["user", "remote_address", "device_ip_address", "cmd_group"]
 MISSING_TEXT = "nan"
 COPY_CHUNK = 65_536
 
-# Which columns make up each kind of known key, and the flag for a new one.
+# Which columns make up each kind of known key, and the flag for a new one.
 KEY_KINDS = {
     "remote": ("remote_address", None, "new_remote"),
     "device": ("device_ip_address", None, "new_device"),
@@ -50,7 +50,7 @@ def preprocess_access(raw: DataFrame, cfg: AccessConfig = AccessConfig()) -> Dat
 
     return raw.where(F.col(cfg.user_col).isNotNull()).select(
         F.col(cfg.user_col).cast("string").alias("user"),
-        parse_ts(cfg.time_col).alias("_time"),
+        parse_ts(cfg.time_col, *cfg.time_formats).alias("_time"),
         text(cfg.uid_col).alias("uid"),
         text(cfg.remote_col).alias("remote_address"),
         text(cfg.device_col).alias("device_ip_address"),
@@ -280,7 +280,10 @@ def policy_features(events: DataFrame, rules: DataFrame | None, salts: int = RUL
             F.col("user").alias("rule_user"), "rules",
             F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("rule_salt"),
         )
-        salt = F.pmod(F.xxhash64("remote_address", "device_ip_address", "cmd_group"), F.lit(salts)).cast("int")
+        # The event's own identity is part of the salt: a user who repeats one
+        # combination is spread as well.
+        own = [c for c in ("remote_address", "device_ip_address", "cmd_group", "uid", "_time") if c in events.columns]
+        salt = F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")
         # The condition on the type belongs to the join, so other users' rows
         # do not look for rules.
         attached = events.withColumn("salt", salt).join(
@@ -326,9 +329,9 @@ def event_risk(events: DataFrame, ceiling: int = POLICY_RISK_CEILING, cap: bool
         if part in events.columns:
             total = total + F.col(part)
     share = F.col("event_risk") / F.lit(float(ceiling))
-    return events.withColumn("event_risk", total).withColumn(
-        "event_risk_norm", cap_at_one(share) if cap else share
-    )
+    return events.withColumn("event_risk", total).withColumns({
+        "event_risk_norm": cap_at_one(share) if cap else share, "risk_ceiling": F.lit(float(ceiling)),
+    })
 
 
 def event_risk_basic(events: DataFrame) -> DataFrame:
@@ -338,11 +341,13 @@ def event_risk_basic(events: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- user-days
 
-def user_day_features(events: DataFrame, ceiling: int = POLICY_RISK_CEILING, counts: bool = False) -> DataFrame:
+def user_day_features(events: DataFrame, ceiling: int | None = None, counts: bool = False) -> DataFrame:
     """Rates, risks and volumes per user and day, in one aggregation.
 
-    Policy columns are used when present; ``counts`` adds the flag totals.
+    Policy columns are used when present; ``counts`` adds the flag totals. Risks
+    are shares of the ceiling that the events carry, or of the given one.
     """
+    most = F.col("risk_ceiling") if ceiling is None and "risk_ceiling" in events.columns else F.lit(float(ceiling or POLICY_RISK_CEILING))
     weight = F.col("weight") if "weight" in events.columns else F.lit(1).cast("long")
     has_policy = all(
         f"{f}_{s}" in events.columns for f in POLICY_FIELDS for s in ("violation", "unknown")
@@ -351,7 +356,7 @@ def user_day_features(events: DataFrame, ceiling: int = POLICY_RISK_CEILING, cou
 
     sums = {flag: F.sum(F.col(flag) * weight) for flag in FLAGS}
     # Summing capped whole risks and dividing once keeps the mean exact.
-    sums["risk"] = F.sum(F.least(F.col("event_risk"), F.lit(float(ceiling))) * weight)
+    sums["risk"] = F.sum(F.least(F.col("event_risk"), most) * weight)
     if has_policy:
         for f in POLICY_FIELDS:
             for s in ("violation", "unknown"):
@@ -362,7 +367,7 @@ def user_day_features(events: DataFrame, ceiling: int = POLICY_RISK_CEILING, cou
     totals = events.groupBy("user", "event_date").agg(
         F.min_by("user_type", F.struct("_time", "uid")).alias("user_type"),
         F.sum(weight).alias("total_events"),
-        F.max("event_risk_norm").alias("max_risk_norm"),
+        F.max("event_risk_norm").alias("max_risk_norm"), F.max(most).alias("most_risk"),
         *[expr.alias(f"sum_{name}") for name, expr in sums.items()],
     )
 
@@ -371,7 +376,7 @@ def user_day_features(events: DataFrame, ceiling: int = POLICY_RISK_CEILING, cou
 
     columns = ["user", "event_date", "user_type", "total_events", F.log1p(n).alias("log_events")]
     columns += [rate(flag).alias(f"{flag}_rate") for flag in FLAGS]
-    columns += [(rate("risk") / F.lit(float(ceiling))).alias("avg_risk_norm"), "max_risk_norm"]
+    columns += [(rate("risk") / F.col("most_risk")).alias("avg_risk_norm"), "max_risk_norm"]
     if counts:
         columns += [F.col(f"sum_{flag}").alias(f"{flag}_count") for flag in FLAGS]
     if has_policy:

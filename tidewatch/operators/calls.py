@@ -44,16 +44,13 @@ def file_days(calls: DataFrame) -> DataFrame:
     return calls.groupBy("source_file").agg(F.to_date(F.max("dttm")).alias("date"))
 
 
-def latest_file_per_day(days: DataFrame) -> DataFrame:
-    """Of several files for one day, the last by name stands for the day."""
-    return days.groupBy("date").agg(F.max("source_file").alias("source_file"))
-
-
 def hour_counters(
-    calls: DataFrame, pattern: str = MANUAL_PATTERN, days: DataFrame | None = None
+    calls: DataFrame, pattern: str = MANUAL_PATTERN, days: DataFrame | None = None, by_file: bool = False
 ) -> DataFrame:
     """Per file day and user: calls and manual calls of its 24 hours, as two arrays.
 
+    Several files of one day are added up; ``by_file`` keeps them apart.
+
     ``calls`` needs user, dttm, id_chat and source_file. Every user in a file
     has a row, also when their calls fall on other days. Calls are counted
     before anything is shuffled or joined, so only rows per file, user and date
@@ -67,14 +64,25 @@ def hour_counters(
     counts += [F.count_if((hour == h) & manual).alias(f"m{h}") for h in range(24)]
     counted = calls.groupBy("source_file", "user", F.to_date("dttm").alias("call_date")).agg(*counts)
     of_day = F.col("call_date") == F.col("date")
-    summed = spread(counted.join(days, "source_file"), "user").groupBy("date", "user").agg(*[
+    keys = ["source_file", "date", "user"] if by_file else ["date", "user"]
+    summed = spread(counted.join(days, "source_file"), "user").groupBy(*keys).agg(*[
         F.sum(F.when(of_day, F.col(n)).otherwise(0)).alias(n) for n in names
     ])
     return summed.select(
-        "date", "user", F.array(*names[:24]).alias("totals"), F.array(*names[24:]).alias("manuals")
+        *keys, F.array(*names[:24]).alias("totals"), F.array(*names[24:]).alias("manuals")
     )
 
 
+def add_counters(shares: DataFrame) -> DataFrame:
+    """Counters per day and user from those of the day's files."""
+    summed = spread(shares, "user").groupBy("date", "user").agg(*[
+        F.sum(F.col(kind)[h]).alias(f"{kind}{h}") for kind in ("totals", "manuals") for h in range(24)
+    ])
+    return summed.select("date", "user", *[
+        F.array(*[f"{kind}{h}" for h in range(24)]).alias(kind) for kind in ("totals", "manuals")
+    ])
+
+
 def rows_of_counters(counters: DataFrame, week_anchor: str = "monday") -> DataFrame:
     """The 72 metric rows (24 hours, three metrics) of each day and user."""
     by_hour = counters.select(

@@ -313,7 +313,6 @@ def graph_sample(
             F.coalesce("labelled", F.lit(False)).alias("labelled"),
         )
     )
-    # At most ``n`` names, so the chosen users are sent to every reader.
-    kept = uf.join(F.broadcast(chosen.select("user")), "user", "left_semi")
+    kept = uf.join(chosen.select("user"), "user", "left_semi")
     edges = threshold_edges(projected_edges(kept), min_weight)
     return nodes, edges.withColumn("width", edge_width("weight"))

@@ -35,14 +35,16 @@ def role_events(log: DataFrame, role: str | None = None) -> DataFrame:
     return timed.withColumn("hour_of_week", hour_of_week("timestamp", base=0))
 
 
-def dense_hours(counts: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
-    """Give every key all 168 hours, absent ones 0.
+def dense_hours(counts: DataFrame, keys: list[str], value: str = "n", asked: DataFrame | None = None) -> DataFrame:
+    """Give every key all 168 hours, absent ones 0; ``asked`` names keys that may have no row at all.
 
     ``counts`` has at most one row per key and hour, so the per-key map that
     fills the gaps never holds more than 168 entries.
     """
     entry = F.struct(F.col("hour_of_week"), F.col(value))
     filled = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("by_hour"))
+    if asked is not None:
+        filled = asked.select(*keys).distinct().join(filled, keys, "left")
     zero = F.lit(0).cast(counts.schema[value].dataType)
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(HOURS - 1)),
@@ -51,10 +53,14 @@ def dense_hours(counts: DataFrame, keys: list[str], value: str = "n") -> DataFra
     return filled.select(*keys, F.inline(cells))
 
 
-def hour_counts(events: DataFrame, keys: list[str]) -> DataFrame:
+def hour_counts(events: DataFrame, keys: list[str], asked: DataFrame | None = None) -> DataFrame:
     """Events per key and hour of week over all 168 hours."""
     counts = events.groupBy(*keys, "hour_of_week").agg(F.count("*").alias("n"))
-    return dense_hours(counts, keys)
+    return dense_hours(counts, keys, asked=asked)
+
+
+def _roles(log: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    return log.sparkSession.createDataFrame([(r,) for r in roles], "account_type string")
 
 
 def normalize_grid(grid: DataFrame, mode: str, keys: list[str], value: str = "n") -> DataFrame:
@@ -80,15 +86,15 @@ def _grid(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def role_heatmap(log: DataFrame, role: str = "human", normalize: str = "global") -> DataFrame:
-    """7 x 24 usage of one role as rows (account_type, day, hour, n)."""
-    counts = hour_counts(role_events(log, role), ["account_type"])
+    """7 x 24 usage of one role, all 0 if it has no events, as rows (account_type, day, hour, n)."""
+    counts = hour_counts(role_events(log, role), ["account_type"], _roles(log, (role,)))
     return normalize_grid(_grid(counts, ["account_type"]), normalize, ["account_type"])
 
 
 def compare_roles(log: DataFrame, normalize: str = "global", roles: tuple[str, ...] = ("human", "functional")) -> DataFrame:
     """Role heatmaps side by side in long form, each role scaled alone."""
     events = role_events(log.where(F.col("account_type").isin(*roles)))
-    counts = hour_counts(events, ["account_type"])
+    counts = hour_counts(events, ["account_type"], _roles(log, roles))
     return normalize_grid(_grid(counts, ["account_type"]), normalize, ["account_type"])
 
 
@@ -104,7 +110,7 @@ def top_user_heatmaps(log: DataFrame, role: str = "human", n: int = 6, normalize
     events = role_events(log, role).where(F.col("user").isNotNull())
     by_hour = events.groupBy("user", "hour_of_week").agg(F.count("*").alias("n"))
     chosen = by_hour.groupBy("user").agg(F.sum("n").alias("events")).orderBy(F.desc("events"), "user").limit(n)
-    counts = dense_hours(by_hour.join(F.broadcast(chosen.select("user")), "user", "left_semi"), ["user"])
+    counts = dense_hours(by_hour.join(chosen.select("user"), "user", "left_semi"), ["user"])
     return normalize_grid(_grid(counts, ["user"]), normalize, ["user"])
 
 

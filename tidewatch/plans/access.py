@@ -142,12 +142,12 @@ def infer_and_update(
 ) -> dict[str, DataFrame]:
     """The daily job: score with stored models, then add the batch's keys to the baseline.
 
-    Scores are written out before the baseline changes. Keys stored for
-    ``as_of`` itself are not counted as known, so a repeated run gives the
-    same result.
+    Scores are written out before the baseline changes. Only keys stored
+    before ``as_of`` count as known, so running any day again gives the same
+    result.
     """
     stored = load_baseline(spark, baseline_path)
-    before = stored.where(F.col("as_of").isNull() | (F.col("as_of") != F.lit(as_of).cast("date")))
+    before = stored.where(F.col("as_of").isNull() | (F.col("as_of") < F.lit(as_of).cast("date")))
     models = Models(*load_models(spark, model_path))
     tables = infer(raw, graph, rules, models, before, cfg)
     scored = materialise(tables["scored_user_days"], "scored-user-days")

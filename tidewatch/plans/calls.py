@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import week_start
 from ..functions.text import MANUAL_PATTERN
 from ..operators.calls import (
-    baseline, daily_rows, deviations, file_days, historic_deviations, hour_counters,
-    latest_file_per_day, rows_of_counters,
+    add_counters, baseline, deviations, file_days, historic_deviations, hour_counters, rows_of_counters,
 )
 from ..session import materialise, spread
 from ..sources.files import (
-    load_unified, read_calls_csv, read_calls_folder, save_baseline_snapshot, save_unified,
+    load_shares, load_unified, read_calls_csv, read_calls_folder, save_baseline_snapshot, save_shares, save_unified,
 )
 
 
@@ -25,7 +24,7 @@ def metrics_of_days(
 
     The same rows as running the days one after another, in one pass.
     """
-    days = latest_file_per_day(file_days(calls))
+    days = file_days(calls)
     # The counters are the smallest form of the days; all parts grow from them.
     counters = spread(materialise(hour_counters(calls, pattern, days), "hour-counters"), "user")
     daily = rows_of_counters(counters, week_anchor)
@@ -38,17 +37,29 @@ def metrics_of_days(
     )
 
 
+def _counted_days(spark: SparkSession, calls: DataFrame, out: str, pattern: str) -> DataFrame:
+    """Store the files of ``calls`` and return the counters of all days they touch, with the days' other files.
+
+    A file that is read again replaces its own share only.
+    """
+    shares = materialise(hour_counters(calls, pattern, by_file=True), "file-shares")
+    before = load_shares(spark, out).join(shares.select("source_file").distinct(), "source_file", "left_semi")
+    dates = materialise(shares.select("date").unionByName(before.select("date")).distinct(), "share-dates")
+    save_shares(shares, out)
+    touched = load_shares(spark, out).join(dates, "date", "left_semi")
+    return materialise(add_counters(touched), "day-counters")
+
+
 def run_daily(
     spark: SparkSession, csv_path: str, out: str, cold_start: str = "suppress",
     pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
 ) -> DataFrame:
-    """Add one day's file to the unified table and return the table.
+    """Add one file to its day in the unified table and return the table.
 
-    Running a day again replaces its rows.
+    Several files of a day add up; running a file again changes nothing.
     """
-    daily = materialise(
-        daily_rows(read_calls_csv(spark, csv_path), pattern, week_anchor), "daily-rows"
-    )
+    counters = _counted_days(spark, read_calls_csv(spark, csv_path), out, pattern)
+    daily = materialise(rows_of_counters(counters, week_anchor), "daily-rows")
     as_of_week = daily.agg(F.max("week_start_date")).first()[0]
     stored = load_unified(spark, out, "daily").repartition("user")
     base = materialise(baseline(stored, as_of_week), "baseline")
@@ -62,10 +73,9 @@ def backfill(
     spark: SparkSession, folder: str, out: str, glob: str = "*.csv", cold_start: str = "suppress",
     pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
 ) -> DataFrame:
-    """Build the unified table from a folder of daily files, together with days stored before."""
-    calls = read_calls_folder(spark, folder, glob)
-    days = latest_file_per_day(file_days(calls))
-    fresh = materialise(daily_rows(calls, pattern, week_anchor, days), "daily-rows")
+    """Build the unified table from a folder of call files, together with days stored before."""
+    counters = _counted_days(spark, read_calls_folder(spark, folder, glob), out, pattern)
+    fresh = materialise(rows_of_counters(counters, week_anchor), "daily-rows")
     new_dates = fresh.select("date").distinct()
     stored = load_unified(spark, out, "daily").join(new_dates, "date", "left_anti")
     daily = stored.unionByName(fresh).repartition("user")

@@ -29,11 +29,14 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str, **options: str)
         return spark.createDataFrame([], schema)
 
 
+SHARES = "date DATE, user STRING, totals ARRAY<BIGINT>, manuals ARRAY<BIGINT>, source_file STRING"
+
+
 def _text(column: str) -> Column:
     return F.when(~F.col(column).isin(MISSING_MARKS), F.col(column))
 
 
-def _read_calls(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def _read_calls(spark: SparkSession, path: str, formats: tuple[str, ...] = (), **options: str) -> DataFrame:
     # Headers are checked against each other, and doubled quotes stand for one.
     raw = spark.read.options(header=True, enforceSchema=False, escape='"', **options).csv(path)
     require_columns(raw, CALL_COLUMNS, "call log")
@@ -42,22 +45,26 @@ def _read_calls(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return raw.select(
         strip(_text("user")).alias("user"), _text("account").alias("account"),
         strip(_text("id_chat")).alias("id_chat"),
-        parse_ts("dttm").alias("dttm"), F.col("_metadata.file_path").alias("source_file"),
+        parse_ts("dttm", *formats).alias("dttm"), F.col("_metadata.file_path").alias("source_file"),
     ).dropna(subset=["dttm", "user"])
 
 
-def read_calls_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_calls_csv(spark: SparkSession, path: str, formats: tuple[str, ...] = (), **options: str) -> DataFrame:
     """One day's call log; rows without a readable time or a user are dropped.
 
+    ``formats`` are the forms of its times if they are not the usual ones;
+    ``unreadable_times`` counts texts that do not parse.
     ``options`` are CSV options; ``multiLine`` is needed for notes with line
     breaks and keeps each file in one task.
     """
-    return _read_calls(spark, path, **options)
+    return _read_calls(spark, path, formats, **options)
 
 
-def read_calls_folder(spark: SparkSession, folder: str, glob: str = "*.csv", **options: str) -> DataFrame:
+def read_calls_folder(
+    spark: SparkSession, folder: str, glob: str = "*.csv", formats: tuple[str, ...] = (), **options: str
+) -> DataFrame:
     """Call logs of a folder in one read; ``source_file`` tells them apart."""
-    return _read_calls(spark, folder, pathGlobFilter=glob, **options)
+    return _read_calls(spark, folder, formats, pathGlobFilter=glob, **options)
 
 
 def file_order(calls: DataFrame) -> DataFrame:
@@ -90,6 +97,19 @@ def save_unified(df: DataFrame, path: str) -> None:
     )
 
 
+def load_shares(spark: SparkSession, path: str) -> DataFrame:
+    """What each file added to its day: date, user, counters, source_file."""
+    return _read_or_empty(spark, f"{path}/_shares", SHARES)
+
+
+def save_shares(shares: DataFrame, path: str) -> None:
+    """Store the counters of files beside the unified table, replacing those of the same files."""
+    (
+        shares.repartition("source_file").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("source_file").parquet(f"{path}/_shares")
+    )
+
+
 def save_baseline_snapshot(df: DataFrame, path: str) -> None:
     """Replace the stored averages; an empty snapshot leaves none."""
     (
@@ -105,9 +125,9 @@ def read_table(spark: SparkSession, fmt: str, path: str | None = None, **options
     return reader.load(path) if path else reader.load()
 
 
-def load_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct directory ids, left distributed."""
-    return spark.read.parquet(path).select("vzid").dropna().distinct()
+def load_ids(spark: SparkSession, path: str, column: str = "directory_id") -> DataFrame:
+    """Distinct directory ids, left distributed; ``column`` holds them in the file."""
+    return spark.read.parquet(path).select(F.col(column).alias("directory_id")).dropna().distinct()
 
 
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
@@ -133,8 +153,8 @@ def load_models(spark: SparkSession, path: str) -> tuple[IsolationForestModel, I
     return IsolationForestModel.load(spark, f"{path}/human"), IsolationForestModel.load(spark, f"{path}/functional")
 
 
-def load_report(source: DataFrame, columns: list[str] = REPORT_COLUMNS) -> DataFrame:
+def load_report(source: DataFrame, columns: list[str] = REPORT_COLUMNS, formats: tuple[str, ...] = ()) -> DataFrame:
     """Check and type a report or call-log table read by any source."""
     require_columns(source, columns, "report")
-    typed = source.select(*columns).withColumn("dttm", parse_ts("dttm"))
+    typed = source.select(*columns).withColumn("dttm", parse_ts("dttm", *formats))
     return typed.withColumn("date", F.col("date").try_cast("date")) if "date" in columns else typed

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import purity, stringify_ts
+from tidewatch.functions import parse_ts, purity, stringify_ts, unreadable_times
 from tidewatch.ml.quantile import exact_quantile
 from tidewatch.ml.regression import fit_regression, predict
 from tidewatch.ml.silhouette import silhouette
@@ -60,11 +60,11 @@ def users_by_day_default(spark, d):
 
 
 def user_drill(spark, d):
-    return rp.user_drill(rp.filter_range(report(spark, d), *RANGE), DRILL_USER)
+    return report_plans.user_drill_in_range(views.calls(spark, d).drop("source_file"), DRILL_USER, *RANGE)
 
 
 def account_drill(spark, d):
-    return rp.account_drill(rp.filter_range(report(spark, d), *RANGE), DRILL_ACCOUNT)
+    return report_plans.account_drill_in_range(views.calls(spark, d).drop("source_file"), DRILL_ACCOUNT, *RANGE)
 
 
 def unique_accounts(spark, d):
@@ -104,6 +104,19 @@ def backfill(spark, d):
     return call_plans.metrics_of_days(views.calls(spark, d))
 
 
+def backfill_parts(spark, d):
+    """Several files per day, one of them with calls of the day before."""
+    return call_plans.metrics_of_days(views.call_parts(spark, d))
+
+
+def parsed_times(spark, d):
+    return views.time_texts(spark, d).withColumn("seen_at", parse_ts("seen"))
+
+
+def unreadable(spark, d):
+    return unreadable_times(views.time_texts(spark, d), "seen")
+
+
 def average_matrix(spark, d):
     return hm.average_matrix(baseline(spark, d), "average total calls")
 
@@ -131,6 +144,18 @@ def compare_roles(spark, d):
     return hm.compare_roles(views.commands(spark, d), "row")
 
 
+def compare_roles_absent(spark, d):
+    """A role without events has a matrix of zeros."""
+    return hm.compare_roles(views.commands(spark, d), "row", ("human", "functional", "robot"))
+
+
+def induced(spark, d):
+    """Strong edges among the 40 users of highest degree."""
+    features = gr.user_features(views.similarity_log(spark, d), keep_nulls=True)
+    nodes = gr.top_nodes(gr.weighted_degree(features), 40)
+    return rounded(gr.induced_subgraph(gr.threshold_edges(gr.projected_edges(features), 20), nodes))
+
+
 def top_users(spark, d):
     return hm.top_users(views.commands(spark, d), "functional", 6)
 
@@ -289,7 +314,7 @@ def user_day_by_event(spark, d):
 
 def user_day_counts(spark, d):
     rows = ac.event_risk_basic(ac.novelty_history(clean(spark, d), by_event=False))
-    return rounded(ac.user_day_features(rows, ceiling=125, counts=True))
+    return rounded(ac.user_day_features(rows, counts=True))
 
 
 def daily_graph(spark, d):
@@ -454,6 +479,9 @@ QUERIES: dict[str, Query] = {
     "q_history_zero": first_day_deviations("zero"),
     "q_history_nan": first_day_deviations("nan"),
     "q_backfill": backfill,
+    "q_backfill_parts": backfill_parts,
+    "q_parse_times": parsed_times,
+    "q_unreadable_times": unreadable,
     "q_daily_rows_tuesday": daily_tuesday,
     "q_history_no_status": no_status_deviations,
     "q_avg_matrix": average_matrix,
@@ -463,6 +491,8 @@ QUERIES: dict[str, Query] = {
     "q_role_heatmap_row": role_heatmap("row"),
     "q_role_heatmap_col": role_heatmap("col"),
     "q_compare_roles": compare_roles,
+    "q_compare_roles_absent": compare_roles_absent,
+    "q_induced_subgraph": induced,
     "q_top_users": top_users,
     "q_top_user_heatmap": top_user_heatmap,
     "q_role_props": role_props,

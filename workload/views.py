@@ -45,6 +45,31 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STRAGGLERS = "2024-01-14"
+
+
+def call_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call log in four files per date; some calls of one date come in a file of the date after."""
+    date = F.to_date("ts")
+    late = (date == STRAGGLERS) & (F.col("event_id") % 8 == 0)
+    named = F.concat(F.when(late, F.date_add(date, 1)).otherwise(date).cast("string"), F.lit("-"), (F.col("event_id") % 4).cast("string"))
+    calls_of = table(spark, sf_dir, "events").withColumn("part", named)
+    return calls_of.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"),
+        F.when(F.col("event_type") == "error", "Manual call").otherwise("other call").alias("id_chat"),
+        F.col("ts").alias("dttm"), F.col("part").alias("source_file"),
+    )
+
+
+def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times written in five ways, one of them unreadable."""
+    forms = ["yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm", "yyyyMMddHHmmss", "MM/dd/yyyy hh:mm:ss a"]
+    text = F.lit("soon")
+    for k, form in enumerate(forms):
+        text = F.when(F.col("event_id") % 5 == k, F.date_format("ts", form)).otherwise(text)
+    return table(spark, sf_dir, "events").select("event_id", text.alias("seen"))
+
+
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw access events."""
     cmd = F.lit(None).cast("string")
@@ -132,7 +157,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory ids: account names of customers with a high balance, in upper case."""
-    return accounts(spark, sf_dir).where(F.col("c_acctbal") > 5000).select(F.upper("user").alias("vzid"))
+    return accounts(spark, sf_dir).where(F.col("c_acctbal") > 5000).select(F.upper("user").alias("directory_id"))
 
 
 # ---------------------------------------------------------------- the same in SQL
@@ -146,6 +171,10 @@ SQL = {
     "v_calls": f"""SELECT 'u' || user_id AS "user", 'ACCT' || {K} AS account,
         CASE WHEN event_type = 'error' THEN 'Manual call' ELSE 'other call' END AS id_chat,
         ts AS dttm, CAST(ts AS DATE) AS date FROM events""",
+    "v_parts": f"""SELECT *, max(CAST(ts AS DATE)) OVER (PARTITION BY part) AS day FROM (
+        SELECT 'u' || user_id AS "user", ts, event_type,
+          CASE WHEN CAST(ts AS DATE) = DATE '{STRAGGLERS}' AND event_id % 8 = 0 THEN CAST(ts AS DATE) + 1 ELSE CAST(ts AS DATE) END
+            || '-' || event_id % 4 AS part FROM events)""",
     "v_access": f"""SELECT {USER} AS "user", user_id, ts AS _time, CAST(event_id AS VARCHAR) AS uid,
         '10.0.' || ({K} % 7) AS remote_address, 'dev' || ({K} % 11) AS device_ip_address,
         {COMMAND_CASE} AS cmd, {ROLE} AS user_type FROM events""",
