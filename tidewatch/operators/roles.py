@@ -74,13 +74,42 @@ def _cluster(vectors: DataFrame, k: int, seed: int) -> DataFrame:
     return model.transform(vectors).withColumn("cluster", _renumber(model.clusterCenters())).drop("prediction")
 
 
-def role_clusters(log: DataFrame, seed: int = SEED) -> Clustering:
+def best_split(points: DataFrame, axis: str, coordinates: list[str]) -> DataFrame:
+    """Add ``cluster`` 0 or 1: the cut of ``axis`` that leaves the least squared distances to the two means.
+
+    The exact two-means clustering of points that lie in order on a line, so
+    the result depends on nothing but the points. A cut's gain needs only sums
+    of the points before it; they are added up over 4,096 parts of the axis
+    (from -1 to 1) and then within each part. Of equal cuts the lowest is taken;
+    points that are all at one place are cluster 0.
+    """
+    part = F.floor((F.col(axis) + 1) * 2048)
+    values = points.groupBy(axis).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in coordinates]).withColumn("part", part)
+    names = ["n", *coordinates]
+    parts = values.groupBy("part").agg(*[F.sum(c).alias(c) for c in names])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    starts = parts.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in names],
+                          *[F.sum(c).over(everything).alias(f"{c}_all") for c in names])
+    within = Window.partitionBy("part").orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = values.join(starts, "part").select(axis, *[(F.sum(c).over(within) + F.col(f"{c}_before")).alias(f"{c}_left") for c in names],
+                                              *[f"{c}_all" for c in names])
+    left = sum(F.col(f"{c}_left") * F.col(f"{c}_left") for c in coordinates) / F.col("n_left")
+    rest = [F.col(f"{c}_all") - F.col(f"{c}_left") for c in names]
+    right = sum(r * r for r in rest[1:]) / rest[0]
+    gains = cuts.where(F.col("n_left") < F.col("n_all")).select(axis, F.round(left + right, 9).alias("gain"))
+    best = gains.agg(F.min_by(axis, F.struct(-F.col("gain"), axis)).alias("cut"))
+    return points.withColumn("cluster", F.coalesce((F.col(axis) > best.scalar()).cast("int"), F.lit(0)))
+
+
+def role_clusters(log: DataFrame) -> Clustering:
     """Two clusters of commands by role proportions, with purity and statistics."""
     props = materialise(role_proportions(log), "role-proportions")
-    vectors = props.withColumn("features", array_to_vector(F.array(*[f"{r}_prop" for r in ROLES])))
-    rows = _cluster(vectors, 2, seed).withColumn("purity", purity("human_prop", "functional_prop"))
+    lean = props.withColumn("lean", F.col("human_prop") - F.col("functional_prop"))
+    rows = best_split(lean, "lean", [f"{r}_prop" for r in ROLES]).drop("lean")
+    rows = materialise(rows.withColumn("purity", purity("human_prop", "functional_prop")), "role-clusters")
     centres = cluster_stats(rows)
-    stats = silhouette(rows.select(vector_to_array("features").alias("point"), "cluster"))
+    stats = silhouette(rows.select(F.array(*[f"{r}_prop" for r in ROLES]).alias("point"), "cluster"))
     distance = F.sqrt(sum(
         F.pow(F.col(f"{r}_0") - F.col(f"{r}_1"), F.lit(2.0)) for r in ROLES
     ))
@@ -91,7 +120,7 @@ def role_clusters(log: DataFrame, seed: int = SEED) -> Clustering:
         distance.alias("centroid_distance"),
         F.col("purity_0").alias("mean_purity_cluster0"), F.col("purity_1").alias("mean_purity_cluster1"),
     )
-    return Clustering(rows.drop("features"), wide.withColumn("silhouette", stats.scalar()))
+    return Clustering(rows, wide.withColumn("silhouette", stats.scalar()))
 
 
 def cluster_stats(rows: DataFrame) -> DataFrame:
@@ -150,7 +179,7 @@ def compare(real: DataFrame, other: DataFrame, k: int = 3, n: int = 8, seed: int
     tables: dict[str, DataFrame] = {}
     summary = None
     for side, log in (("real", real), ("synthetic", other)):
-        roles, hours = role_clusters(log, seed), hour_clusters(log, k, pca=False, seed=seed)
+        roles, hours = role_clusters(log), hour_clusters(log, k, pca=False, seed=seed)
         tables |= {
             f"{side}_props": roles.rows, f"{side}_hours": hours.rows,
             f"{side}_purity": purity_tables(roles.rows, n),

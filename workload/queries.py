@@ -175,13 +175,13 @@ def hour_profile(spark, d):
 
 def role_clusters(spark, d):
     found = ro.role_clusters(views.commands(spark, d))
-    return found.rows.withColumns({
+    return rounded(found.rows.withColumns({
         c: found.stats.select(c).scalar() for c in found.stats.columns
-    })
+    }))
 
 
 def purity_tables(spark, d):
-    return ro.purity_tables(ro.role_clusters(views.commands(spark, d)).rows, 8)
+    return rounded(ro.purity_tables(ro.role_clusters(views.commands(spark, d)).rows, 8))
 
 
 def hour_clusters(spark, d):
