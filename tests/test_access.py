@@ -167,7 +167,7 @@ def test_risk_and_user_day(spark):
     day = ac.user_day_features(ac.event_risk(ac.policy_features(ac.novelty_history(clean), table))).first()
     assert (day.total_events, day.new_remote_rate, day.max_risk_norm, day.avg_risk_norm) == (2, 0.5, 1.0, (325 + 200) / 2 / 325)
     assert (day.policy_violation_rate, day.unknown_policy_ratio, day.avg_policy_risk) == (3.0, 0.0, 200.0)
-    basic = ac.user_day_features(ac.event_risk_basic(ac.novelty_history(clean)), 125, counts=True).first()
+    basic = ac.user_day_features(ac.event_risk_basic(ac.novelty_history(clean)), counts=True).first()
     assert (basic.max_risk_norm, basic.avg_risk_norm, basic.new_device_count) == (1.0, 0.5, 1)
     assert "policy_violation_rate" not in basic
 

@@ -30,6 +30,18 @@ def test_week_start_anchors(spark):
         fn.week_start("x", "friday")
 
 
+def test_parse_ts_reads_the_usual_forms(spark):
+    at = dt.datetime(2024, 8, 1, 13, 5)
+    texts = ["2024-08-01 13:05", "8/1/2024 13:05", "8/1/2024 1:05 PM", "08/01/2024 01:05:00 PM", "20240801130500", "2024/8/1 13:05", "1 Aug 2024 13:05", "Aug 1, 2024 1:05 PM"]
+    assert one(spark, texts, fn.parse_ts("x")) == [at] * len(texts)
+    assert one(spark, ["8/1/2024", "20240801", "13/1/2024", "soon"], fn.parse_ts("x")) == [dt.datetime(2024, 8, 1)] * 2 + [None] * 2
+
+
+def test_unreadable_times_are_counted(spark):
+    df = spark.createDataFrame([("soon",), ("soon",), ("8/1/2024",), (None,)], "x string")
+    assert [tuple(r) for r in fn.unreadable_times(df, "x").collect()] == [("soon", 2)]
+
+
 def test_parse_ts_is_lenient(spark):
     got = one(spark, ["2024-01-05 01:02:03.5", "bad", None, "2024-01-05"], fn.parse_ts("x"))
     assert got == [dt.datetime(2024, 1, 5, 1, 2, 3, 500000), None, None, dt.datetime(2024, 1, 5)]

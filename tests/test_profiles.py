@@ -74,6 +74,27 @@ def test_hour_clusters(log):
     assert rows(again, "command", "cluster") == rows(found.rows, "command", "cluster")
 
 
+def test_clusters_do_not_depend_on_partitions(spark, log):
+    """The same clusters for every number of shuffle partitions."""
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            roles, hours = ro.role_clusters(log), ro.hour_clusters(log, k=3, pca=False)
+            found.append((rows(roles.rows, "command", "cluster"), rows(hours.rows, "command", "cluster")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_points_at_one_place_are_one_cluster(spark):
+    df = spark.createDataFrame([("a", 0.5, 0.5, 0.0), ("b", 0.5, 0.5, 0.0)], "command string, x double, y double, lean double")
+    assert {r.cluster for r in ro.best_split(df, "lean", ["x", "y"]).collect()} == {0}
+    points = spark.createDataFrame([("a", [1.0]), ("b", [1.0])], "command string, point array<double>")
+    assert {r.cluster for r in ro.k_means(points, 3, "command").collect()} == {0}
+
+
 def test_compare(log):
     out = ro.compare(log, log, k=2, n=3)
     table = {r.metric: r for r in out["summary"].collect()}

@@ -3,10 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import plan, rows
 from tidewatch.operators import heatmap as hm
 from tidewatch.operators import report as rp
-from tidewatch.plans.report import date_filter
+from tidewatch.plans.report import account_drill_in_range, date_filter, user_drill_in_range
 from tidewatch.schemas import REPORT_COLUMNS
 from tidewatch.sources import load_report
 
@@ -62,6 +62,20 @@ def test_drills_and_bounds(calls):
     assert rows(rp.date_bounds(calls)) == [(D(2024, 1, 1), D(2024, 1, 3), D(2024, 1, 3), D(2024, 1, 3))]
 
 
+def test_drills_in_range_filter_before_they_count(spark, calls, tmp_path):
+    """The same rows as counting everything first, and the range reaches every scan."""
+    calls.write.parquet(str(tmp_path / "calls"))
+    stored = spark.read.parquet(str(tmp_path / "calls"))
+    whole = rp.filter_range(rp.attach_unique_accounts(stored), "2024-01-01", "2024-01-02")
+    for got, want in (
+        (account_drill_in_range(stored, "A1", "2024-01-01", "2024-01-02"), rp.account_drill(whole, "A1")),
+        (user_drill_in_range(stored, "alice", "2024-01-01", "2024-01-02"), rp.user_drill(whole, "alice")),
+    ):
+        assert rows(got, *want.columns) == rows(want)
+        pushed = [line for line in plan(got).split("PushedFilters: ")[1:]]
+        assert pushed and all("GreaterThanOrEqual(dttm" in p and "LessThan(dttm" in p for p in pushed)
+
+
 def test_date_filter_shows_times_as_text(calls):
     shown, table = date_filter(calls, "2024-01-01", "2024-01-01")
     assert {r.dttm for r in shown.collect()} == {"2024-01-01 08:00:00", "2024-01-01 09:00:00"}
@@ -109,6 +123,12 @@ def test_roles_are_scaled_alone(log):
     assert got.groupBy("account_type").agg(F.max("n").alias("m")).where("m = 1.0").count() == 2
 
 
+def test_asked_roles_without_events_are_zero(log):
+    got = hm.role_heatmap(log, "nobody")
+    assert got.count() == 168 and got.agg(F.sum("n")).first()[0] == 0.0
+    assert hm.compare_roles(log, roles=("human", "nobody")).groupBy("account_type").count().count() == 2
+
+
 def test_top_users_break_ties_by_name(log):
     assert [tuple(r) for r in hm.top_users(log, "human", 1).collect()] == [("h1", 2)]
     assert {r.user for r in hm.top_user_heatmaps(log, "human", 1).collect()} == {"h1"}

@@ -9,10 +9,11 @@ from .text import (
     reason, strip, three_digits, tokens,
 )
 from .times import (
-    day, grid_day, grid_hour, hour_of_week, parse_ts, stringify_ts, unreadable_times, week_start,
+    TIME_FORMATS, day, grid_day, grid_hour, hour_of_week, parse_ts, stringify_ts, unreadable_times, week_start,
 )
 
 __all__ = [
+    "TIME_FORMATS",
     "cap_at_one", "day", "edge_width", "edit_similarity", "entropy_bits", "grid_day",
     "grid_hour", "hour_of_week", "is_manual", "likely_functional", "node_size",
     "normalised_entropy", "normalize_command", "parse_allowlist", "parse_ts", "purity", "unreadable_times",

@@ -37,7 +37,7 @@ def _value_at(values: DataFrame, rank: int, n: int, collect_limit: int) -> float
         else:
             current = values.where((F.col("v") > low) & (F.col("v") < high))
             before, inside = up_to_low, below_high - up_to_low
-    return current.orderBy("v").collect()[rank - before][0]
+    return current.orderBy("v").offset(rank - before).limit(1).first()[0]
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, collect_limit: int = COLLECT_LIMIT) -> float:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +17,8 @@ from ..session import materialise
 from .heatmap import hour_counts, role_events
 
 ROLES = ["human", "functional"]
-SEED = 42
+#: Rounds of k-means at most, and the digits that its sums are rounded to.
+MOST_ROUNDS, DIGITS = 50, 9
 
 
 @dataclass(frozen=True)
@@ -60,18 +60,44 @@ def _vectors(profile: DataFrame, key: str = "command") -> DataFrame:
     return profile.groupBy(key).agg(array_to_vector(ordered).alias("raw"))
 
 
-def _renumber(centers: list[list[float]]) -> Column:
-    """Cluster numbers in the order of the centres, so labels do not depend on the run."""
-    order = sorted(range(len(centers)), key=lambda i: list(centers[i]))
-    out = F.lit(None).cast("int")
-    for new, old in enumerate(order):
-        out = F.when(F.col("prediction") == old, F.lit(new)).otherwise(out)
-    return out
+def _distance(point: str, centre: list[float]) -> Column:
+    """Squared distance, added up in the order of the coordinates."""
+    gaps = F.zip_with(point, F.array(*map(F.lit, centre)), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
 
 
-def _cluster(vectors: DataFrame, k: int, seed: int) -> DataFrame:
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(vectors)
-    return model.transform(vectors).withColumn("cluster", _renumber(model.clusterCenters())).drop("prediction")
+def k_means(points: DataFrame, k: int, key: str, point: str = "point", rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Add ``cluster``: Lloyd's rounds from a start that depends on the points only.
+
+    The first centre is the point of the lowest key, each other the point
+    farthest from its nearest centre, the lowest key among equals. Sums are
+    rounded to ``DIGITS``, so that their order, and with it the partitioning, does not matter.
+    Rounds end when no centre moves. Only centres reach the driver.
+    """
+    centres = [list(points.orderBy(key).first()[point])]
+    while len(centres) < k:
+        nearest = F.round(F.least(*[_distance(point, c) for c in centres], F.lit(float("inf"))), DIGITS)
+        far = points.select(point, key, nearest.alias("gap")).orderBy(F.desc("gap"), key).first()
+        if far["gap"] == 0:
+            break
+        centres.append(list(far[point]))
+    for _ in range(rounds):
+        sums = _assigned(points, point, centres).select("cluster", F.posexplode(point).alias("at", "x")).groupBy("cluster", "at").agg(
+            F.round(F.avg("x"), DIGITS).alias("x"))
+        moved = [list(c) for c in centres]
+        for r in sums.collect():
+            moved[r["cluster"]][r["at"]] = r["x"]
+        if moved == centres:
+            break
+        centres = moved
+    return _assigned(points, point, sorted(centres))
+
+
+def _assigned(points: DataFrame, point: str, centres: list[list[float]]) -> DataFrame:
+    """The number of the nearest centre, the first among equals."""
+    near = F.array_min(F.array(*[
+        F.struct(F.round(_distance(point, c), DIGITS).alias("gap"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]))
+    return points.withColumn("cluster", near["cluster"])
 
 
 def best_split(points: DataFrame, axis: str, coordinates: list[str]) -> DataFrame:
@@ -147,7 +173,7 @@ def purity_tables(rows: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def hour_clusters(log: DataFrame, k: int = 3, pca: bool = True, seed: int = SEED) -> Clustering:
+def hour_clusters(log: DataFrame, k: int = 3, pca: bool = True) -> Clustering:
     """Clusters of commands by standardised hour-of-week shares."""
     vectors = materialise(_vectors(hour_profile(log)), "hour-vectors")
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
@@ -157,8 +183,10 @@ def hour_clusters(log: DataFrame, k: int = 3, pca: bool = True, seed: int = SEED
     rows = scaled.withColumn(
         "features", array_to_vector(F.transform(vector_to_array("scaled"), lambda x: x * factor))
     ).drop("raw", "scaled")
-    rows = materialise(_cluster(rows, k, seed), "hour-clusters")
-    stats = silhouette(rows.select(vector_to_array("features").alias("point"), "cluster"))
+    rows = materialise(rows.withColumn("point", vector_to_array("features")), "hour-points")
+    rows = materialise(k_means(rows, k, "command"), "hour-clusters")
+    stats = silhouette(rows.select("point", "cluster"))
+    rows = rows.drop("point")
     if pca:
         rows = _two_components(rows)
     return Clustering(rows.drop("features"), stats)
@@ -174,12 +202,12 @@ def _two_components(rows: DataFrame) -> DataFrame:
     return out.withColumns({f"pc{i + 1}": coords[i] * F.lit(s) for i, s in enumerate(signs)}).drop("pcs")
 
 
-def compare(real: DataFrame, other: DataFrame, k: int = 3, n: int = 8, seed: int = SEED) -> dict[str, DataFrame]:
+def compare(real: DataFrame, other: DataFrame, k: int = 3, n: int = 8) -> dict[str, DataFrame]:
     """Five metrics of two command logs side by side, and the tables behind them."""
     tables: dict[str, DataFrame] = {}
     summary = None
     for side, log in (("real", real), ("synthetic", other)):
-        roles, hours = role_clusters(log), hour_clusters(log, k, pca=False, seed=seed)
+        roles, hours = role_clusters(log), hour_clusters(log, k, pca=False)
         tables |= {
             f"{side}_props": roles.rows, f"{side}_hours": hours.rows,
             f"{side}_purity": purity_tables(roles.rows, n),

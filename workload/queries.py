@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from tidewatch.operators import similarity as si
 from tidewatch.plans import access as access_plans
 from tidewatch.plans import calls as call_plans
 from tidewatch.plans import report as report_plans
-from tidewatch.session import materialise
+from tidewatch.session import materialise, scratch_root
+from tidewatch.sources import load_baseline, load_unified, save_baseline, save_unified
+from tidewatch.sources.files import save_baseline_snapshot
 
 from . import views
 
@@ -280,6 +283,28 @@ def baseline_update(spark, d):
     return ac.update_baseline(seeded_baseline(spark, d), split_history(spark, d)[1], "2024-01-30")
 
 
+def baseline_roundtrip(spark, d):
+    """Known keys of two days stored, one of them twice, and read back."""
+    path = f"{scratch_root(spark)}/tidewatch/stored-keys-{uuid.uuid4().hex}"
+    old = seeded_baseline(spark, d)
+    save_baseline(old, path)
+    for _ in range(2):
+        before = load_baseline(spark, path).where(F.col("as_of") < "2024-01-30")
+        save_baseline(materialise(ac.new_baseline_keys(before, split_history(spark, d)[1], "2024-01-30"), "new-keys"), path)
+    return load_baseline(spark, path)
+
+
+def unified_roundtrip(spark, d):
+    """The unified table of all days stored, its last days stored again, and read back."""
+    path = f"{scratch_root(spark)}/tidewatch/stored-metrics-{uuid.uuid4().hex}"
+    rows = materialise(backfill(spark, d), "all-metrics")
+    dated = rows.where(F.col("date").isNotNull())
+    save_unified(dated, path)
+    save_unified(dated.where(F.col("date") > LAST_WEEK), path)
+    save_baseline_snapshot(rows.where(F.col("date").isNull()), path)
+    return load_unified(spark, path)
+
+
 def policy(spark, d):
     return ac.policy_features(clean(spark, d), views.rules(spark, d)).select(
         "uid", "user", "policy_status", "policy_risk", "control_gap_risk", "best_rule_id", "matched_rule_id",
@@ -514,6 +539,8 @@ QUERIES: dict[str, Query] = {
     "q_novelty_infer": novelty_infer,
     "q_known_keys": known_keys,
     "q_baseline_update": baseline_update,
+    "q_baseline_roundtrip": baseline_roundtrip,
+    "q_unified_roundtrip": unified_roundtrip,
     "q_policy": policy,
     "q_event_risk": event_risk,
     "q_event_risk_basic": event_risk_basic,
