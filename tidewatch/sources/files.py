@@ -90,7 +90,8 @@ def save_unified(df: DataFrame, path: str) -> None:
     """
     (
         df.withColumn("metric_family", metric_family("metric_name"))
-        .repartition("metric_family", "date", F.pmod(F.xxhash64("user"), F.lit(32)))
+        # Large days are split and small ones merged by their bytes.
+        .hint("rebalance", F.col("metric_family"), F.col("date"))
         .sortWithinPartitions("metric_family", "date", "user", "metric_name", "index_value")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("metric_family", "date").parquet(path)
@@ -139,7 +140,7 @@ def save_baseline(added: DataFrame, path: str) -> None:
 
     Saving a date again replaces that date only.
     """
-    added.repartition("as_of", F.pmod(F.xxhash64("user"), F.lit(32))).write.mode("overwrite").option(
+    added.hint("rebalance", F.col("as_of")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("as_of").parquet(path)
 
