@@ -133,13 +133,19 @@ class IsolationForest:
 
         Rows are chosen by a hash of their key, so the trees do not depend on
         how the data is partitioned. A loose hash threshold thins the rows of
-        each tree before the smallest ``MAX_SAMPLES`` hashes are kept.
+        each tree before the smallest ``MAX_SAMPLES`` hashes are kept; if a tree
+        runs short of rows, all are drawn from.
         """
         n = df.count()
         if n == 0:
             raise ValueError("training set is empty")
         sample = min(MAX_SAMPLES, n)
-        rows = spread(self._sampled(df, features, row_key, n, sample), "tree")
+        rows = materialise(self._sampled(df, features, row_key, sample, OVERSAMPLING * sample / n), "forest-rows")
+        drawn = rows.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") >= sample).count()
+        if drawn < self.n_trees:
+            # A tree got too few rows through the threshold; without it every tree has its smallest hashes.
+            rows = self._sampled(df, features, row_key, sample, 1.0)
+        rows = spread(rows, "tree")
         nodes = rows.groupBy("tree").applyInPandas(self._grower(), NODE_SCHEMA)
         # At most n_trees * (2 * MAX_SAMPLES - 1) rows.
         table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
@@ -148,13 +154,12 @@ class IsolationForest:
         offset = exact_quantile(scores, "iforest_score", self.contamination)
         return IsolationForestModel(table, tuple(features), sample, offset)
 
-    def _sampled(self, df: DataFrame, features: list[str], row_key: list[str], n: int, sample: int) -> DataFrame:
+    def _sampled(self, df: DataFrame, features: list[str], row_key: list[str], sample: int, share: float) -> DataFrame:
         point = F.array(*[F.col(c).cast("double") for c in features]).alias("point")
 
         def draw(tree: Column) -> Column:
             return F.xxhash64(*row_key, tree, F.lit(self.seed))
 
-        share = OVERSAMPLING * sample / n
         trees = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
         if share < 1:
             bound = int(-(2**63) + share * 2**64)

@@ -80,13 +80,16 @@ def zscore_by(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def similarity_anomalies(
-    commands: DataFrame, history: DataFrame, z_threshold: float = Z_THRESHOLD, block_size: int = BLOCK_SIZE
+    commands: DataFrame, history: DataFrame, z_threshold: float = Z_THRESHOLD, block_size: int = BLOCK_SIZE,
+    z_digits: int = Z_DIGITS,
 ) -> DataFrame:
     """Score every command row of every user: similarity to history, z-score, flag.
 
     ``commands`` has user and cleaned_command, ``history`` user, command, freq.
     A command already in the history is 1.0 and needs no comparison. Each
-    distinct command is scored once, then attached to its rows.
+    distinct command is scored once, then attached to its rows. Z-scores are
+    rounded to ``z_digits`` before they meet the threshold, so that the order of
+    a sum decides no flag.
     """
     history = history.groupBy("user", "command").agg(F.sum("freq").alias("freq"))
     wanted = commands.select("user", F.col("cleaned_command").alias("command")).distinct()
@@ -100,4 +103,4 @@ def similarity_anomalies(
         F.coalesce("known", "weighted_avg_similarity", F.lit(0.0)).alias("weighted_avg_similarity"),
     ), "command-scores")
     z = zscore_by(commands.join(scored, ["user", "cleaned_command"]), "user", "weighted_avg_similarity")
-    return z.withColumn("anomaly", F.coalesce(F.round("z_score", Z_DIGITS) < z_threshold, F.lit(False)))
+    return z.withColumn("anomaly", F.coalesce(F.round("z_score", z_digits) < z_threshold, F.lit(False)))
