@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from tidewatch.operators.blocks import block_pairs
 from tidewatch.session import materialise
 
-from .shared import components
+from .shared import components, partitions
 
 WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
@@ -55,6 +55,8 @@ SECOND, SECOND_HASHES = 14, 3
 #: Ranges of hashes that shingles are counted in, and classes per block of a shingle.
 BINS = 256
 BLOCK = 512
+#: Rows of 40 bytes that are broadcast to look up texts; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 SEED = 20_011
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -140,6 +142,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                  pa.array([x.tobytes() for x in bins], pa.binary())], names=[f.name for f in kind.fields])
 
     at = wanted.select("node", F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_key"))
+    if wanted.count() <= BROADCAST_ROWS and not isinstance(wanted.schema["doc_id"].dataType, T.StringType):
+        at = F.broadcast(at)
     found = docs.join(at, F.expr("doc_id <=> want_id and text_key = want_key")).select("node", "text")
     return found.mapInArrow(sets, kind)
 
@@ -209,9 +213,9 @@ def _compared(rows: DataFrame, name: str) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     # Copies only where a shingle has more than one block: each block meets itself and every other.
-    return (
-        block_pairs(dealt).groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-    )
+    # The work is far larger than the bytes, so the number of partitions is stated.
+    met = block_pairs(dealt).repartition(partitions(rows), "shingle", "i", "j")
+    return met.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _stars(rows: DataFrame, order) -> DataFrame:
@@ -268,11 +272,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = materialise(meets.join(classes.drop("keys"), "node"), "near-wanted")
     sets = materialise(_sets(docs, wanted), "near-sets")
     sizes = materialise(wanted.select("node", "meets", "n"), "near-sizes")
-    rest = materialise(met.join(sizes, "node").withColumn("root", F.col("node")), "near-rest")
+    rest = met.select("node", "key").join(sizes, "node").withColumn("root", F.col("node"))
+    rest = materialise(rest, "near-rest")
 
     links = _verified(materialise(_stars(rest, F.col("meets")), "near-stars"), sets, "near-star")
     roots = components(links, "near-star")
-    rest = _open_rows(rest.drop("root"), roots, ["key"], "near-star")
+    rest = _open_rows(rest.select("node", "key"), roots, ["key"], "near-star")
     left = materialise(rest.select("node").distinct(), "near-left")
     if not left.isEmpty():
         prefixes = _open_rows(materialise(_prefixes(left, sets), "near-prefixes"), roots, ["shingle"], "near-prefix")
