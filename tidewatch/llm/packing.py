@@ -36,8 +36,8 @@ from .shared import id_type
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts of texts whose ids a worker remembers before it forgets all of them.
-MEMORY = 400_000
+#: Parts of texts whose ids a worker remembers; as many older ones are kept beside them.
+MEMORY = 250_000
 #: Pieces per bucket in which ranks are counted.
 BUCKET_ROWS = 2048
 
@@ -52,22 +52,52 @@ def token_bytes(path: str):
     """
     import re
 
-    from tokenizers import Tokenizer, pre_tokenizers
+    import tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    # Functions travel to the workers by value; what a worker should remember
+    # from task to task has to hang on a module that it imports.
+    kept = tokenizers.__dict__.setdefault("_remembered_parts", {})
+    if path in kept:
+        return kept[path]
+    tokenizer = tokenizers.Tokenizer.from_file(path)
     model = tokenizer.model
-    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    split = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    whole = re.compile("|".join([r"\s\s", r"[^\S\n ]", "\0", "^[ \n]", "[ \n]$", *map(re.escape, specials)]))
+    # White space other than space and line break, and the mark that parts are given.
+    odd = re.compile("[\\0\\t\\r\\v\\f\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+    runs = ("  ", "\n\n", " \n", "\n ", *specials)
+    # Byte-level BPE shows bytes as characters: printable ones as they are, the others, in order, from 256 on.
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
 
     def packed(ids) -> bytes:
         return array.array("I", ids).tobytes()
 
+    space = chr(shown[32])
+    #: Marks that are pre-tokens of their own after a letter.
+    marks = {c: packed(tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+
     class Parts(dict):
+        """Ids by part. When it is full it starts again, and takes over what is used again."""
+
+        older: dict = {}
+
         def __missing__(self, part):
-            text = part[1:] if part[:1] == "\0" else part if part == "\n" else " " + part
-            found = packed([t.id for piece, _ in split(text) for t in model.tokenize(piece)])
+            found = self.older.get(part)
+            if found is None:
+                if part[-1:] in marks and part[-2:-1].isalpha():
+                    found = self[part[:-1]] + marks[part[-1]]
+                else:
+                    text = part[1:] if part[:1] == "\0" else part if part == "\n" else " " + part
+                    if part.isalpha() and part.isascii():  # one pre-token
+                        pieces = [space + part]
+                    elif part.isalpha():
+                        pieces = [text.encode().decode("latin-1").translate(shown)]
+                    else:
+                        pieces = [piece for piece, _ in split(text)]
+                    found = packed([t.id for piece in pieces for t in model.tokenize(piece)])
             if len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[part] = found
             return found
@@ -75,11 +105,12 @@ def token_bytes(path: str):
     parts = Parts()
 
     def encode(text: str) -> bytes:
-        if not text or whole.search(text):
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, runs)) or odd.search(text):
             return packed(tokenizer.encode(text, add_special_tokens=False).ids)
         # "\0" marks a part without a space before it.
         return b"".join(map(parts.__getitem__, ("\0" + text).replace("\n", " \n \0").split(" ")))
 
+    kept[path] = encode
     return encode
 
 
