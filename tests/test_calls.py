@@ -161,7 +161,7 @@ def test_files_of_a_day_are_one_day(spark, folder, tmp_path):
     for name in ("calls_04.csv", "calls_03.csv"):
         assert rows(run_daily(spark, str(folder / name), parts)) == expected
     assert rows(metrics_of_days(read_calls_folder(spark, str(folder)))) == expected
-    day = last.where((F.col("date") == "2024-01-15") & (F.col("metric_name") == "total calls volume"))
+    day = load_unified(spark, parts).where((F.col("date") == "2024-01-15") & (F.col("metric_name") == "total calls volume"))
     before = metrics_of_days(read_calls_folder(spark, str(folder)).where(~F.col("source_file").endswith("calls_04.csv"))).where(
         (F.col("date") == "2024-01-15") & (F.col("metric_name") == "total calls volume"))
     calls_of = lambda df: {r.user: r.n for r in df.groupBy("user").agg(F.sum("metric_value").alias("n")).collect()}
