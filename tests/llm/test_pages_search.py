@@ -137,3 +137,23 @@ def test_url_sql_runs():
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{SF}/pages.parquet'")
     assert con.sql(urls.OP6_SQL).fetchall()
+
+
+def test_documents_of_every_twentieth_id_are_the_queries(spark, monkeypatch):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = [(r["doc_id"], r["text"]) for r in table.collect()]
+    # Several blocks of queries.
+    monkeypatch.setattr(search, "QUERIES", 3)
+    got = {}
+    for r in search.op9_exact_search(spark, SF).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    want = brute_search(docs, [d for d in docs if d[0] % 20 == 0], search.K)
+    assert len(want) == 10 and {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items() if x}
+    assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-6) for q in got)
+
+
+def test_queries_under_one_id_get_their_own_results(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (None, "b c")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a"), (7, "c"), (8, "c"), (None, "A")], "query_id long, query string")
+    got = Counter((r["query_id"], r["rank"], r["doc_id"]) for r in search.search(docs, asked).collect())
+    assert got == Counter([(7, 1, 1), (7, 1, 2), (7, 2, None), (8, 1, 2), (8, 2, None), (None, 1, 1)])
