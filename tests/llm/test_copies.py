@@ -88,6 +88,16 @@ def test_one_of_each_group_stays(spark, copies):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, root in want.items() if i == root)
 
 
+def test_different_texts_under_null_or_repeated_ids_stay(spark):
+    texts = [(None, "one two three"), (None, "four five six"), (None, "a b c d e f g"), (None, "t u v w x y z"), (1, "red green"), (1, "blue black"),
+             (2, None), (2, ""), (None, None), (None, " "), (None, "one TWO three"), (1, "red  green")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], DOCS)
+    kept = [(r["doc_id"], " ".join((r["text"] or "").lower().split())) for r in minhash.keep_one(docs).collect()]
+    want = [(None, "one two three"), (None, "four five six"), (None, "a b c d e f g"), (None, "t u v w x y z"), (1, "red green"), (1, "blue black"),
+            (2, ""), (2, ""), (None, ""), (None, "")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_bins_bound_intersections():
     rng = np.random.default_rng(2)
     for _ in range(50):

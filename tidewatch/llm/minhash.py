@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from tidewatch.operators.blocks import block_pairs
 from tidewatch.session import materialise
 
-from .shared import components, partitions
+from .shared import WORD, components, partitions
 
 WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
@@ -253,7 +253,7 @@ def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id of every row."""
+    """doc_id, text_key (xxhash64 of the text), n_shingles, root (a number of the component; null for empty sets), component_id of every row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     rows = materialise(sketches(docs), "near-sketches")
     # One class per set; its node is a number made of the set, and one of its documents stands for it.
@@ -289,20 +289,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rooted = materialise(rooted.select("doc_id", "text_key", "n_shingles", "root"), "near-rooted")
     smallest = materialise(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-smallest")
     return rooted.join(smallest, "root", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "text_key", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: its smallest doc_id.
+    """The rows of ``docs`` that stand for their component: its smallest doc_id, null ids last, then its smallest text_key.
 
-    Rows equal in id and text are one document, of which one row stays.
+    Rows equal in id and text are one document, of which one row stays. Texts
+    without words are nobody's duplicates, so all their rows stay.
     """
-    found = materialise(near_duplicates(docs), "near-found")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    alone = kept.groupBy("doc_id", "component_id", "n_shingles").agg(F.min("text_key").alias("text_key"), F.count("*").alias("rows"))
-    alone = materialise(alone.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "rows"), "near-kept")
-    rows = docs.join(alone.drop("rows"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key")), "left_semi")
-    return rows if alone.where("rows > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+    found = near_duplicates(docs).where("root is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rows")
+    alone = found.groupBy("root").agg(F.min(one).alias("one"))
+    alone = materialise(alone.select(F.col("one.doc_id").alias("kept_id"), F.col("one.text_key").alias("kept_key"), "one.rows"), "near-kept")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.where(worded).join(
+        alone.drop("rows"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key")), "left_semi")
+    rows = rows if alone.where("rows > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+    return rows.unionByName(docs.where(~worded))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
