@@ -89,6 +89,17 @@ def test_licenses_are_told_apart_by_their_words(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_every_notice_of_a_block_is_found(spark):
+    texts = {
+        1: "\n".join(["Released under the MIT License."] * 5), 2: "Licensed under CC BY 4.0.\nReleased under the MIT License.",
+        3: "The library that we describe here, with all of its parts and tools, is released under the MIT License and can be had from our site.",
+        4: "word " * 3000 + "Licensed under the Apache License, Version 2.0. " + "word " * 3000 + "All rights reserved. All rights reserved.",
+    }
+    found = Counter((r["doc_id"], r["start"], r["license"]) for r in licenses.scan(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect())
+    assert found == Counter([*((1, k, "MIT") for k in range(5)), (2, 0, "CC-BY-4.0"), (2, 1, "MIT"), (3, 0, "MIT"), (4, 0, "Apache-2.0"),
+                             (4, 0, "Proprietary"), (4, 0, "Proprietary")])
+
+
 def brute_search(docs, queries, k):
     found = {i: search.terms_of(t) for i, t in docs}
     n, mean = len(docs), sum(map(len, found.values())) / len(docs)
