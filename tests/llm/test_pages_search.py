@@ -1,6 +1,7 @@
 """Pages, URLs, license scans and search against brute force and own rows."""
 
 import math
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -100,6 +101,18 @@ def test_every_notice_of_a_block_is_found(spark):
                              (4, 0, "Proprietary"), (4, 0, "Proprietary")])
 
 
+def test_wrapped_and_full_licenses_are_found(spark):
+    mit = [t for n, t in licenses.MORE if n == "MIT" and len(t) > 100]
+    texts = {
+        1: "x\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met:\n\ny",
+        2: "Released under the MIT\nLicense.", 3: "\n\n".join("\n".join(textwrap.wrap(t, 60)) for t in ["MIT License", "Copyright (c) 2020 Me", *mit]),
+        4: "# SPDX-License-Identifier: MIT\ncode", 5: "// SPDX-License-Identifier: GPL-3.0-or-later",
+    }
+    found = [(r["doc_id"], r["start"], r["license"]) for r in licenses.scan(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()]
+    assert sorted(x for x in found if x[0] != 3) == [(1, 2, "BSD-3-Clause"), (2, 0, "MIT"), (4, 0, "MIT"), (5, 0, "GPL-3.0")]
+    assert [x[2] for x in found if x[0] == 3] == ["MIT"] * 4
+
+
 def brute_search(docs, queries, k):
     found = {i: search.terms_of(t) for i, t in docs}
     n, mean = len(docs), sum(map(len, found.values())) / len(docs)
