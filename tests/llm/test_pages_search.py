@@ -37,6 +37,16 @@ def test_varying_slots_are_the_text(spark):
     assert len(got) == len(rows) + len(odd)
 
 
+def test_text_beside_the_largest_part_stays(spark):
+    bodies = {"a": "<pre>{0} {1}</pre><p>End of {0}</p>", "b": "<div class=lead>Lead {0}</div><div class=body>{0} {1}</div><div class=terms>Same terms</div>",
+              "c": "<article><p>Short {0}</p></article><div class=rest><p>{0} {1}</p></div>", "d": "<article><p>{0} {1}</p></article><div><p>Same</p></div>"}
+    rows = [(k, f"https://{host}.example/{k}", f"<html><body>{body.format(k, 'long text ' * 20)}</body></html>") for host, body in bodies.items() for k in range(6)]
+    long = " ".join(["long text"] * 20)
+    got = {r["url"]: r["text"] for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["https://a.example/3"] == f"3 {long}\nEnd of 3" and got["https://b.example/3"] == f"Lead 3\n3 {long}"
+    assert got["https://c.example/3"] == f"Short 3\n3 {long}" and got["https://d.example/3"] == f"3 {long}"
+
+
 def test_tree_matching_counts_aligned_nodes():
     trees = [pages.tree_of(pages.parse(h)) for h in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><p>x</p><ul><li>y</ul><h1>z</h1></div>")]
     # Root, div, and p > ul > li in order; h1 crosses over.

@@ -6,9 +6,10 @@ all), and trees of a host are merged by simple tree matching: the alignment of
 ordered children, node by node from the root, that matches most nodes. A merged
 node keeps the texts that all its pages have in common: those are constant and
 belong to the template; the others fill its slots. From a host's merged tree
-follow the region of the main text, which is the article, or else the smallest
-node with most of the varying text outside of links and of elements that are
-marked as something else, and the constant texts to leave out in it.
+follow the region of the main text, which is the article if it holds all of the
+varying text outside of links and of elements that are marked as something
+else, or else the smallest node that does, and the constant texts to leave out
+in it.
 
 Trees are merged within each task, then in two steps per host, so what is
 shuffled are trees, which do not grow with the number of pages. Pages are not
@@ -63,9 +64,8 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 LETTERS = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 
-#: Pages a constant text must stand on, and the share of text a region must hold.
+#: Pages a constant text must stand on.
 CONSTANT_PAGES = 5
-ARTICLE_SHARE, REGION_SHARE = 0.25, 0.6
 #: Hosts whose trees a task holds before it passes them on.
 HELD_HOSTS = 1000
 
@@ -155,8 +155,8 @@ def _length(text: str) -> int:
 
 
 def tree_of(element: Element, linked: bool = False) -> dict:
-    """The mergeable tree of an element: key, other, pages, texts in common, characters, characters in links, children."""
-    node = {"k": element.key, "o": element.other, "n": 1, "t": [], "c": 0, "l": 0, "x": []}
+    """The mergeable tree of an element: key, other, pages, texts in common, whether its texts vary, characters, characters in links, children."""
+    node = {"k": element.key, "o": element.other, "n": 1, "t": [], "v": False, "c": 0, "l": 0, "x": []}
     texts, byname = set(), {}
     linked = linked or element.tag == "a"
     if element.tag in BLOCKS or element.tag == "#":
@@ -234,6 +234,7 @@ def _aligned(one: list, two: list, merge) -> list:
 
 def merge_pages(one: dict, two: dict) -> dict:
     """Merge the trees of different pages: constant texts stay, numbers are added."""
+    one["v"] = one["v"] or two["v"] or one["t"] != two["t"]
     one["t"] = sorted({*one["t"]} & {*two["t"]})
     for field in "ncl":
         one[field] += two[field]
@@ -241,35 +242,50 @@ def merge_pages(one: dict, two: dict) -> dict:
     return one
 
 
-def _content(node: dict) -> int:
-    """Characters of a subtree that are not in links or in elements marked as something else."""
-    return 0 if node["o"] else node["c"] - node["l"] + sum(_content(x) for x in node["x"])
+def _own(node: dict) -> int:
+    """Characters of a node's own lines and the inline elements in them, outside of links and marked elements."""
+    return node["c"] - node["l"] + sum(_own(x) for x in node["x"] if not x["o"] and x["k"].split(".")[0] not in BLOCKS)
+
+
+def _varying(node: dict, left: frozenset = frozenset(), path: str = "") -> int:
+    """Characters of a subtree that are not known as template, outside of links, marked elements and the paths ``left``."""
+    if node["o"] or path in left:
+        return 0
+    block = node["k"].split(".")[0] in BLOCKS or node["k"] == "#"
+    own = node["c"] - node["l"] if not block or node["v"] or node["n"] < CONSTANT_PAGES else 0
+    for x in node["x"]:
+        if block and not own and x["k"].split(".")[0] not in BLOCKS and not (node["v"] or node["n"] < CONSTANT_PAGES):
+            # The inline elements of a constant line are constant, the blocks in them may vary.
+            own += _varying(x, left, f"{path}>{x['k']}") - _own(x) if not x["o"] else 0
+        else:
+            own += _varying(x, left, f"{path}>{x['k']}")
+    return own
 
 
 def region(tree: dict) -> list[str]:
-    """Paths of the main text: articles, else main elements, else the smallest node with most text."""
-    total = _content(tree)
+    """Paths of the main text: articles, else main elements, else the smallest node, with all varying text outside of links and marked elements."""
     for name in ("article", "main"):
         found = []
 
         def look(node, path):
             if node["o"]:
                 return
-            if node["k"].split(".")[0] == name and _content(node) >= ARTICLE_SHARE * total:
+            if node["k"].split(".")[0] == name:
                 found.append(path)
                 return
             for x in node["x"]:
                 look(x, f"{path}>{x['k']}")
 
         look(tree, tree["k"])
-        if found:
+        if found and _varying(tree) and not _varying(tree, frozenset(found), tree["k"]):
             return found
     path, node = tree["k"], tree
     while True:
-        most = max(node["x"], key=_content, default=None)
-        if most is None or _content(most) < REGION_SHARE * max(total, 1) or most["k"].split(".")[0] in ("p", "li", "span", "b", "i", "h1"):
+        total = _varying(node)
+        inner = next((x for x in node["x"] if total and _varying(x) == total), None)
+        if inner is None or inner["k"].split(".")[0] not in BLOCKS or inner["k"].split(".")[0] in ("p", "li", "h1"):
             return [path]
-        path, node = f"{path}>{most['k']}", most
+        path, node = f"{path}>{inner['k']}", inner
 
 
 def rules_of(tree: dict) -> dict:
