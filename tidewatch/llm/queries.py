@@ -9,6 +9,7 @@ from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
 from .pages import op4_main_text
 from .search import op9_exact_search
+from .sharding import OP11_SQL, op11_sharding
 from .tokens import op1_token_counts
 from .toxicity import op5_toxicity
 from .urls import OP6_SQL, op6_url_filter
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_search": op9_exact_search,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
 }
 
-ORACLES = {"op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op11_sharding": OP11_SQL}

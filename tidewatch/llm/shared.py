@@ -21,6 +21,29 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (case is ignored, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def crc32_table_sql() -> str:
+    """DuckDB CTEs (of a WITH RECURSIVE) that end in ``crc_table``, one row with the table of CRC-32."""
+    return """crc_steps(i, x, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(x ORDER BY i) AS crc_list FROM crc_steps WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of the UTF-8 bytes of ``text``, beside the one row of ``crc_table``."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    return (f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, crc_list[(xor(c, b) & 255) + 1]), "
+            "CAST(4294967295 AS BIGINT)))")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
