@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embeddings import op3_near_embeddings
 from .licenses import op7_license_scan
+from .manifest import OP13_SQL, op13_manifest
 from .minhash import op2_near_duplicates
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_exact_search": op9_exact_search,
     "op10_packing": op10_packing,
     "op11_sharding": op11_sharding,
+    "op13_manifest": op13_manifest,
 }
 
-ORACLES = {"op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op11_sharding": OP11_SQL}
+ORACLES = {"op6_url_filter": OP6_SQL, "op8_mixing": OP8_SQL, "op11_sharding": OP11_SQL, "op13_manifest": OP13_SQL}
