@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .embeddings import op3_near_embeddings
 from .licenses import op7_license_scan
 from .manifest import OP13_SQL, op13_manifest
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_exact_search": op9_exact_search,
     "op10_packing": op10_packing,
     "op11_sharding": op11_sharding,
+    "op12_alignment": op12_alignment,
     "op13_manifest": op13_manifest,
 }
 

@@ -10,7 +10,7 @@ by text_key first, and a range of one text by doc_id and row. Sums over
 ranges, which are exact, then give each row its place in the order of all rows
 and the bytes before it, and a shard is an equal share of those bytes.
 
-Copies of a text stay in one shard unless they are more than a 200th of a
+Copies of a text stay in one shard unless they are more than a 100th of a
 shard (``WHOLE``); then the border may run between them. Only rows of about
 100 bytes are shuffled, never texts.
 
@@ -35,7 +35,7 @@ RANGE_ROWS = 1024
 FAN_OUT = 1024
 SAMPLED = 16
 #: Copies with fewer bytes than this part of a shard are never parted.
-WHOLE = 200
+WHOLE = 100
 #: A text's key: the first hexadecimal digits of its MD5.
 KEY_DIGITS = 16
 
@@ -47,11 +47,12 @@ def text_key(text: Column | str) -> Column:
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, text_key and a number of the row, stored."""
+    """doc_id, size, text_crc32, text_key, a number of the row, and the range of all rows, stored."""
     text = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        text_key(text).alias("text_key"), F.monotonically_increasing_id().alias("row"))
+        text_key(text).alias("text_key"), F.monotonically_increasing_id().alias("row"),
+        F.lit(0).cast("long").alias("top"), F.lit(0).cast("long").alias("range"))
     return materialise(rows, "shard-rows")
 
 
@@ -95,12 +96,13 @@ def _stats(rows: DataFrame, name: str) -> DataFrame:
 
 def ranged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with ``top`` and ``range``, and the stored ranges (top, range, n, bytes, low, high, first) of at most RANGE_ROWS rows."""
-    waiting = rows.withColumns({"top": F.lit(0).cast("long"), "range": F.lit(0).cast("long")})
-    stats = _stats(waiting, "shard-all")
+    waiting, stats = rows, _stats(rows, "shard-all")
     done, ranges, level = [], [], 0
     while True:
-        splits = materialise(splitters(waiting, stats, level), "shard-splitters")
-        dealt = waiting.join(splits, "range", "left").withColumn("part", search(F.col("splits"), F.struct(*_KEY)).cast("long"))
+        # At first there is one range, so one row is looked up; later the tables' sizes decide.
+        small = F.broadcast if level == 0 else lambda table: table
+        splits = materialise(splitters(waiting, small(stats), level), "shard-splitters")
+        dealt = waiting.join(small(splits), "range", "left").withColumn("part", search(F.col("splits"), F.struct(*_KEY)).cast("long"))
         dealt = dealt.withColumns({
             "range": F.col("range") * (4 * FAN_OUT) + F.col("part") + 1, "top": F.col("part") if level == 0 else F.col("top")})
         dealt = materialise(dealt.drop("part", "splits"), "shard-dealt")
