@@ -14,15 +14,16 @@ on their full sets, fewest comparisons first:
 2. the classes of buckets that hold more than one component then, by prefixes:
    a set's prefix is its rarest shingles, one more than may be missing from a
    set it links to, so linked sets share a shingle of their prefixes. Classes
-   of different components that share one are compared by bins (how many
+   of different components that share one form a family if their bins (how many
    shingles fall in each of 256 ranges of hashes), which bound the intersection
-   from above, and those that can still link on their full sets.
+   from above, do not exclude a link. The full sets of a family are compared
+   block by block inside tasks, leaving out what is already joined.
 
 A bucket whose classes are already linked to each other needs no more
 comparisons, so the work on a large group of near copies is in proportion to
-its members. Shingles that many prefixes hold are compared block by block, and
-only pairs that pass leave a task. Nothing is capped: every pair of a bucket is
-linked through others, compared, or excluded by a bound.
+its members. Tasks return spanning forests, never the pairs they compared.
+Nothing is capped: every pair of a bucket is linked through others, compared,
+or excluded by a bound.
 
 Cases: a null text or one without words has the empty set, size 0, and links
 with nothing; shorter texts have their whole sequence as one shingle; equal
@@ -41,10 +42,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.blocks import block_pairs
+from tidewatch.operators.blocks import block_pairs, with_blocks
 from tidewatch.session import materialise
 
-from .shared import WORD, components, partitions
+from .shared import WORD, components, free_name, partitions, ranges
 
 WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
@@ -55,8 +56,6 @@ SECOND, SECOND_HASHES = 14, 3
 #: Ranges of hashes that shingles are counted in, and classes per block of a shingle.
 BINS = 256
 BLOCK = 512
-#: Rows of 40 bytes that are broadcast to look up texts; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 SEED = 20_011
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -136,15 +135,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = [shingles(x.as_py()) for x in batch.column(1)]
-            bins = [np.minimum(np.bincount((x >> np.uint64(56)).astype("int64"), minlength=BINS), 255).astype("uint8") for x in members]
+            bins = _bins(members)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in members], pa.int64()), pa.array([x.tobytes() for x in members], pa.binary()),
                  pa.array([x.tobytes() for x in bins], pa.binary())], names=[f.name for f in kind.fields])
 
     at = wanted.select("node", F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_key"))
-    if wanted.count() <= BROADCAST_ROWS and not isinstance(wanted.schema["doc_id"].dataType, T.StringType):
-        at = F.broadcast(at)
-    found = docs.join(at, F.expr("doc_id <=> want_id and text_key = want_key")).select("node", "text")
+    # The same join at every size: the wanted rows grow with the table.
+    found = docs.join(at.hint("merge"), F.expr("doc_id <=> want_id and text_key = want_key")).select("node", "text")
     return found.mapInArrow(sets, kind)
 
 
@@ -189,33 +187,92 @@ def _near_sizes(one: str, other: str):
     return F.least(one, other) * whole >= F.greatest(one, other) * part
 
 
-def _compared(rows: DataFrame, name: str) -> DataFrame:
-    """Pairs of nodes of stored ``rows`` (shingle, node, root, n, bins) that may link by their bins."""
+def _bins(members: list[np.ndarray]) -> np.ndarray:
+    """How many shingles of each set fall in each range of hashes; a count of 255 stands for any larger one."""
+    out = np.zeros((len(members), BINS), "uint8")
+    for k, x in enumerate(members):
+        out[k] = np.minimum(np.bincount((x >> np.uint64(56)).astype("int64"), minlength=BINS), 255)
+    return out
+
+
+def _may_link(bins: np.ndarray, n: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """Those sets ``at`` whose bins and sizes do not exclude a link with set k."""
     part, whole = LIMIT
+    at = at[whole * np.minimum(n[at], n[k]) >= part * np.maximum(n[at], n[k])]
+    most = np.minimum(bins[at], bins[k]).sum(1, dtype="int64")
+    # A bin counts up to 255 only, so it bounds nothing for sets that may hold more.
+    return at[(whole * most >= part * (n[at] + n[k] - most)) | (np.maximum(n[at], n[k]) > 255 * 16)]
+
+
+def _later(block: np.ndarray, k: int) -> np.ndarray:
+    """The rows that row k is compared with: those after it in a single block, else those of the other block."""
+    return np.arange(len(block)) > k if block[0] == block.min() == block.max() else block > block[k]
+
+
+def _families(rows: DataFrame, name: str) -> DataFrame:
+    """node, family of stored ``rows`` (shingle, node, root, n, bins): sets that may link, by chains, under a shared shingle.
+
+    Each block of a shingle returns a spanning forest, so rows come out in proportion to rows in.
+    """
     sizes = materialise(rows.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")), f"{name}-blocks")
     dealt = rows.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
 
-    def compare(group: pa.Table) -> pa.Table:
+    def chain(group: pa.Table) -> pa.Table:
         block, node, root, n = (group.column(c).to_numpy() for c in ("block", "node", "root", "n"))
         bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), "uint8").reshape(-1, BINS)
-        one_block = block.min() == block.max()
-        found = []
+        label, found = np.arange(len(node)), []
         for k in range(len(node)):
-            other = (root != root[k]) & (whole * np.minimum(n, n[k]) >= part * np.maximum(n, n[k]))
-            other &= (np.arange(len(node)) > k) if one_block else (block > block[k])
-            at = np.flatnonzero(other)
-            if len(at):
-                most = np.minimum(bins[at], bins[k]).sum(1, dtype="int64")
-                # A bin counts up to 255 only, so it bounds nothing for sets that may hold more.
-                at = at[(whole * most >= part * (n[at] + n[k] - most)) | (np.maximum(n[at], n[k]) > 255 * 16)]
-                found += [(min(node[k], x), max(node[k], x)) for x in node[at]]
+            at = np.flatnonzero(_later(block, k) & (root != root[k]) & (label != label[k]))
+            for other in _may_link(bins, n, k, at):
+                if label[other] != label[k]:
+                    label[label == label[other]] = label[k]
+                    found.append((node[k], node[other]))
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     # Copies only where a shingle has more than one block: each block meets itself and every other.
     # The work is far larger than the bytes, so the number of partitions is stated.
     met = block_pairs(dealt).repartition(partitions(rows), "shingle", "i", "j")
-    return met.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    chains = met.groupBy("shingle", "i", "j").applyInArrow(chain, "a long, b long")
+    return components(chains, f"{name}-families").withColumnRenamed("root", "family")
+
+
+def _confirmed(families: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Links a, b of a spanning forest of stored ``families`` (node, family, root), confirmed on full sets.
+
+    A family's sets travel to the tasks that compare them, block by block, and
+    only links that join two groups leave a task.
+    """
+    part, whole = LIMIT
+    met = block_pairs(with_blocks(families, ["family"], ["node"], BLOCK)).join(sets.select("node", "members"), "node")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        block, node = group.column("block").to_numpy(), group.column("node").to_numpy()
+        members = [np.frombuffer(x, "uint64") for x in group.column("members").to_pylist()]
+        n, bins = np.array([len(x) for x in members], "int64"), _bins(members)
+        # Shingles by number, so that a set is a row of flags.
+        flat = np.unique(np.concatenate(members), return_inverse=True)[1]
+        start = np.cumsum(n) - n
+        mine = np.zeros(flat.max() + 1, bool)
+        label = np.unique(group.column("root").to_numpy(), return_inverse=True)[1]
+        found = []
+        for k in range(len(node)):
+            at = _may_link(bins, n, k, np.flatnonzero(_later(block, k) & (label != label[k])))
+            if not len(at):
+                continue
+            own = flat[start[k]:start[k] + n[k]]
+            mine[own] = True
+            both = np.add.reduceat(mine[flat[ranges(start[at], n[at])]], np.cumsum(n[at]) - n[at], dtype="int64")
+            mine[own] = False
+            for other in at[whole * both >= part * (n[at] + n[k] - both)]:
+                if label[other] != label[k]:
+                    label[label == label[other]] = label[k]
+                    found.append((node[k], node[other]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = met.select("family", "i", "j", "block", "node", "root", "members").repartition(partitions(families), "family", "i", "j")
+    return materialise(dealt.groupBy("family", "i", "j").applyInArrow(confirm, "a long, b long"), f"{name}-links")
 
 
 def _stars(rows: DataFrame, order) -> DataFrame:
@@ -266,7 +323,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     tables = classes.select("node", "keys", F.explode(F.sequence(F.lit(0), F.lit(FIRST * SECOND - 1))).alias("t")).select(
         "node", F.xxhash64(F.col("t"), F.expr(f"keys[t div {SECOND}]"), F.expr(f"keys[{FIRST} + t % {SECOND}]")).alias("key"))
-    met = materialise(tables.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "near-met")
+    shared = materialise(tables.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-keys")
+    met = materialise(tables.join(shared, "key"), "near-met")
 
     meets = materialise(met.groupBy("node").agg(F.sum("size").alias("meets")), "near-meets")
     wanted = materialise(meets.join(classes.drop("keys"), "node"), "near-wanted")
@@ -282,8 +340,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not left.isEmpty():
         prefixes = _open_rows(materialise(_prefixes(left, sets), "near-prefixes"), roots, ["shingle"], "near-prefix")
         prefixes = materialise(prefixes.join(sets.drop("members"), "node"), "near-binned")
-        more = _verified(materialise(_compared(prefixes, "near-compared"), "near-pairs"), sets, "near-rest")
-        roots = components(links.unionByName(more), "near-all")
+        families = materialise(_rooted(_families(prefixes, "near"), roots), "near-family")
+        roots = components(links.unionByName(_confirmed(families, sets, "near-rest")), "near-all")
 
     rooted = _rooted(rows.withColumn("node", F.when(F.col("n_shingles") > 0, node)), roots)
     rooted = materialise(rooted.select("doc_id", "text_key", "n_shingles", "root"), "near-rooted")
@@ -298,14 +356,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows equal in id and text are one document, of which one row stays. Texts
     without words are nobody's duplicates, so all their rows stay.
     """
-    found = near_duplicates(docs).where("root is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    found = materialise(near_duplicates(docs).where("root is not null"), "near-found").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rows")
     alone = found.groupBy("root").agg(F.min(one).alias("one"))
-    alone = materialise(alone.select(F.col("one.doc_id").alias("kept_id"), F.col("one.text_key").alias("kept_key"), "one.rows"), "near-kept")
+    kept_id, kept_key = free_name(docs, "kept_id"), free_name(docs, "kept_key")
+    alone = alone.select(F.col("one.doc_id").alias(kept_id), F.col("one.text_key").alias(kept_key), F.col("one.rows").alias("n_rows"))
+    alone = materialise(alone, "near-kept")
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = docs.where(worded).join(
-        alone.drop("rows"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key")), "left_semi")
-    rows = rows if alone.where("rows > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+        alone.drop("n_rows"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_key)), "left_semi")
+    rows = rows if alone.where("n_rows > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
     return rows.unionByName(docs.where(~worded))
 
 
