@@ -3,8 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import plan, rows
 from tidewatch.operators import calls as ca
+from tidewatch.operators import heatmap as hm
+from tidewatch.plans import calls as plans
 from tidewatch.plans.calls import backfill, metrics_of_days, run_daily
 from tidewatch.schemas import UNIFIED
 from tidewatch.sources import file_order, load_unified, read_calls_csv, read_calls_folder
@@ -169,6 +171,92 @@ def test_files_of_a_day_are_one_day(spark, folder, tmp_path):
     assert two["zed"] == 1.0 and two["alice"] == one.get("alice", 0.0) + 1
 
 
+def spoil(out, before):
+    """Overwrite the daily partitions of dates before ``before`` with bytes that cannot be read."""
+    for folder in (out / "metric_family=daily").iterdir():
+        if folder.name < f"date={before}":
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"unreadable")
+                (folder / f".{file.name}.crc").unlink(missing_ok=True)
+
+
+def test_a_day_reads_no_older_week(spark, folder, tmp_path):
+    """Within a week no daily row is read for the averages, and a new week reads those of the week before."""
+    out = tmp_path / "out"
+    for name in sorted(WEEKS):
+        run_daily(spark, str(folder / name), str(out))
+    write_csv(folder / "calls_05.csv", ["bob,B,manual,2024-01-16 09:00:00", "alice,A,x,2024-01-16 09:30:00"])
+    write_csv(folder / "calls_06.csv", ["bob,B,manual,2024-01-22 11:00:00", "alice,A,x,2024-01-22 09:30:00"])
+    expected = backfill(spark, str(folder), str(tmp_path / "whole"))
+
+    def new_rows(table, day):
+        chosen = (F.col("date") == day) | F.col("metric_name").isin(ca.BASELINE_METRICS)
+        return rows(table.where(chosen)) if table is expected else rows(
+            spark.read.schema(UNIFIED).parquet(str(out / "metric_family=baseline")).unionByName(
+                spark.read.schema(UNIFIED).option("basePath", str(out)).parquet(*map(str, out.glob(f"*/date={day}")))))
+
+    spoil(out, "2024-01-16")
+    run_daily(spark, str(folder / "calls_05.csv"), str(out))
+    before = backfill(spark, str(folder), str(tmp_path / "before"), glob="calls_0[1-5].csv")
+    chosen = (F.col("date") == "2024-01-16") | F.col("metric_name").isin(ca.BASELINE_METRICS)
+    assert new_rows(None, "2024-01-16") == rows(before.where(chosen))
+    fresh = tmp_path / "fresh"
+    for name in ("calls_01.csv", "calls_02.csv", "calls_03.csv", "calls_05.csv"):
+        run_daily(spark, str(folder / name), str(fresh))
+    spoil(fresh, "2024-01-15")
+    run_daily(spark, str(folder / "calls_06.csv"), str(fresh))
+    out = fresh
+    assert new_rows(None, "2024-01-22") == new_rows(expected, "2024-01-22")
+
+
+@pytest.mark.parametrize("step", ["save_shares", "save_state", "save_unified", "save_baseline_snapshot"])
+@pytest.mark.parametrize("done", [False, True])
+def test_a_job_that_ends_between_writes_is_repaired_by_the_next(spark, folder, tmp_path, monkeypatch, step, done):
+    expected = rows(backfill(spark, str(folder), str(tmp_path / "whole")))
+    out = str(tmp_path / "out")
+    for name in ("calls_01.csv", "calls_02.csv"):
+        run_daily(spark, str(folder / name), out)
+    write = getattr(plans, step)
+
+    def broken(*args):
+        if done:
+            write(*args)
+        raise RuntimeError("ended")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plans, step, broken)
+        with pytest.raises(RuntimeError):
+            run_daily(spark, str(folder / "calls_03.csv"), out)
+    assert rows(run_daily(spark, str(folder / "calls_03.csv"), out)) == expected
+
+
+def test_a_late_file_changes_the_averages(spark, folder, tmp_path):
+    """A file of a week behind the running state is part of the averages of the next day."""
+    out = str(tmp_path / "out")
+    for name in sorted(WEEKS):
+        run_daily(spark, str(folder / name), out)
+    write_csv(folder / "calls_00.csv", ["alice,A,manual,2024-01-08 09:30:00", "zed,Z,x,2024-01-08 01:00:00"])
+    write_csv(folder / "calls_05.csv", ["alice,A,manual,2024-01-22 09:30:00"])
+    run_daily(spark, str(folder / "calls_00.csv"), out)
+    last = run_daily(spark, str(folder / "calls_05.csv"), out)
+    whole = backfill(spark, str(folder), str(tmp_path / "whole"))
+    chosen = (F.col("date") == "2024-01-22") | F.col("metric_name").isin(ca.BASELINE_METRICS)
+    assert rows(last.where(chosen)) == rows(whole.where(chosen))
+
+
+def test_week_matrices_of_counters_and_of_rows(spark, folder):
+    calls = read_calls_folder(spark, str(folder))
+    counters, daily = ca.hour_counters(calls), ca.daily_rows(calls)
+    base = ca.baseline(daily, "2024-01-15")
+    today = ca.deviations(daily.where("date = '2024-01-15'"), base)
+    for measure, (_, average, deviation) in ca.METRICS.items():
+        assert rows(hm.average_week(counters, "2024-01-15", measure)) == rows(hm.average_matrix(base, average))
+        assert rows(hm.deviation_week(counters, "2024-01-15", "2024-01-15", measure)) == rows(hm.deviation_matrix(today, "2024-01-15", deviation))
+    assert "Generate" not in plan(hm.average_week(counters, "2024-01-15"))
+    sorted_rows = [(r.user, r.metric_name, r.index_value) for r in ca.sort_metrics(base).collect()]
+    assert sorted_rows == sorted(sorted_rows) and len(sorted_rows) == base.count()
+
+
 def test_missing_unified_table_is_empty(spark, tmp_path):
     empty = load_unified(spark, str(tmp_path / "none"))
     assert empty.count() == 0 and "n_weeks" in empty.columns

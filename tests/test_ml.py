@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import plan, rows
 from tidewatch.ml.forest import IsolationForest, IsolationForestModel, average_path
 from tidewatch.ml.quantile import exact_quantile
 from tidewatch.ml.regression import fit_regression, load_pipeline, predict, save_pipeline
@@ -29,12 +29,13 @@ def test_forest(spark, cloud, tmp_path):
     flagged = scored.where("is_anomaly").count()
     assert flagged == pytest.approx(0.02 * 3001, abs=2)
     again = forest.fit(cloud.repartition(7), ["x", "y"], ["id"])
-    assert model.nodes.equals(again.nodes) and model.offset == again.offset
-    assert not model.nodes.equals(IsolationForest(60, 0.02, 4).fit(cloud, ["x", "y"], ["id"]).nodes)
+    assert rows(model.nodes) == rows(again.nodes) and model.offset == again.offset
+    assert rows(model.nodes) != rows(IsolationForest(60, 0.02, 4).fit(cloud, ["x", "y"], ["id"]).nodes)
     save_models(spark, model, again, str(tmp_path))
     loaded, _ = load_models(spark, str(tmp_path))
     assert rows(loaded.score(cloud, "m")) == rows(scored)
-    assert set(model.nodes.groupby("tree").size()) <= set(range(1, 512)) and model.nodes["tree"].nunique() == 60
+    sizes = [r["count"] for r in model.nodes.groupBy("tree").count().collect()]
+    assert len(sizes) == 60 and max(sizes) < 512
 
 
 def test_forest_on_few_and_equal_rows(spark):
@@ -97,6 +98,29 @@ def test_silhouette(spark, block_size):
     assert silhouette(df.where("cluster = 0")).first()[0] is None
 
 
+def test_squared_silhouette(spark):
+    """Against all pairs, with a cluster of one point and equal points; and in one pass without pairs."""
+    rng = random.Random(3)
+    points = [[rng.gauss(c * 2, 1), rng.gauss(0, 1)] for c in (0, 1, 2) for _ in range(15)] + [[9.0, 9.0]]
+    points += [points[0]] * 6
+    labels = [c for c in (0, 1, 2) for _ in range(15)] + [3] + [0] * 6
+
+    def mean(i, c):
+        others = [j for j in range(len(points)) if labels[j] == c and j != i]
+        return sum(math.dist(points[i], points[j]) ** 2 for j in others) / len(others) if others else None
+
+    scores = []
+    for i in range(len(points)):
+        a, b = mean(i, labels[i]), min(mean(i, c) for c in set(labels) if c != labels[i])
+        scores.append(0.0 if a is None else (b - a) / max(a, b))
+    df = spark.createDataFrame(list(zip(points, labels)), "point array<double>, cluster int")
+    got = silhouette(df, exact=False)
+    assert got.columns == ["squared_silhouette"] and got.first()[0] == pytest.approx(sum(scores) / len(scores))
+    assert "Python" not in plan(got) and "applyIn" not in plan(got)
+    assert silhouette(df.where("cluster = 0"), exact=False).first()[0] is None
+    assert silhouette(df.limit(0), exact=False).first()[0] is None
+
+
 def test_regression(spark, tmp_path):
     rng = random.Random(1)
     data = [(rng.random(), rng.random()) for _ in range(100)]

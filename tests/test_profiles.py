@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plan, rows
+from tidewatch.ml.kmeans import assigned, first_centres, k_means
 from tidewatch.operators import accounts as acc
 from tidewatch.operators import roles as ro
 from tidewatch.operators import similarity as si
@@ -79,20 +80,46 @@ def test_clusters_do_not_depend_on_partitions(spark, log):
     found = []
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for n in (2, 16):
+        for n in (2, 4, 16):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             roles, hours = ro.role_clusters(log), ro.hour_clusters(log, k=3, pca=False)
             found.append((rows(roles.rows, "command", "cluster"), rows(hours.rows, "command", "cluster")))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert found[0] == found[1]
+    assert found[0] == found[1] == found[2]
 
 
 def test_points_at_one_place_are_one_cluster(spark):
     df = spark.createDataFrame([("a", 0.5, 0.5, 0.0), ("b", 0.5, 0.5, 0.0)], "command string, x double, y double, lean double")
     assert {r.cluster for r in ro.best_split(df, "lean", ["x", "y"]).collect()} == {0}
     points = spark.createDataFrame([("a", [1.0]), ("b", [1.0])], "command string, point array<double>")
-    assert {r.cluster for r in ro.k_means(points, 3, "command").collect()} == {0}
+    assert {r.cluster for r in k_means(points, 3, "command").collect()} == {0}
+
+
+def test_bounds_leave_lloyds_rounds_as_they_are(spark):
+    """Against rounds that compute every distance."""
+    rng = random.Random(6)
+    data = [(f"k{i:03d}", [rng.gauss(i % 5, 1.2), rng.gauss(i % 3, 1.2), rng.random()]) for i in range(400)] + [("twin", [0.0, 0.0, 0.0])] * 2
+    points = spark.createDataFrame(data, "command string, point array<double>").repartition(5)
+    for k in (1, 2, 5):
+        centres = first_centres(points, k, "command", "point")
+        while True:
+            label = {r.command: r.cluster for r in assigned(points, "point", centres).collect()}
+            after = []
+            for c in range(len(centres)):
+                mine = [p for key, p in data if label[key] == c]
+                after.append([round(sum(x) / len(mine), 9) for x in zip(*mine)] if mine else centres[c])
+            if after == centres:
+                break
+            centres = after
+        rank = {c: i for i, c in enumerate(sorted(range(len(centres)), key=lambda c: centres[c]))}
+        got = {r.command: r.cluster for r in k_means(points, k, "command").collect()}
+        assert got == {key: rank[c] for key, c in label.items()}
+
+
+def test_compare_without_pairs(log):
+    table = {r.metric: r.real for r in ro.compare(log, log, k=2, n=3, exact=False)["summary"].collect()}
+    assert 0 < table["role_silhouette"] <= 1 and -1 <= table["hour_of_week_silhouette"] <= 1
 
 
 def test_compare(log):

@@ -1,12 +1,20 @@
-"""Isolation forest (Liu, Ting, Zhou 2008) fitted and applied as Spark jobs."""
+"""Isolation forest (Liu, Ting, Zhou 2008) fitted and applied as Spark plans.
+
+All trees grow together, level by level: one set of window aggregates per
+level gives the number of rows and the range of every feature in every node
+of every tree, and all nodes are split at once. Draws are MD5 numbers of (seed,
+tree, node), rows are drawn by a hash of their key, and features are rounded to
+``DIGITS``, so a forest does not depend on partitions or on the order of sums
+behind its features, and SQL can grow the same one. Path lengths are added up as
+whole billionths. Rows are scored by walking packed node arrays inside the JVM.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,115 +22,113 @@ from ..session import materialise, spread
 from .quantile import exact_quantile
 
 MAX_SAMPLES = 256
-# A row is a candidate for a tree with this many times the chance it needs.
+#: A row is a candidate for a tree with this many times the chance it needs.
 OVERSAMPLING = 4
-NODE_SCHEMA = (
-    "tree int, node int, feature int, threshold double, left int, right int, path double"
-)
+#: Decimal places of features, and of scores.
+DIGITS = 6
+SCORE_DIGITS = 9
+#: Path lengths are counted in parts of this size.
+UNIT = 10**9
+#: Draws of rows are numbers below this prime.
+PRIME = 2**31 - 1
+EULER_GAMMA = 0.5772156649015329
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, path long"
+_PASSED = "array<struct<node:int,feature:int,threshold:double,path:long>>"
+
+
+def average_path(n: int) -> float:
+    """Mean path length of an unsuccessful search among ``n`` points."""
+    if n <= 2:
+        return float(max(n - 1, 0))
+    return 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-def average_path(n: np.ndarray | int) -> np.ndarray:
-    """Mean path length of an unsuccessful search among ``n`` points."""
-    n = np.asarray(n, dtype=np.float64)
-    big = np.maximum(n, 3)
-    general = 2.0 * (np.log(big - 1.0) + np.euler_gamma) - 2.0 * (big - 1.0) / big
-    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, general))
-
-
-def _grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes of one tree over at most ``MAX_SAMPLES`` points."""
-    limit = math.ceil(math.log2(max(len(points), 2)))
-    nodes: list[tuple | None] = [None]
-    waiting = [(0, 0, points)]
-    while waiting:
-        node, depth, rows = waiting.pop()
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(varying):
-            nodes[node] = (node, -1, 0.0, -1, -1, depth + float(average_path(len(rows))))
-            continue
-        feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        if threshold >= high[feature]:
-            threshold = float(low[feature])
-        below = rows[:, feature] <= threshold
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[node] = (node, feature, threshold, left, right, 0.0)
-        waiting += [(left, depth + 1, rows[below]), (right, depth + 1, rows[~below])]
-    return nodes
+def number(text: str) -> int:
+    """The first 52 bits of the text's MD5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+
+
+def _number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def depth_limit(sample_size: int) -> int:
+    return math.ceil(math.log2(max(sample_size, 2)))
+
+
+def _point(features: list[str] | tuple[str, ...]) -> Column:
+    return F.array(*[F.round(F.col(c).cast("double"), DIGITS) for c in features])
 
 
 @dataclass(frozen=True)
 class IsolationForestModel:
-    """Fitted trees. ``nodes`` has at most n_trees * (2 * MAX_SAMPLES - 1) rows."""
+    """Fitted trees: ``nodes`` is a stored table of at most n_trees * (2 * MAX_SAMPLES - 1) rows.
 
-    nodes: pd.DataFrame
+    The children of node k are 2 k + 1 and 2 k + 2; a leaf has feature -1 and its path in UNITs.
+    """
+
+    nodes: DataFrame
     features: tuple[str, ...]
+    n_trees: int
     sample_size: int
     offset: float
 
-    def _tables(self) -> dict[str, np.ndarray]:
-        """Node columns as (tree, node) arrays."""
-        shape = (int(self.nodes["tree"].max()) + 1, int(self.nodes["node"].max()) + 1)
-        out = {}
-        for name in ("feature", "threshold", "left", "right", "path"):
-            table = np.full(shape, -1 if name == "feature" else 0, dtype=self.nodes[name].dtype)
-            table[self.nodes["tree"], self.nodes["node"]] = self.nodes[name]
-            out[name] = table
-        return out
-
-    def _samples_score(self, spark: SparkSession) -> Column:
+    def _packed(self) -> Column:
+        """All trees as a constant: by tree, arrays by node of feature, threshold and path."""
+        size = 2 ** (depth_limit(self.sample_size) + 1) - 1
+        empty = F.struct(F.lit(-1).alias("feature"), F.lit(0.0).alias("threshold"), F.lit(0).cast("long").alias("path"))
+        held = self.nodes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("feature", "threshold", "path")))).alias("at"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.col("at")[k], empty))
+
+        def values(field: str) -> Column:
+            return F.transform(dense, lambda n: n[field]).alias(field)
+
+        trees = held.select("tree", *map(values, ("feature", "threshold", "path")))
+        # Trees have at most 2 * MAX_SAMPLES - 1 nodes, so this text of numbers is bounded by the number of trees.
+        text = trees.agg(F.to_json(F.collect_list(F.struct("feature", "threshold", "path")))).first()[0]
+        return F.from_json(F.lit(text), "array<struct<feature:array<int>,threshold:array<double>,path:array<long>>>")
+
+    def _samples_score(self) -> Column:
         """Negated anomaly score in (-1, 0)."""
-        shared = spark.sparkContext.broadcast(self._tables())
-        expected = float(average_path(self.sample_size)) or 1.0
-        width = len(self.features)
-
-        @F.pandas_udf("double")
-        def samples_score(*columns: pd.Series) -> pd.Series:
-            t = shared.value
-            x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns]) if width else None
-            rows = np.arange(len(x))
-            depth = np.zeros(len(x))
-            for tree in range(t["feature"].shape[0]):
-                feature, threshold = t["feature"][tree], t["threshold"][tree]
-                left, right = t["left"][tree], t["right"][tree]
-                at = np.zeros(len(x), dtype=np.int64)
-                moving = rows if feature[0] >= 0 else rows[:0]
-                while len(moving):
-                    here = at[moving]
-                    goes_left = x[moving, feature[here]] <= threshold[here]
-                    at[moving] = np.where(goes_left, left[here], right[here])
-                    moving = moving[feature[at[moving]] >= 0]
-                depth += t["path"][tree][at]
-            return pd.Series(-np.exp2(-depth / t["feature"].shape[0] / expected))
-
-        return samples_score(*[F.col(c).cast("double") for c in self.features])
+        steps = F.array(*[F.lit(k) for k in range(depth_limit(self.sample_size))])
+
+        def walk(tree: Column) -> Column:
+            def step(node: Column, _: Column) -> Column:
+                feature = F.get(tree["feature"], node)
+                low = F.get(F.col("forest_point"), feature) <= F.get(tree["threshold"], node)
+                return F.when(feature < 0, node).otherwise(2 * node + F.when(low, 1).otherwise(2))
+
+            return F.aggregate(steps, F.lit(0), step)
+
+        units = F.aggregate(self._packed(), F.lit(0).cast("long"), lambda total, tree: total + F.get(tree["path"], walk(tree)))
+        expected = (average_path(self.sample_size) or 1.0) * self.n_trees * UNIT
+        return F.round(-F.pow(F.lit(2.0), -units / F.lit(expected)), SCORE_DIGITS)
 
     def score(self, df: DataFrame, model_type: str | None = None) -> DataFrame:
         """Add iforest_score (below 0 is anomalous), iforest_pred and is_anomaly."""
-        raw = self._samples_score(df.sparkSession)
-        out = df.withColumn("iforest_score", raw - F.lit(self.offset))
+        held = df.withColumn("forest_point", _point(self.features))
+        above = F.round(self._samples_score() - F.lit(self.offset), 12) + F.lit(0.0)
+        out = held.withColumn("iforest_score", above).drop("forest_point")
         odd = F.col("iforest_score") < 0
         out = out.withColumns({"iforest_pred": F.when(odd, -1).otherwise(1), "is_anomaly": odd})
         return out.withColumn("model_type", F.lit(model_type)) if model_type else out
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
-        meta = [(list(self.features), self.sample_size, self.offset)]
-        schema = "features array<string>, sample_size int, offset double"
+        self.nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        meta = [(list(self.features), self.n_trees, self.sample_size, self.offset)]
+        schema = "features array<string>, n_trees int, sample_size int, offset double"
         spark.createDataFrame(meta, schema).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IsolationForestModel:
         meta = spark.read.parquet(f"{path}/meta").first()
-        nodes = spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas()
-        return cls(nodes, tuple(meta.features), meta.sample_size, meta.offset)
+        nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes")
+        return cls(nodes, tuple(meta.features), meta.n_trees, meta.sample_size, meta.offset)
 
 
 @dataclass(frozen=True)
 class IsolationForest:
-    """Each tree is grown in its own task from its own hash-chosen rows."""
+    """Trees grown on rows that a hash of their key chooses."""
 
     n_trees: int = 300
     contamination: float = 0.01
@@ -132,9 +138,9 @@ class IsolationForest:
         """Fit on ``df``, whose rows ``row_key`` identifies.
 
         Rows are chosen by a hash of their key, so the trees do not depend on
-        how the data is partitioned. A loose hash threshold thins the rows of
-        each tree before the smallest ``MAX_SAMPLES`` hashes are kept; if a tree
-        runs short of rows, all are drawn from.
+        how the data is partitioned. A loose threshold thins the rows of each
+        tree before the smallest ``MAX_SAMPLES`` draws are kept; if a tree runs
+        short of rows, all are drawn from.
         """
         n = df.count()
         if n == 0:
@@ -143,43 +149,62 @@ class IsolationForest:
         rows = materialise(self._sampled(df, features, row_key, sample, OVERSAMPLING * sample / n), "forest-rows")
         drawn = rows.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") >= sample).count()
         if drawn < self.n_trees:
-            # A tree got too few rows through the threshold; without it every tree has its smallest hashes.
+            # A tree got too few rows through the threshold; without it every tree has its smallest draws.
             rows = self._sampled(df, features, row_key, sample, 1.0)
-        rows = spread(rows, "tree")
-        nodes = rows.groupBy("tree").applyInPandas(self._grower(), NODE_SCHEMA)
-        # At most n_trees * (2 * MAX_SAMPLES - 1) rows.
-        table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
-        unplaced = IsolationForestModel(table, tuple(features), sample, 0.0)
+        nodes = materialise(self._grown(rows, len(features), depth_limit(sample)), "forest-nodes")
+        unplaced = IsolationForestModel(nodes, tuple(features), self.n_trees, sample, 0.0)
         scores = materialise(unplaced.score(df.select(*features)).select("iforest_score"), "forest-scores")
         offset = exact_quantile(scores, "iforest_score", self.contamination)
-        return IsolationForestModel(table, tuple(features), sample, offset)
+        return IsolationForestModel(nodes, tuple(features), self.n_trees, sample, offset)
 
     def _sampled(self, df: DataFrame, features: list[str], row_key: list[str], sample: int, share: float) -> DataFrame:
-        point = F.array(*[F.col(c).cast("double") for c in features]).alias("point")
-
-        def draw(tree: Column) -> Column:
-            return F.xxhash64(*row_key, tree, F.lit(self.seed))
-
-        trees = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
+        """tree, point of the rows with the smallest draws of each tree."""
+        key = F.concat_ws("|", F.lit(str(self.seed)), *[F.col(c).cast("string") for c in row_key])
+        trees = range(self.n_trees)
+        # A row's draw for a tree is an affine function, of the tree, of its one hash.
+        lines = F.array(*[F.struct(
+            F.lit(t).alias("tree"), F.lit(1 + number(f"{self.seed}|{t}|slope") % (PRIME - 1)).cast("long").alias("slope"),
+            F.lit(number(f"{self.seed}|{t}|start") % PRIME).cast("long").alias("start")) for t in trees])
+        drawn = df.select(*row_key, _point(features).alias("point"), (_number(key) % PRIME).alias("hash"))
+        draws = F.transform(lines, lambda line: F.struct(
+            line["tree"].alias("tree"), ((F.col("hash") * line["slope"] + line["start"]) % PRIME).alias("draw")))
         if share < 1:
-            bound = int(-(2**63) + share * 2**64)
-            trees = F.filter(trees, lambda t: draw(t) < F.lit(bound))
-        drawn = df.select(*row_key, point, F.explode(trees).alias("tree")).withColumn("draw", draw(F.col("tree")))
+            draws = F.filter(draws, lambda d: d["draw"] < F.lit(int(share * PRIME)))
+        drawn = drawn.select(*row_key, "point", F.explode(draws).alias("draw")).select(*row_key, "point", "draw.tree", "draw.draw")
         order = Window.partitionBy("tree").orderBy("draw", *row_key)
-        return (
-            drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
-            .select("tree", "rank", "point")
-        )
-
-    def _grower(self):
-        seed = self.seed
-
-        def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            tree = int(key[0])
-            points = np.stack(pdf.sort_values("rank")["point"].to_numpy())
-            nodes = _grow(points, np.random.default_rng([seed, tree]))
-            out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
-            out.insert(0, "tree", tree)
-            return out
-
-        return grow
+        return drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("tree", "point")
+
+    def _grown(self, rows: DataFrame, width: int, limit: int) -> DataFrame:
+        """The nodes of all trees. A tree has at most MAX_SAMPLES rows, so its windows are bounded."""
+        state = spread(rows, "tree").select(
+            "tree", *[F.col("point")[k].alias(f"x{k}") for k in range(width)], F.lit(0).alias("node"), F.lit(False).alias("done"),
+            F.array().cast(_PASSED).alias("passed"))
+        points = [f"x{k}" for k in range(width)]
+        for depth in range(limit + 1):
+            here = Window.partitionBy("tree", "node")
+            stats = {"n": F.count("*").over(here)}
+            for x in points:
+                stats |= {f"low_{x}": F.min(x).over(here), f"high_{x}": F.max(x).over(here)}
+            ends = F.array(*[F.struct(
+                F.lit(k).alias("feature"), F.col(f"low_{x}").alias("low"), F.col(f"high_{x}").alias("high"), F.col(x).alias("own"))
+                for k, x in enumerate(points)])
+            state = state.withColumns(stats).withColumn("varying", F.filter(ends, lambda e: e["low"] < e["high"]))
+            many = F.size("varying")
+            label = F.concat_ws("|", F.lit(str(self.seed)), F.col("tree").cast("string"), F.col("node").cast("string"))
+            pick = F.get("varying", (_number(F.concat(label, F.lit("|feature"))) % many).cast("int"))
+            state = state.withColumn("pick", F.when(~F.col("done") & (F.col("n") > 1) & (many > 0) & F.lit(depth < limit), pick))
+            place = (_number(F.concat(label, F.lit("|threshold"))) + 0.5) / F.lit(float(2**52))
+            between = F.col("pick.low") + place * (F.col("pick.high") - F.col("pick.low"))
+            state = state.withColumn("threshold", F.when(between >= F.col("pick.high"), F.col("pick.low")).otherwise(between))
+            n = F.col("n")
+            rest = F.when(n <= 2, (n - 1).cast("double")).otherwise(2 * (F.log(n - 1.0) + EULER_GAMMA) - 2 * (n - 1.0) / n)
+            path = F.round((depth + rest) * UNIT).cast("long")
+            split = F.col("pick").isNotNull()
+            now = F.struct(
+                F.col("node"), F.coalesce("pick.feature", F.lit(-1)).alias("feature"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"),
+                F.when(split, F.lit(0).cast("long")).otherwise(path).alias("path"))
+            state = state.select(
+                "tree", *points,
+                F.when(split, 2 * F.col("node") + F.when(F.col("pick.own") <= F.col("threshold"), 1).otherwise(2)).otherwise(F.col("node")).alias("node"),
+                (~split).alias("done"), F.when(F.col("done"), F.col("passed")).otherwise(F.array_append("passed", now)).alias("passed"))
+        return state.select("tree", F.explode("passed").alias("at")).select("tree", "at.*").dropDuplicates(["tree", "node"])

@@ -1,4 +1,4 @@
-"""Mean silhouette with plain Euclidean distance."""
+"""Mean silhouette: of plain Euclidean distances, or of squared ones for large tables."""
 
 from __future__ import annotations
 
@@ -13,13 +13,51 @@ from ..session import spread
 BLOCK_SIZE = 512
 
 
-def silhouette(points: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def silhouette(points: DataFrame, block_size: int = BLOCK_SIZE, exact: bool = True) -> DataFrame:
     """One row, one value: the mean silhouette of (point, cluster) rows.
 
     Null when there is only one cluster. Each pair of blocks gives the summed
     distance of its points to each cluster; distances themselves stay inside
     the task. Equal points are merged with their number first.
+
+    That is quadratic in the points. With ``exact=False`` the value is
+    ``squared_silhouette``, of squared distances, which needs only the moments of
+    each cluster and two passes over the points.
+    """
+    return _of_distances(points, block_size) if exact else squared_silhouette(points)
+
+
+def squared_silhouette(points: DataFrame) -> DataFrame:
+    """One row, one value: the mean silhouette of (point, cluster) rows by squared Euclidean distance.
+
+    The squared distances of a point x to the n points of a cluster, whose sum
+    is s and whose squared lengths add up to q, add up to n |x|^2 + q - 2 x.s, so
+    a count, a vector and a number per cluster take the place of all pairs. Null
+    when there is only one cluster; a point alone in its cluster scores 0.
     """
+    squares = F.aggregate("point", F.lit(0.0), lambda total, x: total + x * x)
+    sums = points.select("cluster", F.posexplode("point").alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x").alias("x"))
+    sums = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("sums"))
+    sizes = points.groupBy("cluster").agg(F.count("*").cast("double").alias("n"), F.sum(squares).alias("squares"))
+    # One row of as many entries as there are clusters.
+    moments = sizes.join(sums, "cluster").agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "squares", "sums"))))
+    placed = points.select("cluster", "point", squares.alias("own_squares"), moments.scalar().alias("moments"))
+
+    def total(m):
+        products = F.aggregate(F.zip_with("point", m["sums"], lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+        return F.greatest(m["n"] * F.col("own_squares") + m["squares"] - 2 * products, F.lit(0.0))
+
+    own = F.filter("moments", lambda m: m["cluster"] == F.col("cluster"))[0]
+    others = F.filter("moments", lambda m: m["cluster"] != F.col("cluster"))
+    inside = F.when(own["n"] > 1, total(own) / (own["n"] - 1))
+    outside = F.array_min(F.transform(others, lambda m: total(m) / m["n"]))
+    rated = placed.select("cluster", inside.alias("inside"), outside.alias("outside"))
+    score = F.coalesce(F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside")), F.lit(0.0))
+    return rated.agg(F.when(F.count("outside") > 0, F.avg(
+        F.when(F.col("inside").isNull(), F.lit(0.0)).otherwise(score))).alias("squared_silhouette"))
+
+
+def _of_distances(points: DataFrame, block_size: int) -> DataFrame:
     merged = points.groupBy("point", "cluster").agg(F.count("*").cast("double").alias("members"))
     pairs = block_pairs(with_blocks(merged, [], ["point", "cluster"], block_size))
 

@@ -122,27 +122,71 @@ def _prior_weeks(unified: DataFrame, as_of_week) -> DataFrame:
     )
 
 
-def baseline(unified: DataFrame, as_of_week) -> DataFrame:
-    """Average per user, hour of week and metric over weeks before ``as_of_week``.
+STATE_KEYS = ["user", "index_value", "metric_name"]
+STATE = "user STRING, index_value INT, metric_name STRING, total DOUBLE, n_weeks LONG"
+
+
+def weekly_state(unified: DataFrame, as_of_week) -> DataFrame:
+    """Sum of weekly values and number of weeks per user, hour of week and metric, over weeks before ``as_of_week``.
 
-    Both grouping steps run without a shuffle when rows come partitioned by
-    user, as ``daily_rows`` leaves them.
+    States of different weeks merge by adding, so a day need not read the
+    history behind a stored state. Both grouping steps run without a shuffle
+    when rows come partitioned by user, as ``daily_rows`` leaves them.
     """
-    keys = ["user", "index_value", "metric_name"]
     weekly = (
         _prior_weeks(unified, as_of_week)
-        .groupBy(*keys, "week_start_date").agg(F.sum("metric_value").alias("metric_value"))
-    )
-    averaged = weekly.groupBy(*keys).agg(
-        F.avg("metric_value").alias("metric_value"), F.count("*").cast("int").alias("n_weeks")
+        .groupBy(*STATE_KEYS, "week_start_date").agg(F.sum("metric_value").alias("metric_value"))
     )
-    return averaged.select(
-        "user", _rename(F.col("metric_name"), 1).alias("metric_name"), "metric_value", "index_value",
+    return weekly.groupBy(*STATE_KEYS).agg(F.sum("metric_value").alias("total"), F.count("metric_value").alias("n_weeks"))
+
+
+def merged_states(one: DataFrame, two: DataFrame) -> DataFrame:
+    """The state of the weeks of both, which must be different weeks."""
+    return one.unionByName(two).groupBy(*STATE_KEYS).agg(F.sum("total").alias("total"), F.sum("n_weeks").alias("n_weeks"))
+
+
+def averages_of_state(state: DataFrame) -> DataFrame:
+    """Average rows of a state."""
+    return state.select(
+        "user", _rename(F.col("metric_name"), 1).alias("metric_name"), F.try_divide("total", "n_weeks").alias("metric_value"), "index_value",
         F.lit(None).cast("date").alias("week_start_date"), F.lit(None).cast("date").alias("date"),
-        "n_weeks",
+        F.col("n_weeks").cast("int").alias("n_weeks"),
     )
 
 
+def baseline(unified: DataFrame, as_of_week) -> DataFrame:
+    """Average per user, hour of week and metric over weeks before ``as_of_week``."""
+    return averages_of_state(weekly_state(unified, as_of_week))
+
+
+def measure_of_counters(measure: str) -> Column:
+    """The 24 values of a measure as doubles."""
+    counts = F.col("manuals" if measure == "manual_calls" else "totals")
+    if measure == "active_status":
+        return F.transform(counts, lambda n: (n > 0).cast("double"))
+    return F.transform(counts, lambda n: n.cast("double"))
+
+
+def hour_averages(counters: DataFrame, as_of_week, measure: str, week_anchor: str = "monday") -> DataFrame:
+    """Per user and weekday (0 is Monday): ``averages`` of the 24 hours over weeks before ``as_of_week``.
+
+    A weekday of a week is one date, so the counters of a date are that week's
+    values, and 24 sums and a count replace the rows of every hour.
+    """
+    before = counters.where(week_start("date", week_anchor) < F.lit(as_of_week).cast("date"))
+    values = before.select("user", F.weekday("date").alias("weekday"), measure_of_counters(measure).alias("value"))
+    summed = values.groupBy("user", "weekday").agg(F.count("*").alias("n"), *[F.sum(F.col("value")[h]).alias(f"h{h}") for h in range(24)])
+    return summed.select("user", "weekday", F.array(*[F.col(f"h{h}") / F.col("n") for h in range(24)]).alias("averages"))
+
+
+def hour_deviations(counters: DataFrame, averages: DataFrame, day, measure: str) -> DataFrame:
+    """Per user of ``day`` with an average for its weekday: ``deviations`` of the 24 hours."""
+    today = counters.where(F.col("date") == F.lit(day).cast("date")).select(
+        "user", F.weekday("date").alias("weekday"), measure_of_counters(measure).alias("value"))
+    return today.join(averages, ["user", "weekday"]).select(
+        "user", "weekday", F.zip_with("value", "averages", lambda a, b: a - b).alias("deviations"))
+
+
 def _check_policy(cold_start: str) -> None:
     if cold_start not in COLD_START_POLICIES:
         raise ValueError(f"cold_start must be one of {COLD_START_POLICIES}")
@@ -210,4 +254,5 @@ def historic_deviations(
 
 
 def sort_metrics(df: DataFrame) -> DataFrame:
+    """Rows by user, metric and hour of the week."""
     return df.orderBy("user", "metric_name", "index_value")

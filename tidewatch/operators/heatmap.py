@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid_day, grid_hour, hour_of_week, parse_ts
 from ..functions.scores import ratio_or_zero
+from .calls import hour_averages, hour_deviations
 
 NORMALISATIONS = ("none", "global", "row", "col")
 HOURS = 168
@@ -28,6 +29,28 @@ def deviation_matrix(unified: DataFrame, day: str, metric: str) -> DataFrame:
     return user_hour_matrix(unified.where(chosen))
 
 
+def week_matrix(cells: DataFrame, values: str) -> DataFrame:
+    """Users by hours 1..168 from rows of (user, weekday, array of 24 values), 0 where there is none.
+
+    A user has at most seven rows, and the cells are read from their arrays;
+    nothing grows to a row per hour.
+    """
+    held = cells.groupBy("user").agg(F.map_from_entries(F.collect_list(F.struct("weekday", values))).alias("days"))
+    hour = [F.coalesce(F.col("days")[d][h], F.lit(0.0)).alias(str(24 * d + h + 1)) for d in range(7) for h in range(24)]
+    return held.where(F.col("user").isNotNull()).select("user", *hour).orderBy("user")
+
+
+def average_week(counters: DataFrame, as_of_week, measure: str = "total_calls") -> DataFrame:
+    """The matrix of averages as of a week, straight from the counters of days."""
+    return week_matrix(hour_averages(counters, as_of_week, measure), "averages")
+
+
+def deviation_week(counters: DataFrame, as_of_week, day, measure: str = "total_calls") -> DataFrame:
+    """The matrix of a day's deviations, straight from the counters of days."""
+    averages = hour_averages(counters, as_of_week, measure)
+    return week_matrix(hour_deviations(counters, averages, day, measure), "deviations")
+
+
 def role_events(log: DataFrame, role: str | None = None) -> DataFrame:
     """Log rows with a readable time, of one role if given, with their 0-based hour of week."""
     rows = log.where(F.col("account_type") == role) if role else log

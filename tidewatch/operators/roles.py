@@ -7,18 +7,17 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import purity
 from ..functions.scores import ratio_or_zero
+from ..ml.kmeans import k_means
 from ..ml.silhouette import silhouette
 from ..session import materialise
 from .heatmap import hour_counts, role_events
 
 ROLES = ["human", "functional"]
-#: Rounds of k-means at most, and the digits that its sums are rounded to.
-MOST_ROUNDS, DIGITS = 50, 9
 
 
 @dataclass(frozen=True)
@@ -60,46 +59,6 @@ def _vectors(profile: DataFrame, key: str = "command") -> DataFrame:
     return profile.groupBy(key).agg(array_to_vector(ordered).alias("raw"))
 
 
-def _distance(point: str, centre: list[float]) -> Column:
-    """Squared distance, added up in the order of the coordinates."""
-    gaps = F.zip_with(point, F.array(*map(F.lit, centre)), lambda a, b: (a - b) * (a - b))
-    return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
-
-
-def k_means(points: DataFrame, k: int, key: str, point: str = "point", rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Add ``cluster``: Lloyd's rounds from a start that depends on the points only.
-
-    The first centre is the point of the lowest key, each other the point
-    farthest from its nearest centre, the lowest key among equals. Sums are
-    rounded to ``DIGITS``, so that their order, and with it the partitioning, does not matter.
-    Rounds end when no centre moves. Only centres reach the driver.
-    """
-    centres = [list(points.orderBy(key).first()[point])]
-    while len(centres) < k:
-        nearest = F.round(F.least(*[_distance(point, c) for c in centres], F.lit(float("inf"))), DIGITS)
-        far = points.select(point, key, nearest.alias("gap")).orderBy(F.desc("gap"), key).first()
-        if far["gap"] == 0:
-            break
-        centres.append(list(far[point]))
-    for _ in range(rounds):
-        sums = _assigned(points, point, centres).select("cluster", F.posexplode(point).alias("at", "x")).groupBy("cluster", "at").agg(
-            F.round(F.avg("x"), DIGITS).alias("x"))
-        moved = [list(c) for c in centres]
-        for r in sums.collect():
-            moved[r["cluster"]][r["at"]] = r["x"]
-        if moved == centres:
-            break
-        centres = moved
-    return _assigned(points, point, sorted(centres))
-
-
-def _assigned(points: DataFrame, point: str, centres: list[list[float]]) -> DataFrame:
-    """The number of the nearest centre, the first among equals."""
-    near = F.array_min(F.array(*[
-        F.struct(F.round(_distance(point, c), DIGITS).alias("gap"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]))
-    return points.withColumn("cluster", near["cluster"])
-
-
 def best_split(points: DataFrame, axis: str, coordinates: list[str]) -> DataFrame:
     """Add ``cluster`` 0 or 1: the cut of ``axis`` that leaves the least squared distances to the two means.
 
@@ -128,14 +87,14 @@ def best_split(points: DataFrame, axis: str, coordinates: list[str]) -> DataFram
     return points.withColumn("cluster", F.coalesce((F.col(axis) > best.scalar()).cast("int"), F.lit(0)))
 
 
-def role_clusters(log: DataFrame) -> Clustering:
-    """Two clusters of commands by role proportions, with purity and statistics."""
+def role_clusters(log: DataFrame, exact: bool = True) -> Clustering:
+    """Two clusters of commands by role proportions, with purity and statistics; ``silhouette`` is of squared distances if not ``exact``."""
     props = materialise(role_proportions(log), "role-proportions")
     lean = props.withColumn("lean", F.col("human_prop") - F.col("functional_prop"))
     rows = best_split(lean, "lean", [f"{r}_prop" for r in ROLES]).drop("lean")
     rows = materialise(rows.withColumn("purity", purity("human_prop", "functional_prop")), "role-clusters")
     centres = cluster_stats(rows)
-    stats = silhouette(rows.select(F.array(*[f"{r}_prop" for r in ROLES]).alias("point"), "cluster"))
+    stats = silhouette(rows.select(F.array(*[f"{r}_prop" for r in ROLES]).alias("point"), "cluster"), exact=exact)
     distance = F.sqrt(sum(
         F.pow(F.col(f"{r}_0") - F.col(f"{r}_1"), F.lit(2.0)) for r in ROLES
     ))
@@ -173,8 +132,8 @@ def purity_tables(rows: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def hour_clusters(log: DataFrame, k: int = 3, pca: bool = True) -> Clustering:
-    """Clusters of commands by standardised hour-of-week shares."""
+def hour_clusters(log: DataFrame, k: int = 3, pca: bool = True, exact: bool = True) -> Clustering:
+    """Clusters of commands by standardised hour-of-week shares; ``exact=False`` takes the silhouette of squared distances."""
     vectors = materialise(_vectors(hour_profile(log)), "hour-vectors")
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
     # Spark divides by the sample deviation; this factor gives the population one.
@@ -185,7 +144,7 @@ def hour_clusters(log: DataFrame, k: int = 3, pca: bool = True) -> Clustering:
     ).drop("raw", "scaled")
     rows = materialise(rows.withColumn("point", vector_to_array("features")), "hour-points")
     rows = materialise(k_means(rows, k, "command"), "hour-clusters")
-    stats = silhouette(rows.select("point", "cluster"))
+    stats = silhouette(rows.select("point", "cluster"), exact=exact)
     rows = rows.drop("point")
     if pca:
         rows = _two_components(rows)
@@ -202,12 +161,15 @@ def _two_components(rows: DataFrame) -> DataFrame:
     return out.withColumns({f"pc{i + 1}": coords[i] * F.lit(s) for i, s in enumerate(signs)}).drop("pcs")
 
 
-def compare(real: DataFrame, other: DataFrame, k: int = 3, n: int = 8) -> dict[str, DataFrame]:
-    """Five metrics of two command logs side by side, and the tables behind them."""
+def compare(real: DataFrame, other: DataFrame, k: int = 3, n: int = 8, exact: bool = True) -> dict[str, DataFrame]:
+    """Five metrics of two command logs side by side, and the tables behind them.
+
+    The silhouettes are of squared distances, without pairs of commands, if not ``exact``.
+    """
     tables: dict[str, DataFrame] = {}
     summary = None
     for side, log in (("real", real), ("synthetic", other)):
-        roles, hours = role_clusters(log), hour_clusters(log, k, pca=False)
+        roles, hours = role_clusters(log, exact), hour_clusters(log, k, pca=False, exact=exact)
         tables |= {
             f"{side}_props": roles.rows, f"{side}_hours": hours.rows,
             f"{side}_purity": purity_tables(roles.rows, n),

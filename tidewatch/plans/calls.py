@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import week_start
 from ..functions.text import MANUAL_PATTERN
 from ..operators.calls import (
-    add_counters, baseline, deviations, file_days, historic_deviations, hour_counters, rows_of_counters,
+    add_counters, averages_of_state, baseline, deviations, file_days, historic_deviations, hour_counters, merged_states,
+    rows_of_counters, weekly_state,
 )
 from ..session import materialise, spread
 from ..sources.files import (
-    load_shares, load_unified, read_calls_csv, read_calls_folder, save_baseline_snapshot, save_shares, save_unified,
+    load_shares, load_state, load_unified, read_calls_csv, read_calls_folder, save_baseline_snapshot, save_shares, save_state,
+    save_unified,
 )
 
 
@@ -50,38 +54,93 @@ def _counted_days(spark: SparkSession, calls: DataFrame, out: str, pattern: str)
     return materialise(add_counters(touched), "day-counters")
 
 
-def run_daily(
-    spark: SparkSession, csv_path: str, out: str, cold_start: str = "suppress",
+def _history(spark: SparkSession, out: str, daily: DataFrame, since: date | None, until: date) -> DataFrame:
+    """Daily rows of weeks from ``since`` up to ``until``: the stored ones, and ``daily`` in place of the dates that it has."""
+    stored = load_unified(spark, out, "daily")
+    if since is not None:
+        # A week begins on its first date, so its partitions are those from that date on.
+        stored = stored.where(F.col("date") >= F.lit(since))
+    stored = stored.where(F.col("date") < F.lit(until))
+    stored = stored.join(daily.select("date").distinct(), "date", "left_anti")
+    week = F.col("week_start_date")
+    fresh = daily.where((week < F.lit(until)) & (week >= F.lit(since if since is not None else date.min)))
+    return stored.unionByName(fresh).repartition("user")
+
+
+def _state_as_of(
+    spark: SparkSession, out: str, daily: DataFrame, first_week: date, as_of_week: date, week_anchor: str
+) -> DataFrame:
+    """The running state of all weeks before ``as_of_week``, stored.
+
+    The stored state is taken as it is within its week, and moved on by the
+    weeks after it, of which alone daily rows are read. Where ``daily`` changes
+    a week behind it (a late file, or an earlier week is asked for) it is added up anew.
+    """
+    found = load_state(spark, out, week_anchor)
+    if found is not None and found[0] <= as_of_week and first_week >= found[0]:
+        as_of, state = found
+        if as_of == as_of_week:
+            return state
+        state = merged_states(state, weekly_state(_history(spark, out, daily, as_of, as_of_week), as_of_week))
+    else:
+        state = weekly_state(_history(spark, out, daily, None, as_of_week), as_of_week)
+    state = materialise(state, "week-state")
+    save_state(state, out, as_of_week, week_anchor)
+    return state
+
+
+def add_day(
+    spark: SparkSession, calls: DataFrame, out: str, cold_start: str = "suppress",
     pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
 ) -> DataFrame:
-    """Add one file to its day in the unified table and return the table.
+    """Add the files of ``calls`` to their day in the unified table and return the table.
 
-    Several files of a day add up; running a file again changes nothing.
+    Averages come from a running state of earlier weeks, so the history is not read again.
     """
-    counters = _counted_days(spark, read_calls_csv(spark, csv_path), out, pattern)
+    counters = _counted_days(spark, calls, out, pattern)
     daily = materialise(rows_of_counters(counters, week_anchor), "daily-rows")
-    as_of_week = daily.agg(F.max("week_start_date")).first()[0]
-    stored = load_unified(spark, out, "daily").repartition("user")
-    base = materialise(baseline(stored, as_of_week), "baseline")
+    first_week, as_of_week = daily.agg(F.min("week_start_date"), F.max("week_start_date")).first()
+    state = _state_as_of(spark, out, daily, first_week, as_of_week, week_anchor)
+    base = materialise(averages_of_state(state), "baseline")
     found = deviations(daily, base, cold_start, include_active)
     save_unified(daily.unionByName(found), out)
     save_baseline_snapshot(base, out)
     return load_unified(spark, out)
 
 
-def backfill(
-    spark: SparkSession, folder: str, out: str, glob: str = "*.csv", cold_start: str = "suppress",
+def run_daily(
+    spark: SparkSession, csv_path: str, out: str, cold_start: str = "suppress",
     pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
 ) -> DataFrame:
-    """Build the unified table from a folder of call files, together with days stored before."""
-    counters = _counted_days(spark, read_calls_folder(spark, folder, glob), out, pattern)
+    """Add one file to its day in the unified table and return the table.
+
+    Several files of a day add up; running a file again changes nothing.
+    """
+    return add_day(spark, read_calls_csv(spark, csv_path), out, cold_start, pattern, include_active, week_anchor)
+
+
+def add_days(
+    spark: SparkSession, calls: DataFrame, out: str, cold_start: str = "suppress",
+    pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
+) -> DataFrame:
+    """Build the unified table from the files of ``calls``, together with days stored before."""
+    counters = _counted_days(spark, calls, out, pattern)
     fresh = materialise(rows_of_counters(counters, week_anchor), "daily-rows")
     new_dates = fresh.select("date").distinct()
     stored = load_unified(spark, out, "daily").join(new_dates, "date", "left_anti")
-    daily = stored.unionByName(fresh).repartition("user")
-    found = historic_deviations(daily, cold_start, include_active).join(new_dates, "date", "left_semi")
+    every_day = stored.unionByName(fresh).repartition("user")
+    found = historic_deviations(every_day, cold_start, include_active).join(new_dates, "date", "left_semi")
     last_week = fresh.agg(F.max("week_start_date")).first()[0]
-    base = materialise(baseline(daily, last_week), "baseline")
+    state = materialise(weekly_state(every_day, last_week), "week-state")
+    save_state(state, out, last_week, week_anchor)
     save_unified(materialise(fresh.unionByName(found), "new-metrics"), out)
-    save_baseline_snapshot(base, out)
+    save_baseline_snapshot(averages_of_state(state), out)
     return load_unified(spark, out)
+
+
+def backfill(
+    spark: SparkSession, folder: str, out: str, glob: str = "*.csv", cold_start: str = "suppress",
+    pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
+) -> DataFrame:
+    """Build the unified table from a folder of call files, together with days stored before."""
+    return add_days(spark, read_calls_folder(spark, folder, glob), out, cold_start, pattern, include_active, week_anchor)

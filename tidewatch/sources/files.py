@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_ts, strip
 from ..ml.forest import IsolationForestModel
-from ..operators.calls import metric_family
+from ..operators.calls import STATE, metric_family
 from ..schemas import ACCESS_BASELINE, REPORT_COLUMNS, UNIFIED, UNIFIED_COLUMNS, require_columns
 
 CALL_COLUMNS = ["user", "account", "id_chat", "dttm"]
@@ -29,6 +32,7 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str, **options: str)
         return spark.createDataFrame([], schema)
 
 
+POINTER = "name STRING, as_of DATE, week_anchor STRING"
 SHARES = "date DATE, user STRING, totals ARRAY<BIGINT>, manuals ARRAY<BIGINT>, source_file STRING"
 
 
@@ -111,6 +115,26 @@ def save_shares(shares: DataFrame, path: str) -> None:
     )
 
 
+def load_state(spark: SparkSession, path: str, week_anchor: str) -> tuple[date, DataFrame] | None:
+    """The week before which the stored running state adds up, and the state; none if nothing fits."""
+    pointer = _read_or_empty(spark, f"{path}/_state/current", POINTER).first()
+    if pointer is None or pointer["week_anchor"] != week_anchor:
+        return None
+    return pointer["as_of"], _read_or_empty(spark, f"{path}/_state/{pointer['name']}", STATE)
+
+
+def save_state(state: DataFrame, path: str, as_of: date, week_anchor: str) -> None:
+    """Store a running state apart from the one before, then point to it.
+
+    A job that ends between the two leaves the old pointer, or none, in which case
+    the state is added up from the daily rows again.
+    """
+    name = f"as_of={as_of}-{uuid.uuid4().hex}"
+    state.write.parquet(f"{path}/_state/{name}")
+    pointer = state.sparkSession.createDataFrame([(name, as_of, week_anchor)], POINTER)
+    pointer.coalesce(1).write.mode("overwrite").parquet(f"{path}/_state/current")
+
+
 def save_baseline_snapshot(df: DataFrame, path: str) -> None:
     """Replace the stored averages; an empty snapshot leaves none."""
     (

@@ -121,13 +121,34 @@ def unreadable(spark, d):
 
 
 def average_matrix(spark, d):
-    return hm.average_matrix(baseline(spark, d), "average total calls")
+    return hm.average_week(ca.hour_counters(views.calls(spark, d)), LAST_WEEK)
 
 
 def deviation_matrix(spark, d):
+    counters = materialise(ca.hour_counters(views.calls(spark, d)), "hour-counters")
+    return hm.deviation_week(counters, LAST_WEEK, LAST_DAY)
+
+
+def average_matrix_of_rows(spark, d):
+    """The matrix from stored average rows, as the unified table holds them."""
+    return hm.average_matrix(baseline(spark, d), "average total calls")
+
+
+def deviation_matrix_of_rows(spark, d):
     return hm.deviation_matrix(deviations("suppress")(spark, d), LAST_DAY, "total calls deviation")
 
 
+def run_daily(spark, d):
+    """All days up to the last week at once, then its days one after another on the running state."""
+    calls = views.calls(spark, d)
+    out = f"{scratch_root(spark)}/tidewatch/daily-{uuid.uuid4().hex}"
+    call_plans.add_days(spark, calls.where(F.col("source_file") < LAST_WEEK), out)
+    last = [r["source_file"] for r in calls.where(F.col("source_file") >= LAST_WEEK).select("source_file").distinct().collect()]
+    for day in sorted(last):
+        table = call_plans.add_day(spark, calls.where(F.col("source_file") == day), out)
+    return table
+
+
 def daily_tuesday(spark, d):
     """Weeks that begin on Tuesday."""
     return ca.daily_rows(views.calls(spark, d), week_anchor="tuesday")
@@ -189,7 +210,7 @@ def purity_tables(spark, d):
 
 def hour_clusters(spark, d):
     found = ro.hour_clusters(views.commands(spark, d))
-    return found.rows.withColumn("silhouette", found.stats.scalar())
+    return rounded(found.rows.withColumn("silhouette", found.stats.scalar()))
 
 
 def cluster_usage(spark, d):
@@ -199,7 +220,7 @@ def cluster_usage(spark, d):
 
 def cluster_hour_mean(spark, d):
     log = views.commands(spark, d)
-    return hm.cluster_hour_mean(ro.hour_profile(log), ro.hour_clusters(log, pca=False).rows)
+    return rounded(hm.cluster_hour_mean(ro.hour_profile(log), ro.hour_clusters(log, pca=False).rows))
 
 
 def labelled_props(spark, d):
@@ -233,6 +254,11 @@ def labelled_silhouette(spark, d):
     return rounded(silhouette(points))
 
 
+def labelled_silhouette_squared(spark, d):
+    points = labelled_props(spark, d).select(F.array("human_prop", "functional_prop").alias("point"), "cluster")
+    return rounded(silhouette(points, exact=False))
+
+
 def price_quantiles(spark, d):
     prices = views.table(spark, d, "lineitem").select("l_extendedprice")
     found = [(q, exact_quantile(prices, "l_extendedprice", q, 1000)) for q in (0.01, 0.5, 0.999)]
@@ -243,7 +269,15 @@ def compare(spark, d):
     log = views.commands(spark, d)
     split = F.lit(COMPARE_SPLIT).cast("timestamp_ntz")
     early, late = log.where(F.col("timestamp") < split), log.where(F.col("timestamp") >= split)
-    return ro.compare(early, late)["summary"]
+    return rounded(ro.compare(early, late)["summary"])
+
+
+def compare_squared(spark, d):
+    """The same without pairs of commands."""
+    log = views.commands(spark, d)
+    split = F.lit(COMPARE_SPLIT).cast("timestamp_ntz")
+    early, late = log.where(F.col("timestamp") < split), log.where(F.col("timestamp") >= split)
+    return rounded(ro.compare(early, late, exact=False)["summary"])
 
 
 # ---------------------------------------------------------------- access
@@ -511,6 +545,9 @@ QUERIES: dict[str, Query] = {
     "q_history_no_status": no_status_deviations,
     "q_avg_matrix": average_matrix,
     "q_dev_matrix": deviation_matrix,
+    "q_avg_matrix_of_rows": average_matrix_of_rows,
+    "q_dev_matrix_of_rows": deviation_matrix_of_rows,
+    "q_run_daily": run_daily,
     "q_role_heatmap_none": role_heatmap("none"),
     "q_role_heatmap_global": role_heatmap("global"),
     "q_role_heatmap_row": role_heatmap("row"),
@@ -532,8 +569,10 @@ QUERIES: dict[str, Query] = {
     "q_labelled_purity": labelled_purity,
     "q_labelled_stats": labelled_stats,
     "q_labelled_silhouette": labelled_silhouette,
+    "q_labelled_silhouette_squared": labelled_silhouette_squared,
     "q_price_quantiles": price_quantiles,
     "q_compare": compare,
+    "q_compare_squared": compare_squared,
     "q_cmd_group": cmd_group,
     "q_novelty_train": novelty_train,
     "q_novelty_infer": novelty_infer,
