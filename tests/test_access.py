@@ -37,7 +37,7 @@ def test_preprocess(spark):
 
 def test_other_column_names(spark):
     renamed = raw(spark, [("a", "2026-03-01 10:00:00", "1", "r", "d", "x", "human")]).withColumnRenamed("cmd", "command")
-    assert ac.preprocess_access(renamed, AccessConfig(cmd_col="command")).first().cmd_group == "X"
+    assert ac.preprocess_access(renamed, AccessConfig({"cmd": "command"})).first().cmd_group == "X"
 
 
 def random_events(seed, n=400):

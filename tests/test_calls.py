@@ -8,7 +8,7 @@ from tidewatch.operators import calls as ca
 from tidewatch.operators import heatmap as hm
 from tidewatch.plans import calls as plans
 from tidewatch.plans.calls import backfill, metrics_of_days, run_daily
-from tidewatch.schemas import UNIFIED
+from tidewatch.schemas import UNIFIED, UNIFIED_COLUMNS
 from tidewatch.sources import file_order, load_unified, read_calls_csv, read_calls_folder
 
 D = dt.date
@@ -192,8 +192,8 @@ def test_a_day_reads_no_older_week(spark, folder, tmp_path):
     def new_rows(table, day):
         chosen = (F.col("date") == day) | F.col("metric_name").isin(ca.BASELINE_METRICS)
         return rows(table.where(chosen)) if table is expected else rows(
-            spark.read.schema(UNIFIED).parquet(str(out / "metric_family=baseline")).unionByName(
-                spark.read.schema(UNIFIED).option("basePath", str(out)).parquet(*map(str, out.glob(f"*/date={day}")))))
+            spark.read.schema(UNIFIED).option("basePath", str(out)).parquet(
+                str(out / "metric_family=baseline"), *map(str, out.glob(f"*/date={day}"))).select(*UNIFIED_COLUMNS))
 
     spoil(out, "2024-01-16")
     run_daily(spark, str(folder / "calls_05.csv"), str(out))

@@ -28,6 +28,7 @@ def test_forest(spark, cloud, tmp_path):
     assert scored.orderBy("iforest_score").first().id == 9999
     flagged = scored.where("is_anomaly").count()
     assert flagged == pytest.approx(0.02 * 3001, abs=2)
+    assert "Python" not in plan(scored)
     again = forest.fit(cloud.repartition(7), ["x", "y"], ["id"])
     assert rows(model.nodes) == rows(again.nodes) and model.offset == again.offset
     assert rows(model.nodes) != rows(IsolationForest(60, 0.02, 4).fit(cloud, ["x", "y"], ["id"]).nodes)
@@ -48,6 +49,23 @@ def test_forest_on_few_and_equal_rows(spark):
         IsolationForest(10).fit(same.limit(0), ["x"], ["id"])
 
 
+def test_scores_equal_a_walk_by_hand(spark, cloud):
+    """Each row's leaf, tree by tree, from the stored nodes."""
+    model = IsolationForest(12, 0.02, 5).fit(cloud, ["x", "y"], ["id"])
+    trees = {}
+    for r in model.nodes.collect():
+        trees.setdefault(r.tree, {})[r.node] = r
+    for row in model.score(cloud).limit(50).collect():
+        point, units = [round(row.x, 6), round(row.y, 6)], 0
+        for nodes in trees.values():
+            at = 0
+            while nodes[at].feature >= 0:
+                at = 2 * at + (1 if point[nodes[at].feature] <= nodes[at].threshold else 2)
+            units += nodes[at].path
+        raw = -(2 ** (-units / (average_path(256) * 12 * 1e9)))
+        assert row.iforest_score == pytest.approx(raw - model.offset, abs=2e-9)
+
+
 def test_average_path():
     assert average_path(1) == 0 and average_path(2) == 1
     assert float(average_path(256)) == pytest.approx(2 * (math.log(255) + np.euler_gamma) - 2 * 255 / 256)

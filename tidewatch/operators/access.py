@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import (
     BASIC_RISK_CEILING, NOVELTY_WEIGHTS, POLICY_RISK_CEILING, UNKNOWN_WEIGHTS,
-    VIOLATION_WEIGHTS, AccessConfig,
+    VIOLATION_WEIGHTS, AccessConfig, RoleLimits,
 )
 from ..functions import cap_at_one, normalize_command, parse_allowlist, parse_ts, reason
 from ..schemas import GRAPH_FEATURE_COLUMNS, RULE_COLUMNS, require_columns
@@ -41,22 +41,14 @@ def preprocess_access(raw: DataFrame, cfg: AccessConfig = AccessConfig()) -> Dat
 
     Other missing text becomes the token ``nan``, which compares like a value.
     """
-    names = [cfg.user_col, cfg.time_col, cfg.uid_col, cfg.remote_col, cfg.device_col,
-             cfg.cmd_col, cfg.user_type_col]
-    require_columns(raw, names, "access events")
-
-    def text(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TEXT))
-
-    return raw.where(F.col(cfg.user_col).isNotNull()).select(
-        F.col(cfg.user_col).cast("string").alias("user"),
-        parse_ts(cfg.time_col, *cfg.time_formats).alias("_time"),
-        text(cfg.uid_col).alias("uid"),
-        text(cfg.remote_col).alias("remote_address"),
-        text(cfg.device_col).alias("device_ip_address"),
-        text(cfg.cmd_col).alias("cmd"),
-        text(cfg.user_type_col).alias("user_type"),
-        normalize_command(cfg.cmd_col).alias("cmd_group"),
+    texts = ["uid", "remote_address", "device_ip_address", "cmd", "user_type"]
+    require_columns(raw, [cfg.source(c) for c in ("user", "_time", *texts)], "access events")
+    user = F.col(cfg.source("user"))
+    return raw.where(user.isNotNull()).select(
+        user.cast("string").alias("user"),
+        parse_ts(cfg.source("_time"), *cfg.time_formats).alias("_time"),
+        *[F.coalesce(F.col(cfg.source(c)).cast("string"), F.lit(MISSING_TEXT)).alias(c) for c in texts],
+        normalize_command(cfg.source("cmd")).alias("cmd_group"),
     ).where(F.col("_time").isNotNull()).withColumn("event_date", F.to_date("_time"))
 
 
@@ -413,32 +405,29 @@ def merge_graph_features(user_days: DataFrame, graph: DataFrame) -> DataFrame:
 def warmup(user_days: DataFrame, cfg: AccessConfig = AccessConfig()) -> DataFrame:
     """Days since the user was first seen, and whether the day is still warm-up."""
     first = F.min("event_date").over(Window.partitionBy("user"))
-    required = F.when(F.col("user_type") == "functional", cfg.warmup_days_functional).otherwise(cfg.warmup_days_human)
+    required = F.when(F.col("user_type") == "functional", cfg.functional.warmup_days).otherwise(cfg.human.warmup_days)
     return user_days.withColumns({
         "days_since_first_seen": F.date_diff("event_date", first), "warmup_days_required": required,
     }).withColumn("is_warmup", F.col("days_since_first_seen") < F.col("warmup_days_required"))
 
 
+def training_set(user_days: DataFrame, role: str, limits: RoleLimits) -> DataFrame:
+    """The user-days of a role after warm-up and within its limits."""
+    chosen = (F.col("user_type") == role) & ~F.col("is_warmup") & (F.col("total_events") >= limits.min_events)
+    for column, limit in limits.below:
+        chosen = chosen & (F.col(column) < limit)
+    for column, limit in limits.at_most:
+        if column in user_days.columns:
+            chosen = chosen & (F.col(column) <= limit)
+    return user_days.where(chosen)
+
+
 def human_training_set(user_days: DataFrame, cfg: AccessConfig = AccessConfig()) -> DataFrame:
-    return user_days.where(
-        (F.col("user_type") == "human") & ~F.col("is_warmup")
-        & (F.col("total_events") >= cfg.min_events_human)
-        & (F.col("new_remote_rate") < cfg.human_new_remote_limit)
-        & (F.col("new_remote_cmd_pair_rate") < cfg.human_new_pair_limit)
-    )
+    return training_set(user_days, "human", cfg.human)
 
 
 def functional_training_set(user_days: DataFrame, cfg: AccessConfig = AccessConfig()) -> DataFrame:
-    chosen = (
-        (F.col("user_type") == "functional") & ~F.col("is_warmup")
-        & (F.col("total_events") >= cfg.min_events_functional)
-        & (F.col("new_remote_rate") < cfg.functional_new_remote_limit)
-        & (F.col("new_device_rate") < cfg.functional_new_device_limit)
-        & (F.col("new_remote_cmd_pair_rate") < cfg.functional_new_pair_limit)
-    )
-    if "policy_violation_rate" in user_days.columns:
-        chosen = chosen & (F.col("policy_violation_rate") <= cfg.functional_violation_limit)
-    return user_days.where(chosen)
+    return training_set(user_days, "functional", cfg.functional)
 
 
 # ---------------------------------------------------------------- reasons

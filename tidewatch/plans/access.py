@@ -53,8 +53,8 @@ def basic_user_days(events: DataFrame, graph: DataFrame, cfg: AccessConfig) -> D
 
 def fit_models(user_days: DataFrame, functional_features: list[str], cfg: AccessConfig) -> Models:
     """One forest per user type on its training set; an empty set is an error."""
-    human = IsolationForest(cfg.n_trees, cfg.human_contamination, cfg.seed)
-    functional = IsolationForest(cfg.n_trees, cfg.functional_contamination, cfg.seed)
+    human = IsolationForest(cfg.n_trees, cfg.human.contamination, cfg.seed)
+    functional = IsolationForest(cfg.n_trees, cfg.functional.contamination, cfg.seed)
     return Models(
         human.fit(human_training_set(user_days, cfg), HUMAN_FEATURES, ROW_KEY),
         functional.fit(functional_training_set(user_days, cfg), functional_features, ROW_KEY),

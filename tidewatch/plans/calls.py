@@ -56,15 +56,13 @@ def _counted_days(spark: SparkSession, calls: DataFrame, out: str, pattern: str)
 
 def _history(spark: SparkSession, out: str, daily: DataFrame, since: date | None, until: date) -> DataFrame:
     """Daily rows of weeks from ``since`` up to ``until``: the stored ones, and ``daily`` in place of the dates that it has."""
-    stored = load_unified(spark, out, "daily")
+    # A week begins on its first date, so its partitions are those from that date on.
+    inside = F.col("date") < F.lit(until)
     if since is not None:
-        # A week begins on its first date, so its partitions are those from that date on.
-        stored = stored.where(F.col("date") >= F.lit(since))
-    stored = stored.where(F.col("date") < F.lit(until))
+        inside = inside & (F.col("date") >= F.lit(since))
+    stored = load_unified(spark, out, "daily").where(inside)
     stored = stored.join(daily.select("date").distinct(), "date", "left_anti")
-    week = F.col("week_start_date")
-    fresh = daily.where((week < F.lit(until)) & (week >= F.lit(since if since is not None else date.min)))
-    return stored.unionByName(fresh).repartition("user")
+    return stored.unionByName(daily.where(inside)).repartition("user")
 
 
 def _state_as_of(
