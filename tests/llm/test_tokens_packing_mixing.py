@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from tests.conftest import SF
 from tidewatch.llm import mixing, packing, tokens
+from tidewatch.llm.byte_bpe import ByteBpe
 
 SCHEMA = "doc_id long, text string, source string, n_tokens int"
 ODD = [
@@ -59,16 +60,23 @@ def test_pieces_equal_the_library(spark, odd):
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab 1\n\t.,'é€\0\x0b\r　s"), max_size=40))
-def test_remembered_parts_give_the_library_ids(text):
+PIECES = ["a", "b", " ", "1", "\n", "\t", ".", ",", "'", "é", "€", "\0", "\x0b", "\r", "　", "s", "  ", "'ll", "<|endoftext|>", "<|end", "\x1c", "\x85", "\xa0",
+          "中文", "👩\u200d👧", "ß", "\u180e", "\u200b", "½", "٣", "n\u0303", "word", " and", "\ufeff", "𝄞", "x" * 1200, " " * 1100]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), st.booleans())
+def test_ids_equal_the_library(text, special):
     from tokenizers import Tokenizer
 
-    if not hasattr(test_remembered_parts_give_the_library_ids, "both"):
+    if not hasattr(test_ids_equal_the_library, "both"):
         path = public_tokenizers.path(packing.TOKENIZER)
-        test_remembered_parts_give_the_library_ids.both = packing.token_bytes(path), Tokenizer.from_file(path)
-    encode, library = test_remembered_parts_give_the_library_ids.both
-    assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        library = {s: Tokenizer.from_file(path) for s in (True, False)}
+        library[False].encode_special_tokens = True
+        test_ids_equal_the_library.both = {s: (ByteBpe(path, s), library[s]) for s in (True, False)}
+    bpe, library = test_ids_equal_the_library.both[special]
+    assert bpe.fast is not None
+    assert bpe.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_sequences_are_gapless_and_few(spark, odd):
@@ -145,7 +153,6 @@ def test_mix_is_near_its_targets(spark, odd):
 
 
 def test_mixed_documents_repeat_rows(spark, odd):
-    clashing = odd.withColumnRenamed("n_tokens", "copies")
     copies = {}
     for r in mixing.mix(odd).collect():
         copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + r["copies"]
@@ -153,4 +160,12 @@ def test_mixed_documents_repeat_rows(spark, odd):
     assert got.columns == odd.columns
     assert got.groupBy("doc_id").count().count() == sum(n > 0 for n in copies.values())
     assert got.count() == sum(copies.values())
-    del clashing
+
+
+def test_equal_rows_are_packed_each_on_its_own(spark, monkeypatch):
+    """Most rows are one text under one id; their places differ, and buckets share them."""
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 16)
+    docs = spark.createDataFrame([(7, "the same text again", "s", 1)] * 300 + [(k, "word " * k, "s", 1) for k in range(50)], SCHEMA).selectExpr(
+        "*", "1 as row", "'x' as bucket", "2 as length").repartition(3)
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == 350 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 350

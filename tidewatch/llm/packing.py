@@ -18,7 +18,6 @@ strings inside texts get their own ids, as the library does by default.
 
 from __future__ import annotations
 
-import array
 import zlib
 from collections.abc import Iterator
 
@@ -31,92 +30,19 @@ from pyspark.sql import types as T
 
 from tidewatch.session import materialise
 
+from .byte_bpe import ByteBpe
 from .shared import id_type
 
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts of texts whose ids a worker remembers; as many older ones are kept beside them.
-MEMORY = 250_000
 #: Pieces per bucket in which ranks are counted.
 BUCKET_ROWS = 2048
 
 
-def token_bytes(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit integers.
-
-    A text is cut before every space or line break that stands alone between
-    other characters; no pre-token of byte-level BPE spans such a place, so
-    the parts can be encoded one by one and remembered. Other texts (runs of
-    white space, special strings) are encoded whole.
-    """
-    import re
-
-    import tokenizers
-
-    # Functions travel to the workers by value; what a worker should remember
-    # from task to task has to hang on a module that it imports.
-    kept = tokenizers.__dict__.setdefault("_remembered_parts", {})
-    if path in kept:
-        return kept[path]
-    tokenizer = tokenizers.Tokenizer.from_file(path)
-    model = tokenizer.model
-    split = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
-    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    # White space other than space and line break, and the mark that parts are given.
-    odd = re.compile("[\\0\\t\\r\\v\\f\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-    runs = ("  ", "\n\n", " \n", "\n ", *specials)
-    # Byte-level BPE shows bytes as characters: printable ones as they are, the others, in order, from 256 on.
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
-
-    def packed(ids) -> bytes:
-        return array.array("I", ids).tobytes()
-
-    space = chr(shown[32])
-    #: Marks that are pre-tokens of their own after a letter.
-    marks = {c: packed(tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
-
-    class Parts(dict):
-        """Ids by part. When it is full it starts again, and takes over what is used again."""
-
-        older: dict = {}
-
-        def __missing__(self, part):
-            found = self.older.get(part)
-            if found is None:
-                if part[-1:] in marks and part[-2:-1].isalpha():
-                    found = self[part[:-1]] + marks[part[-1]]
-                else:
-                    text = part[1:] if part[:1] == "\0" else part if part == "\n" else " " + part
-                    if part.isalpha() and part.isascii():  # one pre-token
-                        pieces = [space + part]
-                    elif part.isalpha():
-                        pieces = [text.encode().decode("latin-1").translate(shown)]
-                    else:
-                        pieces = [piece for piece, _ in split(text)]
-                    found = packed([t.id for piece in pieces for t in model.tokenize(piece)])
-            if len(self) >= MEMORY:
-                self.older = dict(self)
-                self.clear()
-            self[part] = found
-            return found
-
-    parts = Parts()
-
-    def encode(text: str) -> bytes:
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, runs)) or odd.search(text):
-            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        # "\0" marks a part without a space before it.
-        return b"".join(map(parts.__getitem__, ("\0" + text).replace("\n", " \n \0").split(" ")))
-
-    kept[path] = encode
-    return encode
-
-
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY,
            doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and, if asked for, the ``ids``.
+    """``doc_id, piece, start, length, ids_crc32``, the number of the row and, if asked for, the ``ids``.
 
     A document longer than ``capacity`` is cut into pieces of that length, of
     which the first takes the remainder.
@@ -124,31 +50,31 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     kind = id_type(docs, doc_id)
     fields = [T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
-              T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+              T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("row", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_bytes(path)
-        end = array.array("I", [end_id]).tobytes()
+        bpe = ByteBpe(path, special=True)
         for batch in batches:
             rows = []
             for i, value in enumerate(batch.column(1)):
-                ids = encode(value.as_py() or "") + end
-                n = len(ids) // 4
+                ids = np.append(bpe.ids(value.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                n = len(ids)
                 first = n - (n - 1) // capacity * capacity
                 start, stop, piece = 0, first, 0
                 while start < n:
-                    part = ids[4 * start:4 * stop]
+                    part = ids[start:stop]
                     rows.append((i, piece, start, stop - start, zlib.crc32(part), part))
                     start, stop, piece = stop, stop + capacity, piece + 1
             at, *columns, part = zip(*rows) if rows else [[]] * 6
-            out = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int32()),
-                   *(pa.array(c, pa.int64()) for c in columns[1:])]
+            at = pa.array(at, pa.int64())
+            out = [batch.column(0).take(at), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:]), batch.column(2).take(at)]
             if with_ids:
-                out.append(pa.array([np.frombuffer(x, "<u4").astype("int64") for x in part], pa.list_(pa.int64())))
+                out.append(pa.array([x.astype("int64") for x in part], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, T.StructType(fields))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(cut, T.StructType(fields))
 
 
 def fullest(lengths: list[int], left: dict[int, int], room: int) -> dict[int, int]:
@@ -219,18 +145,18 @@ def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to stored pieces of at most ``capacity`` tokens."""
+    """Add ``sequence_id`` and ``offset`` to stored pieces of at most ``capacity`` tokens, and drop the number of their row."""
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if not histogram:
-        return cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return cut.drop("row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     table = places(plan_sequences(histogram, capacity))
     buckets = -(-sum(histogram.values()) // BUCKET_ROWS)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select(
         "length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     starts = materialise(starts, "pack-starts")
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1
     ranked = dealt.withColumn("within", within).join(starts, ["length", "bucket"]).withColumn(
         "rank", F.col("within") + F.col("before")).select(*cut.columns, "rank")
     out_schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -249,7 +175,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at_rank], pa.array(sequence), pa.array(offset)], names=[f.name for f in out_schema.fields])
 
-    return ranked.mapInArrow(place, out_schema)
+    return ranked.mapInArrow(place, out_schema).drop("row")
 
 
 def pack_documents(docs: DataFrame, with_ids: bool = False, **named) -> DataFrame:
