@@ -185,6 +185,54 @@ def test_toxicity_learns_what_only_pairs_of_words_mark(spark):
     assert {r["score"] < 0.5 for r in scored.where("text is null or text = ''").collect()} == {True}
 
 
+@pytest.mark.parametrize("n", [20, 32])
+def test_few_labels_are_enough_for_clear_words(spark, n):
+    rows = [(i, f"the same words and number {i} " + ("blorp zint quag" if i % 2 else "plain"), "r", 1) for i in range(3 * n)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
+    scored = toxicity.fit(docs, labels).score(docs).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in scored)
+
+
+def test_words_that_mark_only_together_are_learned(spark):
+    """Each of two words is as frequent in toxic texts as in others; toxic are those with one of them but not both."""
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(1600):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"word{k}" for k in rng.integers(0, 400, 12)] + ["rotter"] * one + ["islander"] * two
+        rows.append((i, " ".join(words), "r", 1))
+        labels.append((i, 0, int(one != two)))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = toxicity.fit(docs, labels).score(docs).where(toxicity.fold("doc_id") == 0).join(labels, "doc_id").collect()
+    assert sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in held) >= 0.95 * len(held)
+
+
+#: Names that the stages use for columns of their own.
+HELPERS = (
+    "held_row held_terms held_features held_raw held_odds held_class held_score held_text score label label_id mix_size mix_draw copies copy size "
+    "taken target source_size plan_source p whole cut_cell last_rank level kept_id kept_key n_rows rows root node text_key keys c1 c2 worded row").split()
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near duplicates", "mixing"])
+def test_names_of_the_users_columns_do_not_matter(spark, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = docs.select("*", *[(F.col("doc_id") * 100 + k).alias(name) for k, name in enumerate(HELPERS)])
+    got = run(spark, extra, SF)
+    assert got.columns == extra.columns
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in run(spark, docs, SF).collect())
+    assert all(r[name] == r["doc_id"] * 100 + k for r in rows for k, name in enumerate(HELPERS))
+
+
+def test_scores_leave_a_column_of_that_name_alone(spark):
+    docs, labels = labelled(spark)
+    named = docs.withColumn("score", F.lit("mine"))
+    scored = toxicity.fit(docs, labels).score(named)
+    assert scored.columns == [*named.columns, "score_"] and scored.where("score <> 'mine'").isEmpty()
+
+
 def test_labels_of_one_kind_give_their_share(spark):
     docs, labels = labelled(spark)
     for kind in (0, 1):

@@ -15,7 +15,7 @@ own values and its source's plan, so documents are never shuffled.
 Cases: null texts and texts without words have size 0 and take 0 words; a null
 source is a source; rows equal in id and text rank alike and are taken
 together; an empty table gives no rows. Ids may be null or repeat. Other
-columns are not looked at.
+columns are not looked at, whatever their names; the mixed documents keep them.
 """
 
 from __future__ import annotations
@@ -145,7 +145,8 @@ def decide(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Documents with their copies: the columns of ``docs`` and size, source_size, target, copies, taken."""
-    rows = materialise(sized(docs).select("doc_id", "source", "mix_size", "mix_draw"), "mix-rows")
+    rows = sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "mix_size", "mix_draw")
+    rows = materialise(rows, "mix-rows")
     return decide(rows, plan_mix(rows)).select(
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target",
         (F.col("mix_size") * F.col("copies")).alias("taken"), "copies")
@@ -153,9 +154,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    rows = materialise(sized(docs).select("source", "mix_size", "mix_draw"), "mix-rows")
-    chosen = decide(sized(docs), plan_mix(rows)).where("copies > 0")
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(*docs.columns)
+    # The rows travel whole in one column, so their own names never meet those of the plan.
+    held = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("held_row"))).drop("text")
+    rows = materialise(held.select("source", "mix_size", "mix_draw"), "mix-rows")
+    chosen = decide(held, plan_mix(rows)).where("copies > 0")
+    copies = F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))
+    return chosen.select("held_row", F.explode(copies).alias("copy")).select("held_row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
