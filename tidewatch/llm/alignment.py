@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from tidewatch.session import materialise
 
+from .byte_bpe import ByteBpe
 from .shared import ranges
 
 TOKENIZER_A = "byte_bpe_50k.json"
@@ -67,8 +68,9 @@ class Rows(NamedTuple):
 
 def rows_of(row: np.ndarray, column: np.ndarray, entry: np.ndarray, shape: tuple[int, int]) -> Rows:
     """The matrix of the sum of the entries given by row and column."""
-    order = np.lexsort((column, row))
-    row, column, entry = row[order], column[order], entry[order]
+    if np.any((row[1:] < row[:-1]) | ((row[1:] == row[:-1]) & (column[1:] < column[:-1]))):
+        order = np.lexsort((column, row))
+        row, column, entry = row[order], column[order], entry[order]
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (column[1:] != column[:-1])
     first = np.flatnonzero(fresh)
@@ -123,29 +125,55 @@ class Tokenizers:
     """Both tokenizers, with the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
-        import os
         import re
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         import sentencepiece
-        import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = ByteBpe(path_a, special=False)
+        self.bytes_a = self.a.octets
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        # Byte-level BPE shows bytes as characters: printable ones as they are, the others, in order, from 256 on.
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = [b for b in range(256) if b not in plain]
-        shown = {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
-        self.bytes_a = {}
-        for token, at in self.a.get_vocab(with_added_tokens=False).items():
-            self.bytes_a[at] = bytes(map(shown.__getitem__, token)) if all(map(shown.__contains__, token)) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         joined = {x for p in pieces for x, y in zip(p, p[1:]) if y == "▁" and x != "▁"}
+        self.sizes_a = np.zeros(max(self.bytes_a) + 1, "int64")
+        for at, octets in self.bytes_a.items():
+            self.sizes_a[at] = len(octets)
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], "int64")
+        # Ids as text, with the mark behind an id inside a group and behind the last one.
+        self.text_a = np.array([f"{k}{mark}" for mark in ",|" for k in range(len(self.sizes_a))], object)
+        self.text_b = np.array([f"{k}{mark}" for mark in ",;" for k in range(len(self.sizes_b))], object)
         self.alone = re.compile(rf"(?<=[^\s{''.join(map(re.escape, sorted(joined)))}]) (?=\S)")
 
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """Ids and their number per part, of A and of B, and whether the bytes of both are the part's behind a space; parts whose are not have none.
+
+        All parts are encoded as one text, cut where their bytes end; where that text's bytes differ, one by one.
+        """
+        good = ["▁" not in part for part in parts]
+        kept = [part for part, ok in zip(parts, good) if ok]
+        if not kept:
+            return np.empty(0, "int64"), np.zeros(len(parts), "int64"), np.empty(0, "int64"), np.zeros(len(parts), "int64"), good
+        text = " ".join(kept)
+        octets = (" " + text).encode()
+        a = self.a.ids(" " + text).astype("int64")
+        b = np.array(self.b.encode(text, num_threads=1), "int64")
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == octets == b"".join(map(self.bytes_b.__getitem__, b.tolist())):
+            ends = np.cumsum([1 + len(part) if part.isascii() else 1 + len(part.encode()) for part in kept])
+            at = np.flatnonzero(good)
+            counts = []
+            for ids, sizes in ((a, self.sizes_a), (b, self.sizes_b)):
+                n = np.zeros(len(parts), "int64")
+                n[at] = np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends) + 1, prepend=0)
+                counts.append(n)
+            return a, counts[0], b, counts[1], good
+        if len(kept) > 1:
+            # Some part spoils the whole: halves are tried by themselves.
+            half = len(parts) // 2
+            low, high = self.encode(parts[:half]), self.encode(parts[half:])
+            return *(np.concatenate([x, y]) for x, y in zip(low[:4], high[:4])), low[4] + high[4]
+        return np.empty(0, "int64"), np.zeros(len(parts), "int64"), np.empty(0, "int64"), np.zeros(len(parts), "int64"), [False] * len(parts)
+
     def segments(self, text: str) -> list[str]:
         """The text, cut at spaces before which both tokenizers end a token; the spaces themselves are left out."""
         return self.alone.split(text)
@@ -162,7 +190,7 @@ class Segments:
         self.number: dict[str, int] = {}
         self.sizes = np.empty((0, 4), "int64")  # A tokens, B tokens, groups, links
         self.good = np.empty(0, bool)
-        self.groups: list[str] = []
+        self.groups: list[str] = []  # with a mark at the end
         self.start = np.zeros(1, "int64")
         self.pair, self.times = np.empty(0, "int64"), np.empty(0, "int64")
 
@@ -172,13 +200,15 @@ class Segments:
             self.clear()
         known, fresh, out = self.number, [], []
         for text in texts:
-            found = []
-            for part in self.both.segments(text):
-                k = known.get(part)
-                if k is None:
-                    k = known[part] = len(known)
-                    fresh.append(part)
-                found.append(k)
+            parts = self.both.segments(text)
+            found = list(map(known.get, parts))
+            if None in found:
+                for at, part in enumerate(parts):
+                    if found[at] is None:
+                        if part not in known:
+                            known[part] = len(known)
+                            fresh.append(part)
+                        found[at] = known[part]
             out.append(np.array(found, "int64"))
         if fresh:
             self._align(fresh)
@@ -186,23 +216,11 @@ class Segments:
 
     def _align(self, fresh: list[str]) -> None:
         both = self.both
-        spaced = [" " + part for part in fresh]
-        ids_a = [x.ids for x in both.a.encode_batch(spaced, add_special_tokens=False)]
-        ids_b = both.b.encode(fresh, num_threads=1)
-        good = []
-        for k, (part, a, b) in enumerate(zip(spaced, ids_a, ids_b)):
-            octets = part.encode()
-            good.append(b"".join(map(both.bytes_a.__getitem__, a)) == octets == b"".join(map(both.bytes_b.__getitem__, b)))
-            if not good[-1]:
-                ids_a[k], ids_b[k] = [], []
-        flat_a = np.fromiter((x for a in ids_a for x in a), "int64")
-        flat_b = np.fromiter((x for b in ids_b for x in b), "int64")
-        size_a = np.fromiter((len(both.bytes_a[x]) for x in flat_a.tolist()), "int64", len(flat_a))
-        size_b = np.fromiter((len(both.bytes_b[x]) for x in flat_b.tolist()), "int64", len(flat_b))
+        flat_a, n_a, flat_b, n_b, good = both.encode(fresh)
+        size_a, size_b = both.sizes_a[flat_a], both.sizes_b[flat_b]
         of_a, of_b = token_groups(product(token_bytes(size_a), transposed(token_bytes(size_b))))
         group, pair, times = shared_links(of_a, flat_a, of_b, flat_b)
 
-        n_a, n_b = np.array([len(a) for a in ids_a], "int64"), np.array([len(b) for b in ids_b], "int64")
         n = int(of_a[-1]) + 1 if len(of_a) else 0
         owner = np.empty(n, "int64")
         owner[of_a] = np.repeat(np.arange(len(fresh)), n_a)
@@ -210,16 +228,18 @@ class Segments:
         pairs = np.unique(pair)
         by_segment = rows_of(owner[group], np.searchsorted(pairs, pair), times, (len(fresh), len(pairs)))
         n_links = np.bincount(np.repeat(np.arange(len(fresh)), np.diff(by_segment.start)), by_segment.entry, len(fresh)).astype("int64")
-        ends_a, ends_b = np.cumsum(np.bincount(of_a, minlength=n)), np.cumsum(np.bincount(of_b, minlength=n))
-        texts_a, texts_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        shown, at_a, at_b = [], 0, 0
-        for to_a, to_b in zip(ends_a.tolist(), ends_b.tolist()):
-            shown.append(",".join(texts_a[at_a:to_a]) + "|" + ",".join(texts_b[at_b:to_b]))
-            at_a, at_b = to_a, to_b
-        at = 0
-        for many in n_groups.tolist():
-            self.groups.append(";".join(shown[at:at + many]))
-            at += many
+        # A group's text: its ids of A, then those of B, each with the mark that follows it.
+        in_a, in_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
+        ends_a, ends_b = np.cumsum(in_a), np.cumsum(in_b)
+        marked = np.empty(len(flat_a) + len(flat_b), object)
+        last = np.zeros(len(flat_a), "int64")
+        last[ends_a - 1] = 1
+        marked[np.arange(len(flat_a)) + (ends_b - in_b)[of_a]] = both.text_a[flat_a + last * len(both.sizes_a)]
+        last = np.zeros(len(flat_b), "int64")
+        last[ends_b - 1] = 1
+        marked[np.arange(len(flat_b)) + ends_a[of_b]] = both.text_b[flat_b + last * len(both.sizes_b)]
+        marked, stops = marked.tolist(), np.cumsum(n_a + n_b).tolist()
+        self.groups += ["".join(marked[low:high]) for low, high in zip([0, *stops], stops)]
         self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups, n_links], 1)])
         self.good = np.concatenate([self.good, good])
         self.start = np.concatenate([self.start, self.start[-1] + by_segment.start[1:]])
@@ -235,7 +255,7 @@ class Segments:
         row, flat = np.repeat(np.arange(len(texts)), lengths), np.concatenate(numbers)
         sizes = np.zeros((len(texts), 4), "int64")
         np.add.at(sizes, row, self.sizes[flat])
-        groups = [";".join(map(self.groups.__getitem__, x.tolist())) for x in numbers]
+        groups = ["".join(map(self.groups.__getitem__, x.tolist()))[:-1] for x in numbers]
         used = np.unique(flat)
         held = rows_of(row, np.searchsorted(used, flat), np.ones(len(flat), "int64"), (len(texts), len(used)))
         count = np.diff(self.start)[used]
