@@ -265,6 +265,15 @@ def test_alignment_equals_brute_force(spark, whole):
         assert sorted(repr(tuple(r)) for r in alignment.aligned(docs, frequent).collect()) == expected
 
 
+def test_white_space_at_the_ends_of_texts_stays_in_its_text(whole):
+    texts = ["a ", " b", "c\n", "\nd", "  ", "e", "", " ", "f  ", "  g h", "i\t", "\u3000j", "k ▁", " l", "m\x85", " n o "]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        sizes, groups, _, _ = alignment.Segments(whole.known).documents(order)
+        for size, shown, found in zip(sizes.tolist(), groups, map(whole.groups, order)):
+            assert shown == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in found)
+            assert size[:3] == [sum(len(a) for a, _ in found), sum(len(b) for _, b in found), len(found)]
+
+
 def test_forgetting_segments_changes_nothing(whole, monkeypatch):
     monkeypatch.setattr(alignment, "SEGMENTS", 3)
     segments = alignment.Segments(whole.known)

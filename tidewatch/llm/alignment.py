@@ -143,13 +143,31 @@ class Tokenizers:
         # Ids as text, with the mark behind an id inside a group and behind the last one.
         self.text_a = np.array([f"{k}{mark}" for mark in ",|" for k in range(len(self.sizes_a))], object)
         self.text_b = np.array([f"{k}{mark}" for mark in ",;" for k in range(len(self.sizes_b))], object)
-        self.alone = re.compile(rf"(?<=[^\s{''.join(map(re.escape, sorted(joined)))}]) (?=\S)")
+        held = "".join(map(re.escape, sorted(joined)))
+        self.alone = re.compile(rf"(?<=[^\s{held}]) (?=\S)")
+        # Parts whose ends a token may cross when a space and more text stand there: encoded by themselves.
+        self.lone = re.compile(rf"\A(?:\s|\Z)|[\s{held}]\Z")
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
         """Ids and their number per part, of A and of B, and whether the bytes of both are the part's behind a space; parts whose are not have none.
 
-        All parts are encoded as one text, cut where their bytes end; where that text's bytes differ, one by one.
+        Parts that neither begin nor end with white space are encoded as one text, cut where their bytes end (``_joint``);
+        the others, whose white space would join that between the parts, one by one.
         """
+        lone = np.array([bool(self.lone.search(part)) for part in parts], bool)
+        order = np.concatenate([np.flatnonzero(~lone), np.flatnonzero(lone)])
+        found = [self._joint([parts[k] for k in some]) for some in (np.flatnonzero(~lone), *np.flatnonzero(lone)[:, None])]
+        place = np.empty(len(parts), "int64")
+        place[order] = np.arange(len(parts))
+        out = []
+        for side in (0, 2):
+            ids, n = (np.concatenate([x[side + k] for x in found]) for k in (0, 1))
+            out += [ids[ranges((np.cumsum(n) - n)[place], n[place])], n[place]]
+        good = [ok for x in found for ok in x[4]]
+        return *out, [good[k] for k in place]
+
+    def _joint(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """``encode`` of parts as one text; where that text's bytes differ, or a token crosses a part's end, of its halves."""
         good = ["▁" not in part for part in parts]
         kept = [part for part, ok in zip(parts, good) if ok]
         if not kept:
@@ -160,17 +178,16 @@ class Tokenizers:
         b = np.array(self.b.encode(text, num_threads=1), "int64")
         if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == octets == b"".join(map(self.bytes_b.__getitem__, b.tolist())):
             ends = np.cumsum([1 + len(part) if part.isascii() else 1 + len(part.encode()) for part in kept])
-            at = np.flatnonzero(good)
-            counts = []
-            for ids, sizes in ((a, self.sizes_a), (b, self.sizes_b)):
-                n = np.zeros(len(parts), "int64")
-                n[at] = np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends) + 1, prepend=0)
-                counts.append(n)
-            return a, counts[0], b, counts[1], good
+            stops = [np.cumsum(sizes[ids]) for ids, sizes in ((a, self.sizes_a), (b, self.sizes_b))]
+            last = [np.searchsorted(x, ends) for x in stops]
+            if all(np.array_equal(x[at], ends) for x, at in zip(stops, last)):
+                counts = np.zeros((2, len(parts)), "int64")
+                counts[:, np.flatnonzero(good)] = [np.diff(at + 1, prepend=0) for at in last]
+                return a, counts[0], b, counts[1], good
         if len(kept) > 1:
             # Some part spoils the whole: halves are tried by themselves.
             half = len(parts) // 2
-            low, high = self.encode(parts[:half]), self.encode(parts[half:])
+            low, high = self._joint(parts[:half]), self._joint(parts[half:])
             return *(np.concatenate([x, y]) for x, y in zip(low[:4], high[:4])), low[4] + high[4]
         return np.empty(0, "int64"), np.zeros(len(parts), "int64"), np.empty(0, "int64"), np.zeros(len(parts), "int64"), [False] * len(parts)
 
