@@ -159,3 +159,10 @@ def test_common_features_of_tiles(monkeypatch):
             for x, i in enumerate(one.rows):
                 for y, j in enumerate(other.rows):
                     assert found[x, y] == (0 if i == j else len(set(sets[i]) & set(sets[j])))
+
+
+def test_edges_among_users_are_those_of_the_whole_graph(spark):
+    """Others are not paired: the plan of few users has no rows of the rest, and edges keep their weights."""
+    uf = spark.createDataFrame([(f"u{k}", f"f{j}") for k in range(12) for j in range(6) if (k * 7 + j * 5) % 4], "user string, feature string")
+    chosen = uf.where(F.col("user").isin("u1", "u4", "u9", "u11")).select("user").distinct()
+    assert rows(gr.projected_edges(uf, among=chosen)) == rows(gr.induced_subgraph(gr.projected_edges(uf), chosen))
