@@ -272,3 +272,12 @@ def test_busy_user_and_file(spark):
     got = ca.daily_rows(base).where("metric_name = 'total calls volume'").groupBy("user").agg(F.sum("metric_value").alias("n"))
     assert dict(rows(got))["hot"] == 10000.0
     assert sum(n for _, n in rows(got)) == 30000.0
+
+
+def test_deviations_join_only_the_hours_of_the_day(spark):
+    """Averages of other hours are left out of the join, but count as history."""
+    daily = spark.createDataFrame([("a", ca.DAILY_METRICS[0], 5.0, 3, None, None, None), ("b", ca.DAILY_METRICS[0], 1.0, 3, None, None, None)], UNIFIED)
+    for hour in (3, 99):
+        base = spark.createDataFrame([("a", ca.BASELINE_METRICS[0], 2.0, hour, None, None, 1)], UNIFIED)
+        for policy in ca.COLD_START_POLICIES:
+            assert rows(ca.deviations(daily, base, policy, hours=[3])) == rows(ca.deviations(daily, base, policy))

@@ -214,11 +214,16 @@ def _apply_cold_start(
 
 
 def deviations(
-    daily: DataFrame, base: DataFrame, cold_start: str = "suppress", include_active: bool = True
+    daily: DataFrame, base: DataFrame, cold_start: str = "suppress", include_active: bool = True,
+    hours: list[int] | None = None,
 ) -> DataFrame:
-    """Daily value minus historic average, per user, hour of week and metric."""
+    """Daily value minus historic average, per user, hour of week and metric.
+
+    ``hours`` are the hours of the week in ``daily``, if they are known: other averages are not joined.
+    """
     _check_policy(cold_start)
-    averages = base.select(
+    of_hours = base if hours is None else base.where(F.col("index_value").isin(hours))
+    averages = of_hours.select(
         "user", "index_value", F.col("metric_name").alias("average_name"),
         F.col("metric_value").alias("average"),
     )

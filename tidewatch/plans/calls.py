@@ -97,10 +97,12 @@ def add_day(
     """
     counters = _counted_days(spark, calls, out, pattern)
     daily = materialise(rows_of_counters(counters, week_anchor), "daily-rows")
-    first_week, as_of_week = daily.agg(F.min("week_start_date"), F.max("week_start_date")).first()
+    first_week, as_of_week, hours = daily.agg(
+        F.min("week_start_date"), F.max("week_start_date"), F.collect_set("index_value")).first()
     state = _state_as_of(spark, out, daily, first_week, as_of_week, week_anchor)
-    base = materialise(averages_of_state(state), "baseline")
-    found = deviations(daily, base, cold_start, include_active)
+    base = averages_of_state(state)
+    # The averages hold all 168 hours of the week, a day 24 of them.
+    found = deviations(daily, base, cold_start, include_active, hours)
     save_unified(daily.unionByName(found), out)
     save_baseline_snapshot(base, out)
     return load_unified(spark, out)
