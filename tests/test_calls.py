@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,3 +283,35 @@ def test_deviations_join_only_the_hours_of_the_day(spark):
         base = spark.createDataFrame([("a", ca.BASELINE_METRICS[0], 2.0, hour, None, None, 1)], UNIFIED)
         for policy in ca.COLD_START_POLICIES:
             assert rows(ca.deviations(daily, base, policy, hours=[3])) == rows(ca.deviations(daily, base, policy))
+
+
+def scattered_calls(spark, n=600):
+    rng = random.Random(3)
+    log = []
+    for k in range(n):
+        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 24))
+        log.append((rng.choice(["a", "b", None, "d"]), day + dt.timedelta(hours=rng.randint(0, 30)), rng.choice(["Manual call", "x", None]), f"{day}-{k % 3}"))
+    log += [("z", None, "x", "no times")] * 2 + [("a", None, "x", "no times")]
+    return spark.createDataFrame(log, "user string, dttm timestamp, id_chat string, source_file string")
+
+
+@pytest.mark.parametrize("anchor", ["monday", "tuesday"])
+def test_counters_give_the_same_deviations_and_averages_as_rows(spark, anchor):
+    counters = ca.hour_counters(scattered_calls(spark)).cache()
+    daily = ca.rows_of_counters(counters, anchor).cache()
+    weeks = sorted({r[0] for r in daily.select("week_start_date").distinct().collect() if r[0]})
+    for policy, active in (("suppress", True), ("zero", False), ("nan", True)):
+        expected = rows(ca.historic_deviations(daily, policy, active))
+        assert expected and rows(ca.counter_deviations(counters, policy, active, weeks[0], anchor)) == expected
+    expected = rows(ca.baseline(daily, weeks[-1]))
+    assert expected and rows(ca.counter_baseline(counters, weeks[-1], anchor)) == expected
+
+
+def test_days_grow_behind_windows_and_sums(spark):
+    """No window, sum or shuffle takes the 72 rows of each day."""
+    shown = plan(metrics_of_days(scattered_calls(spark)))
+    branches = re.split("Scan parquet", shown)[:-1]
+    assert len(branches) == 3
+    for branch in branches:
+        steps = re.findall(r"(Generate|Window|HashAggregate|SortAggregate|Exchange|Sort) ", branch)
+        assert set(steps[:len(steps) - steps[::-1].index("Generate")]) == {"Generate"}

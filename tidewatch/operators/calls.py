@@ -83,18 +83,17 @@ def add_counters(shares: DataFrame) -> DataFrame:
     ])
 
 
-def rows_of_counters(counters: DataFrame, week_anchor: str = "monday") -> DataFrame:
-    """The 72 metric rows (24 hours, three metrics) of each day and user."""
-    by_hour = counters.select(
+def _hourly_rows(days: DataFrame, week_anchor: str, **values: dict[str, Column]) -> DataFrame:
+    """The 72 rows (24 hours, three metrics) of each day and user; ``values`` name a column each, by metric as arrays of 24."""
+    by_hour = days.select(
         "user", "date", week_start("date", week_anchor).alias("week_start_date"),
-        (F.weekday("date") * 24 + 1).alias("first_index"), "totals", "manuals",
+        (F.weekday("date") * 24 + 1).alias("first_index"),
+        *[of[key].alias(f"{name}_{key}") for name, of in values.items() for key in METRICS],
         F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"),
     )
-    total, manual = F.col("totals")[F.col("h")], F.col("manuals")[F.col("h")]
-    values = {"total_calls": total, "manual_calls": manual, "active_status": (total > 0).cast("int")}
     measures = F.array(*[
-        F.struct(F.lit(METRICS[key][0]).alias("metric_name"), value.cast("double").alias("metric_value"))
-        for key, value in values.items()
+        F.struct(F.lit(METRICS[key][0]).alias("metric_name"), *[F.col(f"{name}_{key}")[F.col("h")].alias(name) for name in values])
+        for key in METRICS
     ])
     return by_hour.select(
         "user", F.inline(measures), (F.col("first_index") + F.col("h")).alias("index_value"),
@@ -102,6 +101,11 @@ def rows_of_counters(counters: DataFrame, week_anchor: str = "monday") -> DataFr
     )
 
 
+def rows_of_counters(counters: DataFrame, week_anchor: str = "monday") -> DataFrame:
+    """The 72 metric rows (24 hours, three metrics) of each day and user."""
+    return _hourly_rows(counters, week_anchor, metric_value={key: measure_of_counters(key) for key in METRICS})
+
+
 def daily_rows(
     calls: DataFrame, pattern: str = MANUAL_PATTERN, week_anchor: str = "monday",
     days: DataFrame | None = None,
@@ -258,6 +262,50 @@ def historic_deviations(
     )
 
 
+def _hour_values() -> dict[tuple[str, int], Column]:
+    """The value of each measure and hour of a row of counters."""
+    totals, manuals = F.col("totals"), F.col("manuals")
+    values = {("total_calls", h): totals[h] for h in range(24)} | {("manual_calls", h): manuals[h] for h in range(24)}
+    return values | {("active_status", h): (totals[h] > 0).cast("int") for h in range(24)}
+
+
+def counter_deviations(
+    counters: DataFrame, cold_start: str, include_active: bool, first_week, week_anchor: str = "monday"
+) -> DataFrame:
+    """``historic_deviations`` of the rows of ``counters``, which grow behind the window.
+
+    A weekday of a week is one date, so a window over one user and weekday holds
+    one row per week, and the sums before it are those of its 72 rows.
+    """
+    _check_policy(cold_start)
+    dated = counters.withColumns({"weekday": F.weekday("date"), "week": week_start("date", week_anchor)})
+    before = Window.partitionBy("user", "weekday").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dated.select(
+        "user", "date", "totals", "manuals", F.count("*").over(before).alias("n"),
+        *[F.sum(value).over(before).alias(f"{key}{h}") for (key, h), value in _hour_values().items()],
+    )
+    averages = {key: F.array(*[F.try_divide(F.col(f"{key}{h}").cast("double"), F.col("n")) for h in range(24)]) for key in METRICS}
+    rows = _hourly_rows(
+        summed, week_anchor, metric_value={key: measure_of_counters(key) for key in METRICS}, average=averages)
+    return _apply_cold_start(
+        rows, F.col("week_start_date") > F.lit(first_week), F.col("average"), cold_start, include_active)
+
+
+def counter_baseline(counters: DataFrame, as_of_week, week_anchor: str = "monday") -> DataFrame:
+    """``baseline`` of the rows of ``counters``: summed per user and weekday, then grown."""
+    prior = counters.where(week_start("date", week_anchor) < F.lit(as_of_week).cast("date"))
+    summed = prior.groupBy("user", F.weekday("date").alias("weekday")).agg(
+        F.count("*").alias("n_weeks"), *[F.sum(value).cast("double").alias(f"{key}{h}") for (key, h), value in _hour_values().items()])
+    by_hour = summed.select("user", "weekday", "n_weeks", *[
+        F.array(*[F.col(f"{key}{h}") for h in range(24)]).alias(key) for key in METRICS
+    ], F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+    totals = F.array(*[
+        F.struct(F.lit(METRICS[key][0]).alias("metric_name"), F.col(key)[F.col("h")].alias("total")) for key in METRICS
+    ])
+    return averages_of_state(by_hour.select(
+        "user", (F.col("weekday") * 24 + 1 + F.col("h")).alias("index_value"), "n_weeks", F.inline(totals)))
+
+
 def sort_metrics(df: DataFrame) -> DataFrame:
     """Rows by user, metric and hour of the week."""
     return df.orderBy("user", "metric_name", "index_value")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import week_start
 from ..functions.text import MANUAL_PATTERN
 from ..operators.calls import (
-    add_counters, averages_of_state, baseline, deviations, file_days, historic_deviations, hour_counters, merged_states,
-    rows_of_counters, weekly_state,
+    add_counters, averages_of_state, counter_baseline, counter_deviations, deviations, file_days, historic_deviations,
+    hour_counters, merged_states, rows_of_counters, weekly_state,
 )
 from ..session import materialise, spread
 from ..sources.files import (
@@ -31,13 +31,13 @@ def metrics_of_days(
     days = file_days(calls)
     # The counters are the smallest form of the days; all parts grow from them.
     counters = spread(materialise(hour_counters(calls, pattern, days), "hour-counters"), "user")
-    daily = rows_of_counters(counters, week_anchor)
     first_week, last_week = counters.agg(
         F.min(week_start("date", week_anchor)), F.max(week_start("date", week_anchor))
     ).first()
     return (
-        daily.unionByName(historic_deviations(daily, cold_start, include_active, first_week))
-        .unionByName(baseline(daily, last_week))
+        rows_of_counters(counters, week_anchor)
+        .unionByName(counter_deviations(counters, cold_start, include_active, first_week, week_anchor))
+        .unionByName(counter_baseline(counters, last_week, week_anchor))
     )
 
 
