@@ -315,3 +315,16 @@ def test_queries_under_one_id_get_their_own_results(spark):
     asked = spark.createDataFrame([(7, "a"), (7, "c"), (8, "c"), (None, "A")], "query_id long, query string")
     got = Counter((r["query_id"], r["rank"], r["doc_id"]) for r in search.search(docs, asked).collect())
     assert got == Counter([(7, 1, 1), (7, 1, 2), (7, 2, None), (8, 1, 2), (8, 2, None), (None, 1, 1)])
+
+
+@pytest.mark.parametrize("most, width", [(255, 1), (256, 2), (70_000, 4)])
+def test_counts_of_a_shard_take_as_few_bytes_as_they_need(spark, most, width):
+    docs = [(1, "often " * most + "once"), (2, "often"), (3, None), (4, "once more")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    held = search.shards(table).collect()
+    assert sum(len(r["tf"]) for r in held) == width * sum(len(r["at"]) // 2 for r in held)
+    queries = [(7, "often once"), (8, "more")]
+    found = search.search(table, spark.createDataFrame(queries, "query_id long, query string"), 3).collect()
+    expected = brute_search(docs, queries, 3)
+    got = {q: [(r["doc_id"], pytest.approx(r["score"])) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q, _ in queries}
+    assert got == expected
