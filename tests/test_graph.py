@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewatch.operators import graph as gr
-from tidewatch.operators.blocks import block_triples
+from tidewatch.operators.blocks import block_pairs, block_triples
 
 SIM = "user string, user_type string, remote_network string, device_ip_address string, cmd_keywords string, t int"
 # Shared features: kim and lee four (type, net-b, dev-2, trace), kim and bot7 one (ping), lee and bot7 two (dev-3, dig).
@@ -166,3 +166,23 @@ def test_edges_among_users_are_those_of_the_whole_graph(spark):
     uf = spark.createDataFrame([(f"u{k}", f"f{j}") for k in range(12) for j in range(6) if (k * 7 + j * 5) % 4], "user string, feature string")
     chosen = uf.where(F.col("user").isin("u1", "u4", "u9", "u11")).select("user").distinct()
     assert rows(gr.projected_edges(uf, among=chosen)) == rows(gr.induced_subgraph(gr.projected_edges(uf), chosen))
+
+
+def test_edges_copy_a_user_few_times(spark):
+    """20,000 users are dealt into eight blocks, so a row is copied eight times, not once per each of twenty blocks."""
+    users = spark.range(20_000).select(F.col("id").cast("string").alias("user"), F.array(F.lit("x")).alias("features"))
+    copies = block_pairs(gr._few_blocks(users, [], ["user"], gr.EDGE_BLOCK, None)).count()
+    assert copies == 8 * 20_000
+
+
+def test_edges_of_many_tiles_by_key(spark, monkeypatch):
+    monkeypatch.setattr(gr, "TILE_SIZE", 4)
+    sets = random_sets(11, 23, 3)
+    data = [(d, u, f) for d in (2, 1) for u, fs in sets.items() for f in fs]
+    uf = spark.createDataFrame(data, "d int, user string, feature string")
+    edges = brute_force(sets)[0]
+    for block_size in (None, 6):
+        got = gr.projected_edges(uf, ["d"], block_size=block_size)
+        assert got.dtypes == [("d", "int"), ("src", "string"), ("dst", "string"), ("weight", "bigint")]
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == 2 * len(edges) and set(found) == {(d, *e) for d in (2, 1) for e in edges}
