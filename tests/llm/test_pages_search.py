@@ -284,6 +284,52 @@ def test_search_equals_brute_force(spark, monkeypatch, block):
         assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want[q]])
 
 
+def mixed_shard(rng, often, n=600):
+    """A shard of documents with frequent and rare terms and some equal ones, and a block of queries."""
+    words = [f"t{i:03d}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 50), p=often)) for _ in range(n - 30)]
+    docs = [(i, x) for i, x in enumerate(texts + texts[:30])]
+    return docs, [(q, " ".join(rng.choice(words, 1 + q % 40, p=often))) for q in range(60)] + [(100 + q, texts[q]) for q in range(40)]
+
+
+def spread_terms(power):
+    often = 1.0 / np.arange(1, 401) ** power
+    return often / often.sum()
+
+
+@pytest.mark.parametrize("share, most, block, together", [(0.05, 1024, 16, 128), (2.0, 1024, 16, 7), (0.0, 1024, 16, 7), (0.05, 3, 16, 1), (0.05, 1024, 128, 7)])
+def test_frequent_and_rare_terms_give_the_same_scores(spark, monkeypatch, share, most, block, together):
+    for name, value in (("OFTEN", share), ("OFTEN_TERMS", most), ("BLOCK", block), ("TOGETHER", together), ("QUERIES", 16)):
+        monkeypatch.setattr(search, name, value)
+    docs, queries = mixed_shard(np.random.default_rng(3), spread_terms(1.0))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in search.search(table, spark.createDataFrame(queries, "query_id long, query string"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    want = brute_search(docs, queries, 5)
+    for q, _ in queries:
+        assert [i for i, _ in got.get(q, [])] == [i for i, _ in want[q]]
+        assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want[q]], rel=1e-12)
+
+
+def test_few_candidates_are_scored_exactly(monkeypatch):
+    """Of 6,000 documents and 30 queries some ten each are scored again, not all that hold a term."""
+    rng = np.random.default_rng(4)
+    taken = []
+    monkeypatch.setattr(search.Shard, "_take", lambda self, docs, *rest: taken.append(len(docs)))
+    n, terms = 6000, 300
+    parts = [np.sort(rng.choice(n, n // (2 + t // 10), replace=False)) for t in range(terms)]
+    names = [f"t{t:03d}" for t in range(terms)]
+    held = np.array([len(x) for x in parts], "uint32")
+    shard = search.Shard([*range(n)], " ".join(names), held.tobytes(), np.concatenate(parts).astype("uint16").tobytes(),
+                         rng.integers(1, 9, held.sum()).astype("uint8").tobytes(), rng.integers(20, 200, n).tobytes(), 100.0)
+    which = [np.sort(rng.choice(terms, 60, replace=False)) for _ in range(30)]
+    block = search.Block([str(q) for q in range(30)], " ".join(names), held.astype("int64").tobytes(),
+                         np.full(30, 60).tobytes(), np.concatenate(which).astype("int32").tobytes(), n)
+    shard.search(block, 10)
+    assert len(taken) == 30 and 10 <= min(taken) and max(taken) <= 40
+
+
 def test_search_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
