@@ -330,6 +330,30 @@ def test_few_candidates_are_scored_exactly(monkeypatch):
     assert len(taken) == 30 and 10 <= min(taken) and max(taken) <= 40
 
 
+def test_ranges_of_a_shard_hold_documents_that_are_alike(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.choice(60, 25))) for i in range(512)]
+    held = search.shards(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(i for r in held for i in r["ids"]) == [*range(512)]
+    assert [{i % 2 for i in r["ids"][start:start + search.BLOCK]} for r in held for start in range(0, 512, search.BLOCK)] in [
+        [{0}, {0}, {1}, {1}], [{1}, {1}, {0}, {0}]]
+
+
+def test_limits_of_the_first_shard_leave_out_documents_of_others(spark):
+    """Only what reaches the limit is scored exactly and returned; a document at the limit is."""
+    n, names = 300, ["a", "b"]
+    at = np.tile(np.arange(n, dtype="uint16"), 2)
+    tf = np.concatenate([np.full(n, 1), 1 + np.arange(n) // 100]).astype("uint16")
+    shard = search.Shard([*range(n)], "a b", np.full(2, n, "uint32").tobytes(), at.tobytes(), tf.tobytes(), np.full(n, 5, "int64").tobytes(), 5.0)
+    given = (["q"], " ".join(names), np.full(2, n, "int64").tobytes(), np.array([2], "int64").tobytes(), np.arange(2, dtype="int32").tobytes(), 1000)
+    free = search.Block(*given)
+    shard.search(free, 150)
+    assert [x[2] for x in free.best[0]] == [*range(200, 300), *range(100, 150)]
+    limited = search.Block(*given, np.array([-free.best[0][0][0]]).tobytes())
+    shard.search(limited, 150)
+    assert limited.best[0] == free.best[0][:100]
+
+
 def test_search_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
