@@ -153,6 +153,32 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block, tile):
     assert got == {i: (count[i], root[i]) for i in count}
 
 
+def test_vectors_are_stored_once_whatever_the_pairs_of_blocks(spark, monkeypatch):
+    """Blocks meet in a cartesian product of their files: no pair's copy of a vector is shuffled, and one table holds vectors."""
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    stored, write = {}, embeddings.materialise
+
+    def kept(df, name):
+        stored[name] = (df._jdf.queryExecution().executedPlan().toString(), write(df, name))
+        return stored[name][1]
+
+    monkeypatch.setattr(embeddings, "materialise", kept)
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=12).tolist()) for k in range(300)] + [(300, None)]
+    rows += [(400 + k, rows[k][1]) for k in range(40)]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert found.count() == 341 and found.where("n_links > 0").count() == 80
+    plan = stored["embed-found"][0]
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert [n for n, (_, df) in stored.items() if {"vector", "turned"} & {*df.columns}] == ["embed-blocks"]
+    blocks = stored["embed-blocks"][1].collect()
+    nodes = [x for r in blocks for x in np.frombuffer(r["node"], "int64").tolist()]
+    assert len(nodes) == len({*nodes}) == 300 and len(blocks) >= 19
+    for r in blocks:
+        n = len(r["node"]) // 8
+        assert n <= 16 and len(r["vector"]) == 4 * 12 * n and len(r["copies"]) == 8 * n
+
+
 def test_vectors_of_the_table_equal_brute_force(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     count, root = brute_vectors([(r["vec_id"], r["embedding"]) for r in table.collect()])
