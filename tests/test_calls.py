@@ -154,6 +154,24 @@ def test_day_by_day_equals_backfill_and_reruns_change_nothing(spark, folder, tmp
     assert {r.metric_name for r in load_unified(spark, one, "baseline").collect()} <= set(ca.BASELINE_METRICS)
 
 
+def test_first_days_grow_only_where_they_are_written(spark, folder, tmp_path, monkeypatch):
+    """Without other days in the table, no grown rows are stored on the way; with some, the result is that of all at once."""
+    stored, write = {}, plans.materialise
+
+    def kept(df, name):
+        stored[name] = write(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(plans, "materialise", kept)
+    calls = read_calls_folder(spark, str(folder))
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    expected = rows(plans.add_days(spark, calls, whole))
+    assert [n for n, df in stored.items() if {"metric_value", "week_start_date"} & {*df.columns}] == []
+    late = F.col("source_file").endswith("calls_03.csv")
+    plans.add_days(spark, calls.where(~late), parts)
+    assert rows(plans.add_days(spark, calls.where(late), parts)) == expected
+
+
 def test_files_of_a_day_are_one_day(spark, folder, tmp_path):
     """A second file adds to its day, in any order, and reading either again changes nothing."""
     write_csv(folder / "calls_04.csv", ["zed,Z,x,2024-01-15 02:00:00", "alice,A,x,2024-01-15 09:30:00"])

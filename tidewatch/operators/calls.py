@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,12 +272,14 @@ def _hour_values() -> dict[tuple[str, int], Column]:
 
 
 def counter_deviations(
-    counters: DataFrame, cold_start: str, include_active: bool, first_week, week_anchor: str = "monday"
+    counters: DataFrame, cold_start: str, include_active: bool, first_week, week_anchor: str = "monday",
+    deal: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``historic_deviations`` of the rows of ``counters``, which grow behind the window.
 
     A weekday of a week is one date, so a window over one user and weekday holds
-    one row per week, and the sums before it are those of its 72 rows.
+    one row per week, and the sums before it are those of its 72 rows. ``deal``
+    shuffles the days before they grow.
     """
     _check_policy(cold_start)
     dated = counters.withColumns({"weekday": F.weekday("date"), "week": week_start("date", week_anchor)})
@@ -285,6 +289,8 @@ def counter_deviations(
         *[F.sum(value).over(before).alias(f"{key}{h}") for (key, h), value in _hour_values().items()],
     )
     averages = {key: F.array(*[F.try_divide(F.col(f"{key}{h}").cast("double"), F.col("n")) for h in range(24)]) for key in METRICS}
+    if deal is not None:
+        summed = deal(summed)
     rows = _hourly_rows(
         summed, week_anchor, metric_value={key: measure_of_counters(key) for key in METRICS}, average=averages)
     return _apply_cold_start(
@@ -292,7 +298,12 @@ def counter_deviations(
 
 
 def counter_baseline(counters: DataFrame, as_of_week, week_anchor: str = "monday") -> DataFrame:
-    """``baseline`` of the rows of ``counters``: summed per user and weekday, then grown."""
+    """``baseline`` of the rows of ``counters``."""
+    return averages_of_state(counter_state(counters, as_of_week, week_anchor))
+
+
+def counter_state(counters: DataFrame, as_of_week, week_anchor: str = "monday") -> DataFrame:
+    """``weekly_state`` of the rows of ``counters``: summed per user and weekday, then grown."""
     prior = counters.where(week_start("date", week_anchor) < F.lit(as_of_week).cast("date"))
     summed = prior.groupBy("user", F.weekday("date").alias("weekday")).agg(
         F.count("*").alias("n_weeks"), *[F.sum(value).cast("double").alias(f"{key}{h}") for (key, h), value in _hour_values().items()])
@@ -302,8 +313,8 @@ def counter_baseline(counters: DataFrame, as_of_week, week_anchor: str = "monday
     totals = F.array(*[
         F.struct(F.lit(METRICS[key][0]).alias("metric_name"), F.col(key)[F.col("h")].alias("total")) for key in METRICS
     ])
-    return averages_of_state(by_hour.select(
-        "user", (F.col("weekday") * 24 + 1 + F.col("h")).alias("index_value"), "n_weeks", F.inline(totals)))
+    grown = by_hour.select("user", (F.col("weekday") * 24 + 1 + F.col("h")).alias("index_value"), "n_weeks", F.inline(totals))
+    return grown.select(*STATE_KEYS, "total", "n_weeks")
 
 
 def sort_metrics(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import week_start
 from ..functions.text import MANUAL_PATTERN
 from ..operators.calls import (
-    add_counters, averages_of_state, counter_baseline, counter_deviations, deviations, file_days, historic_deviations,
+    add_counters, averages_of_state, counter_baseline, counter_deviations, counter_state, deviations, file_days, historic_deviations,
     hour_counters, merged_states, rows_of_counters, weekly_state,
 )
 from ..session import materialise, spread
@@ -19,6 +20,9 @@ from ..sources.files import (
     save_unified,
 )
 
+#: Days of users, of 72 rows each and family, that grow in one task.
+SLICE = 20_000
+
 
 def metrics_of_days(
     calls: DataFrame, cold_start: str = "suppress", pattern: str = MANUAL_PATTERN,
@@ -87,6 +91,12 @@ def _state_as_of(
     return state
 
 
+def _by_date(n: int, dates: int) -> Callable[[DataFrame], DataFrame]:
+    """Deals ``n`` days of users on ``dates`` dates so that a date lies in few partitions, of about ``SLICE`` rows."""
+    slices = max(1, -(-n // (SLICE * max(dates, 1))))
+    return lambda days: days.repartition(max(1, slices * dates), "date", F.pmod(F.xxhash64("user"), F.lit(slices)))
+
+
 def add_day(
     spark: SparkSession, calls: DataFrame, out: str, cold_start: str = "suppress",
     pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
@@ -123,17 +133,30 @@ def add_days(
     spark: SparkSession, calls: DataFrame, out: str, cold_start: str = "suppress",
     pattern: str = MANUAL_PATTERN, include_active: bool = True, week_anchor: str = "monday",
 ) -> DataFrame:
-    """Build the unified table from the files of ``calls``, together with days stored before."""
+    """Build the unified table from the files of ``calls``, together with days stored before.
+
+    If no other days are stored, all sums and averages come from the counters,
+    and the rows of a day grow where they are written.
+    """
     counters = _counted_days(spark, calls, out, pattern)
-    fresh = materialise(rows_of_counters(counters, week_anchor), "daily-rows")
-    new_dates = fresh.select("date").distinct()
+    new_dates = counters.select("date").distinct()
     stored = load_unified(spark, out, "daily").join(new_dates, "date", "left_anti")
-    every_day = stored.unionByName(fresh).repartition("user")
-    found = historic_deviations(every_day, cold_start, include_active).join(new_dates, "date", "left_semi")
-    last_week = fresh.agg(F.max("week_start_date")).first()[0]
-    state = materialise(weekly_state(every_day, last_week), "week-state")
+    week = week_start("date", week_anchor)
+    first_week, last_week, n, dates = counters.agg(F.min(week), F.max(week), F.count("*"), F.count_distinct("date")).first()
+    alone = stored.isEmpty()
+    if alone:
+        deal = _by_date(n, dates)
+        found = counter_deviations(counters, cold_start, include_active, first_week, week_anchor, deal)
+        state = materialise(counter_state(counters, last_week, week_anchor), "week-state")
+        new_metrics = rows_of_counters(deal(counters), week_anchor).unionByName(found)
+    else:
+        fresh = materialise(rows_of_counters(counters, week_anchor), "daily-rows")
+        every_day = stored.unionByName(fresh).repartition("user")
+        found = historic_deviations(every_day, cold_start, include_active).join(new_dates, "date", "left_semi")
+        state = materialise(weekly_state(every_day, last_week), "week-state")
+        new_metrics = materialise(fresh.unionByName(found), "new-metrics")
     save_state(state, out, last_week, week_anchor)
-    save_unified(materialise(fresh.unionByName(found), "new-metrics"), out)
+    save_unified(new_metrics, out, dealt=alone)
     save_baseline_snapshot(averages_of_state(state), out)
     return load_unified(spark, out)
 

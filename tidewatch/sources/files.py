@@ -86,17 +86,19 @@ def load_unified(spark: SparkSession, path: str, family: str | None = None) -> D
     return table.select(*UNIFIED_COLUMNS)
 
 
-def save_unified(df: DataFrame, path: str) -> None:
+def save_unified(df: DataFrame, path: str, dealt: bool = False) -> None:
     """Write metric rows by family and date, replacing just the dates written.
 
     Baseline rows have no date; the baseline family is a snapshot and is
-    replaced whole by ``save_baseline_snapshot``.
+    replaced whole by ``save_baseline_snapshot``. Rows that are ``dealt`` by
+    date already, in partitions of bounded size, are not shuffled again.
     """
-    (
-        df.withColumn("metric_family", metric_family("metric_name"))
+    rows = df.withColumn("metric_family", metric_family("metric_name"))
+    if not dealt:
         # Large days are split and small ones merged by their bytes.
-        .hint("rebalance", F.col("metric_family"), F.col("date"))
-        .sortWithinPartitions("metric_family", "date", "user", "metric_name", "index_value")
+        rows = rows.hint("rebalance", F.col("metric_family"), F.col("date"))
+    (
+        rows.sortWithinPartitions("metric_family", "date", "user", "metric_name", "index_value")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("metric_family", "date").parquet(path)
     )
